@@ -146,6 +146,20 @@ def best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.nd
     return counts
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan with row pivots, in element-wise steps: the driver stays off threaded linear algebra."""
+    n = len(a)
+    both = np.hstack([a, np.eye(n)])
+    for k in range(n):
+        p = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: (patterns by column, how often each) of the linear program that covers the demand exactly."""
     m = len(lengths)
@@ -155,9 +169,9 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 30
     for k in range(most):
         dual = inverse.sum(axis=0)  # each pattern costs one sequence
         column = best_pattern(lengths, dual, capacity).astype(float)
-        if dual @ column <= 1 + 1e-9:
+        if (dual * column).sum() <= 1 + 1e-9:
             break
-        into = inverse @ column
+        into = (inverse * column).sum(axis=1)
         ratio = np.where(into > 1e-9, x / np.where(into > 1e-9, into, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -165,10 +179,10 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 30
         basis[:, out] = column
         inverse[out] /= into[out]
         others = np.arange(m) != out
-        inverse[others] -= np.outer(into[others], inverse[out])
+        inverse[others] -= into[others, None] * inverse[out]
         if k % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+        x = np.maximum((inverse * demand).sum(axis=1), 0)
     return basis.astype(np.int64), x
 
 
