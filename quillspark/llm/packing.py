@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quillspark.llm.common import map_batches, written
+from quillspark.llm.common import WORD, written
 
 CAPACITY, GRID, END = 4096, 64, 2
 #: Pieces of one length that are ranked in one group, about.
@@ -34,6 +34,8 @@ RANKED = 20_000
 #: Entries of a worker's word caches.
 CACHED = 400_000
 
+#: Only ASCII white space parts words here; the tokenizer sees to any other inside a word.
+_WORDS = re.compile(WORD).findall
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf'([.,!?;:|*#$%&"()=-]*)([{_LETTERS}]*)([.,!?;:|*#$%&"()=-]*)')
 
@@ -59,7 +61,7 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        words = text.split() if text else []
+        words = _WORDS(text) if text else []
         known = self.words
         try:
             return b"".join([known[w] for w in words])
