@@ -1,5 +1,7 @@
 """Queries and check SQL of the library operators, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from quillspark.plans import catalog_queries, pipeline_queries, text_queries, vector_queries  # noqa: F401
+from quillspark.plans.registry import CHECKS as ORACLE_SQL
+from quillspark.plans.registry import QUERIES
+
+FLAGSHIP = "chunk_similarity_topk"
