@@ -107,7 +107,7 @@ def packed(*columns: np.ndarray) -> bytes:
     import zstandard
 
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in (first, *columns[1:]))
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in (first, *columns[1:]))
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
