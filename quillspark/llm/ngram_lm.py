@@ -393,7 +393,7 @@ def score_texts(texts: list[str | None], model: dict) -> dict[str, np.ndarray]:
     distinct, place = np.unique(h, return_inverse=True)
     ids, (count, context, weight, after) = words.find(distinct)
     base = np.log10((count.astype(np.float64) + 1) / (n + 1 * (v + 1)))
-    lower = (_discounted(after.astype(np.float64), model["cut_after"]) / model["after"] if model["after"] else 0) + model["left"] / (v + 1)
+    lower = _discounted(after.astype(np.float64), model["cut_after"]) / max(1, model["after"]) + model["left"] / (v + 1)
     keys, before = _pairs(np.where(count > 0, ids, v + 1)[place], sizes, v)
     first = np.cumsum(sizes) - sizes
     previous = np.empty_like(place)
