@@ -1,11 +1,13 @@
 """Language identification by compression.
 
 Each label gets a zstandard raw-content dictionary cut from a bounded sample of its labelled training rows. A text is cut
-into blocks of letters (case folded, all else one space), every block is compressed once under each dictionary, and the label with the fewest bytes in all wins. The
-score is the winner's margin, ``1 - best / second``; a row whose margin is below a threshold is ``rejected``.
+into blocks of letters (case folded, all else one space), every block is compressed once under each dictionary, and the
+label with the fewest bytes in all wins. The score is the winner's margin, ``1 - best / second``; a row whose margin is
+below a threshold is ``rejected``.
 
 Null texts and texts without a letter are ``und`` with score 0. A table without labelled training rows predicts ``und``
-throughout. Repeated rows are sampled together or not at all; ties between labels go to the first in code-point order.
+throughout. Rows with equal id and text are sampled together or not at all; ties between labels go to the first in
+code-point order.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillspark.llm.common import crc_mod, map_batches
 
 #: Bounds of the fit: sampled rows for each label (expected), bytes of a label's dictionary, labels.
 SAMPLE_ROWS, DICTIONARY_BYTES, MOST_LABELS = 400, 96_000, 1000
-#: Bytes of a sampled document's text that enter a dictionary at once; code points of a block.
-PIECE, BLOCK = 600, 4000
+#: Bytes of a piece of a sampled document, pieces that a document may give; code points of a block.
+PIECE, PIECES, BLOCK = 600, 4, 4000
 #: Margins below this are too narrow to trust.
 NARROW = 0.01
 LEVEL = 6
@@ -38,8 +41,9 @@ def letters(text: str) -> str:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by label, from labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    Rows are sampled by a hash of their text, about ``sample_rows`` for each label, so the driver gets a bounded number of
-    texts however large the table is; the counts that set the rates are taken over the whole table.
+    About ``sample_rows`` rows of each label are drawn by a hash; the counts that set the rates are taken over the whole
+    table. A drawn text is cut whole into pieces, of which those with the smallest digests stand for it, and of each
+    label's distinct pieces those with the smallest digests fill its dictionary: the driver gets these alone.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LABELS + 1).collect()}
@@ -50,18 +54,26 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(rate)
-    unit = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # Of a sampled document, a bounded stretch is enough for a dictionary; predictions read texts whole.
-    sample = train.where(unit < rate).select("lang", F.expr(f"substring(text, 1, {4 * PIECE})").alias("text")).collect()
-    pieces: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in sample:
-        data = letters(r["text"]).encode("utf-8", "surrogatepass")
-        pieces[r["lang"]] += [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    model = {}
-    for lang, some in pieces.items():
-        some = sorted(set(some), key=lambda b: hashlib.md5(b).digest())
-        model[lang] = b" ".join(some[: max(1, dictionary_bytes // PIECE)])
-    return model
+    unit = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+
+    def cut(batches):
+        for batch in batches:
+            langs, pieces = [], []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = letters(text).encode("utf-8", "surrogatepass")
+                some = sorted((data[i : i + PIECE] for i in range(0, len(data), PIECE)), key=_digest)[:PIECES]
+                langs += [lang] * len(some)
+                pieces += some
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([_digest(x) for x in pieces], pa.string()), pa.array(pieces, pa.binary())], names=["lang", "digest", "piece"])
+
+    pieces = train.where(unit < rate).select("text", "lang").mapInArrow(cut, "lang string, digest string, piece binary").distinct()
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("digest", "piece"))
+    rows = pieces.withColumn("nth", nth).where(F.col("nth") <= max(1, dictionary_bytes // PIECE)).collect()
+    return {lang: b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["nth"]) if r["lang"] == lang) for lang in counts}
+
+
+def _digest(piece: bytes) -> str:
+    return hashlib.md5(piece).hexdigest()
 
 
 @lru_cache(4)
