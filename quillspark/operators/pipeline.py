@@ -96,7 +96,7 @@ def reset_for_retry(pages: DataFrame) -> DataFrame:
 
 
 def page_status() -> Column:
-    """``step:milestone`` of the first step that is neither idle nor succeeded; later steps first tell more."""
+    """``step:milestone`` of the first step that is neither idle nor succeeded; ``idle`` where there is none."""
     label = F.lit(None).cast("string")
     for s in reversed(STEPS):
         label = F.when(~milestone(s).isin("idle", "succeeded"), F.concat(F.lit(f"{s}:"), milestone(s))).otherwise(label)

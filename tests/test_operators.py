@@ -88,3 +88,25 @@ def test_context_keeps_first_seen(spark):
     seen = spark.createDataFrame(rows, "query_id string, obs_idx int, chunk_idx int, book_id string, page_number int, score double, text string")
     one = R.assembled_context(R.ranked_context(seen)).first()
     assert one["context"] == "other\n\n---\n\nfirst" and one["book_ids"] == ["b"]
+
+
+def test_single_row_writes(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, t string")
+    assert sorted(r["t"] for r in M.updated(rows, F.col("id") == 2, t=F.lit("new")).collect()) == ["a", "c", "new"]
+    assert sorted(r["t"] for r in M.deleted(rows, F.col("id") == 2).collect()) == ["a", "c"]
+    assert M.inserted(rows, rows.select("id")).count() == 6
+    assert {r["updated_at"] for r in M.touched(rows, F.lit(7)).collect()} == {7}
+    configs = spark.createDataFrame([("k", "v")], "key string, value string")
+    assert [M.config_value(configs, k, "default").first()[0] for k in ("k", "other")] == ["v", "default"]
+
+
+def test_search_rows_and_keys(spark):
+    found = spark.createDataFrame([(None, ""), ("t", "a")], "title string, author string")
+    assert [tuple(r) for r in V.shaped(found).collect()] == [("Unknown", None), ("t", "a")]
+    key = lambda *a: spark.range(1).select(V.cache_key("[1]", *a)).first()[0]
+    assert key(["a", "b"], None) == key(["b", "a"], None) != key(["a"], None) and key(None, None).split(":")[-1] == "all" and key(None, ["x"]) != key(None, None)
+
+
+def test_history_categories(spark):
+    row = spark.range(1).select(R.with_history_categories(F.array(F.lit("h")), "h", ("h", "i")), R.with_history_categories(F.array(F.lit("x")), "h", ("i",))).first()
+    assert list(row) == [["h", "i"], ["x"]]
