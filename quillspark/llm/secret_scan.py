@@ -1,8 +1,9 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Fixed patterns give the base spans. Beyond these, every long credential-like string that stands near a sensitive word is a
-candidate: its marginal compressed bytes are measured against a zstandard raw-content dictionary of identifiers and the
-surrounding text; a string that neither explains is reported as ``novel``.
+candidate, and so is every value of eight characters or more assigned to a name with such a word: its marginal compressed bytes are measured against a zstandard raw-content dictionary of identifiers and the
+surrounding text; a string that neither explains is reported as ``novel``. Assigned values of both digits and letters that are too short to be
+measured (under 16) are reported as they are. What base spans leave of a candidate is measured in the same way.
 
 Null texts count as empty. Every text is scanned whole. Rows are independent: ties, repeated rows and empty tables need no
 care, and columns other than ``doc_id`` and ``text`` are not read (``redact`` passes them on untouched).
@@ -29,7 +30,12 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth[_ -]?key|client[_ -]?key|signing[_ -]?key|encryption[_ -]?key)", re.I | re.A)
 SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+#: A candidate may begin behind any separator, '=' included; '=' itself stands only as padding at its end.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: What stands between a sensitive word and a value assigned to it: the rest of the name, quotes and the separator.
+ASSIGNED = re.compile(r"""[\w.-]*["'\])]*\s*(?::=|=>|[:=])\s*["']?""", re.A)
+#: Least length of a candidate, and of one assigned to a sensitive name.
+LEAST_NOVEL, LEAST_ASSIGNED = 16, LEAST["assign"]
 #: A candidate stands at most so many code points behind a sensitive word, on its line.
 REACH = 64
 #: Code points of surrounding text on either side that prime the compressor.
@@ -91,8 +97,25 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
     return found
 
 
+def uncovered(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches of start to end that no base span covers."""
+    left = []
+    for s, e in sorted((s, e) for s, e, _ in base if s < end and start < e):
+        if s > start:
+            left.append((start, s))
+        start = max(start, e)
+    return left + [(start, end)] if start < end else left
+
+
+def _wordlike(value: str) -> bool:
+    """Whether a string lacks both digits beside letters and the frequent changes of case of random letters."""
+    if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+        return False
+    return 5 * sum(a.islower() != b.islower() for a, b in zip(value, value[1:], strict=False) if a.isalpha() and b.isalpha()) < 2 * len(value)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], low: str | None = None, novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Incompressible strings behind a sensitive word that no base span touches."""
+    """Incompressible strings behind a sensitive word, without what base spans cover."""
     low = text.lower() if low is None else low
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
@@ -103,11 +126,17 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], low: str | None = N
         for m in CANDIDATE.finditer(text, max(near.end(), done)):
             if m.start() > stop:
                 break
-            done = m.end()
-            if any(s < m.end() and m.start() < e for s, e, _ in base):
+            assigned = ASSIGNED.fullmatch(text, near.end(), m.start())
+            least = LEAST_ASSIGNED if assigned else LEAST_NOVEL
+            if m.end() - m.start() < least or not assigned and _wordlike(m[0]):
                 continue
-            if marginal_bytes(text, m.start(), m.end()) >= novelty * (m.end() - m.start()):
-                found.append((m.start(), m.end(), "novel"))
+            done = m.end()
+            for start, end in uncovered(m.start(), m.end(), base):
+                if end - start < least:
+                    continue
+                short = end - start < LEAST_NOVEL and not _wordlike(text[start:end])  # too short to measure, as in the assign pattern
+                if short or marginal_bytes(text, start, end) >= novelty * (end - start):
+                    found.append((start, end, "novel"))
     return found
 
 

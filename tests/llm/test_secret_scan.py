@@ -37,6 +37,23 @@ def test_novelty():
     assert S.marginal_bytes("abc", 0, 3) <= 8
 
 
+def test_assigned_values():
+    """Each sensitive word before NAME=VALUE, NAME: VALUE and quoted forms; nothing of a value is left."""
+    words = "password passwd passphrase passcode pwd secret token api_key api-key AWS_SECRET_ACCESS_KEY access_key private_key credential bearer authorization auth_key client_key signing_key encryption_key".split()
+    for word in words:
+        for value in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYzKEY", "q7Zp0VxR2mLk9TbW4sYd8GhN", "qZpVxRmLkTbWsYdGhNcFQwXe", "q7Zp0VxR2mLk9TbW4sYd8Gh=", "hunter2x9Q"):
+            for form in ("{}={}", "{}: {}", '"{}": "{}"', "{}='{}'", "https://x.example/?{}={}&y=1", "export {}={}\n"):
+                text = form.format(word, value)
+                assert value not in S.redacted(text, [s for part in S.scan(text) for s in part]), text
+
+
+def test_rest_of_a_base_span():
+    text = "private_key=Qx7LpZ0vRk2TwYb9_" + "0123456789abcdef" * 2 + "ZmQ9RtX4LwPv7KsY2JhG"
+    base, novel = S.scan(text)
+    assert [k for _, _, k in base] == ["hex"] and S.redacted(text, base + novel) in ("private_key=[secret]", "private_key=[secret][secret][secret]")
+    assert S.scan("the secret Donaudampfschifffahrtsgesellschaft") == ([], [])
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = S.secret_spans(odd_docs).collect()
     assert len(rows) == odd_docs.count()
