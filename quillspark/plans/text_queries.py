@@ -124,7 +124,7 @@ def ocr_variants(lib):
 @query("spell_check_pages")
 def spell_check_pages(lib):
     arabic_words = lib.dictionary_v.select(F.translate("word", "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ").alias("word"))
-    _, issues = S.check_pages(arabic(lib), arabic_words, [("خاتا", "توغرا")], pairs=())
+    _, issues = S.check_pages(arabic(lib), arabic_words, [("خاتا", "توغرا")])
     return issues.groupBy("page_id").agg(F.count("*").alias("n"), F.min("char_offset").alias("first"))
 
 

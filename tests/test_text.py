@@ -158,3 +158,30 @@ def test_edits_from_last_to_first(spark):
     edits = spark.createDataFrame([(1, 20, 25, "W1"), (1, 30, 35, "W2"), (1, None, None, "no")], "page_id long, start int, end int, new string")
     rows = {r["id"]: r for r in S.apply_edits(pages, edits).collect()}
     assert (rows[1]["text"], rows[1]["n_edits"], rows[2]["text"]) == ("This is a test with W1 and W2.", 2, "same")
+
+
+def test_spell_check_query_uses_confused_letters(spark):
+    """Issues by page against brute force, with corrections that take one and two confused letters."""
+    from types import SimpleNamespace
+
+    from quillspark.plans import text_queries as Q
+
+    table = str.maketrans("abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ")
+    known = ["karto", "mantal"]
+    texts = {1: "garto karto", 2: "gartu x garto", 3: "mntal zzzz", 4: "basalt"}
+    pages = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("spell_check_milestone", F.lit("idle"))
+    lib = SimpleNamespace(pages_v=pages, dictionary_v=spark.createDataFrame([(w,) for w in known], "word string"))
+    words = {w.translate(table) for w in known}
+
+    def variants(word):
+        once = lambda w: {w[:i] + b + w[i + 1 :] for a, b in S.CONFUSED for i, c in enumerate(w) if c == a}
+        one = once(word)
+        return one | {v for o in one for v in once(o)} | {word[:i] + v + word[i:] for i in range(len(word) + 1) for v in S.VOWELS}
+
+    want = {}
+    for page, text in texts.items():
+        hits = [t["start"] for t in S.tokens(text.translate(table)) if t["word"] not in words and variants(t["word"]) & words]
+        if hits:
+            want[page] = (len(hits), min(hits))
+    assert want == {1: (1, 0), 2: (2, 0), 3: (1, 0)}
+    assert {r["page_id"]: (r["n"], r["first"]) for r in Q.spell_check_pages(lib).collect()} == want
