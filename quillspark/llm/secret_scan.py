@@ -1,17 +1,22 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Fixed patterns give the base spans. Beyond these, every long credential-like string that stands near a sensitive word is a
-candidate, and so is every value of eight characters or more assigned to a name with such a word: its marginal compressed bytes are measured against a zstandard raw-content dictionary of identifiers and the
-surrounding text; a string that neither explains is reported as ``novel``. Assigned values of both digits and letters that are too short to be
-measured (under 16) are reported as they are. What base spans leave of a candidate is measured in the same way.
-
-Null texts count as empty. Every text is scanned whole. Rows are independent: ties, repeated rows and empty tables need no
-care, and columns other than ``doc_id`` and ``text`` are not read (``redact`` passes them on untouched).
+candidate, and so is every value of eight characters or more assigned to a name with such a word. Its marginal compressed
+bytes are measured against a zstandard raw-content dictionary and the surrounding text; a string that neither explains is
+reported as ``novel``. The dictionary holds the identifiers of code and configuration listed here and the most frequent
+identifiers of the documents themselves, counted over all of them. Assigned values of both digits and letters that are too
+short to be measured (under 16) are reported as they are. What base spans leave of a candidate is measured in the same way.
+
+Null texts count as empty. Every text is scanned whole, in time about its length: candidates are found once, from left to
+right, and each looks back ``REACH`` code points for sensitive words. Rows are independent of one another but for the
+dictionary: ties, repeated rows and empty tables need no care, and columns other than ``doc_id`` and ``text`` are not read
+(``redact`` passes them on untouched).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,6 +39,7 @@ SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "beare
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: What stands between a sensitive word and a value assigned to it: the rest of the name, quotes and the separator.
 ASSIGNED = re.compile(r"""[\w.-]*["'\])]*\s*(?::=|=>|[:=])\s*["']?""", re.A)
+_BEFORE_VALUE = re.compile(r"""[:=>]\s*["']?$""")
 #: Least length of a candidate, and of one assigned to a sensitive name.
 LEAST_NOVEL, LEAST_ASSIGNED = 16, LEAST["assign"]
 #: A candidate stands at most so many code points behind a sensitive word, on its line.
@@ -42,6 +48,8 @@ REACH = 64
 AROUND = 256
 #: Marginal compressed bytes for each byte of the string from which it counts as incompressible.
 NOVELTY = 0.75
+#: Identifiers taken from the documents, their least and greatest length.
+LEARNED, IDENTIFIER = 2000, r"(?<![A-Za-z0-9_])[a-z]+(?:_[a-z]+)+(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])[a-z]{8,24}(?![A-Za-z0-9_])"
 #: Identifiers and words of code and configuration that are no secrets.
 IDENTIFIERS = (
     "abstract admin algorithm alias allow api_key api_key_id application argument array assert async attribute auth authorization "
@@ -68,11 +76,12 @@ IDENTIFIERS = (
 _NOT_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _compressor(identifiers: str):
     import zstandard
 
-    words = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words = zstandard.ZstdCompressionDict(identifiers.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=3)
     return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -80,7 +89,18 @@ def marginal_bytes(text: str, start: int, end: int, identifiers: str = IDENTIFIE
     """Compressed bytes that text[start:end] adds to what surrounds it, primed by the identifiers."""
     z = _compressor(identifiers)
     near = (text[max(0, start - around) : start] + "\n" + text[end : end + around] + "\n").encode("utf-8", "surrogatepass")
-    return len(z.compress(near + text[start:end].encode())) - len(z.compress(near))
+    return len(z.compress(near + text[start:end].encode("utf-8", "surrogatepass"))) - len(z.compress(near))
+
+
+def identifiers(docs: DataFrame, most: int = LEARNED) -> str:
+    """The listed identifiers, then the documents' most frequent ones: words of lower-case letters and underscores.
+
+    Counted over all documents. Such words have neither digits nor changes of case, so no random string is among them,
+    however often copies repeat it.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IDENTIFIER), 0)).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
+    return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(top.collect()))])
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, str]]:
@@ -114,39 +134,45 @@ def _wordlike(value: str) -> bool:
     return 5 * sum(a.islower() != b.islower() for a, b in zip(value, value[1:], strict=False) if a.isalpha() and b.isalpha()) < 2 * len(value)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], low: str | None = None, novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], low: str | None = None, novelty: float = NOVELTY, known: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """Incompressible strings behind a sensitive word, without what base spans cover."""
     low = text.lower() if low is None else low
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    found, done = [], 0
-    for near in SENSITIVE.finditer(text):
-        stop = text.find("\n", near.end())
-        stop = min(len(text) if stop < 0 else stop, near.end() + REACH)
-        for m in CANDIDATE.finditer(text, max(near.end(), done)):
-            if m.start() > stop:
-                break
-            assigned = ASSIGNED.fullmatch(text, near.end(), m.start())
-            least = LEAST_ASSIGNED if assigned else LEAST_NOVEL
-            if m.end() - m.start() < least or not assigned and _wordlike(m[0]):
+    ends = [m.end() for m in SENSITIVE.finditer(text)]
+    if not ends:
+        return []
+    starts_of_base, reach_of_base = [s for s, _, _ in base], []  # base spans by start, and how far those up to each one reach
+    for _, e, _ in base:
+        reach_of_base.append(max(e, reach_of_base[-1] if reach_of_base else 0))
+    found: list[tuple[int, int, str]] = []
+    for m in CANDIDATE.finditer(text, ends[0]):
+        start, end = m.span()
+        line = text.rfind("\n", max(0, start - REACH - 1), start) + 1
+        near = ends[bisect_left(ends, max(line, start - REACH)) : bisect_right(ends, start)]
+        if not near:
+            continue
+        assigned = _BEFORE_VALUE.search(text, max(0, start - REACH), start) is not None and any(ASSIGNED.fullmatch(text, n, start) for n in near)
+        least = LEAST_ASSIGNED if assigned else LEAST_NOVEL
+        if end - start < least or not assigned and _wordlike(m[0]):
+            continue
+        first = bisect_right(reach_of_base, start)
+        for s, e in uncovered(start, end, base[first : bisect_left(starts_of_base, end)]):
+            if e - s < least:
                 continue
-            done = m.end()
-            for start, end in uncovered(m.start(), m.end(), base):
-                if end - start < least:
-                    continue
-                short = end - start < LEAST_NOVEL and not _wordlike(text[start:end])  # too short to measure, as in the assign pattern
-                if short or marginal_bytes(text, start, end) >= novelty * (end - start):
-                    found.append((start, end, "novel"))
+            short = e - s < LEAST_NOVEL and not _wordlike(text[s:e])  # too short to measure, as in the assign pattern
+            if short or marginal_bytes(text, s, e, known) >= novelty * (e - s):
+                found.append((s, e, "novel"))
     return found
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str | None, known: str = IDENTIFIERS) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and added spans of a text."""
     if not text:
         return [], []
     low = text.lower()
     base = base_spans(text, low)
-    return base, novel_spans(text, base, low)
+    return base, novel_spans(text, base, low, known=known)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -166,13 +192,17 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mask: str = "[secret]
 SPANS = "doc_id long, spans array<struct<start:long,end:long,kind:string,text:string>>"
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """All spans of each document with the matched strings: doc_id, spans by start, then kind."""
+def secret_spans(docs: DataFrame, known: str | None = None) -> DataFrame:
+    """All spans of each document with the matched strings: doc_id, spans by start, then kind.
+
+    ``known`` are the identifiers that prime the compressor; without them they are taken from ``docs``.
+    """
+    known = identifiers(docs) if known is None else known
 
     def run(batch: pa.RecordBatch) -> dict:
         spans = []
         for text in batch.column("text").to_pylist():
-            base, more = scan(text)
+            base, more = scan(text, known)
             every = sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
             spans.append([{"start": s, "end": e, "kind": k, "text": text[s:e]} for s, e, k in every])
         return {"doc_id": batch.column("doc_id"), "spans": spans}
@@ -180,14 +210,15 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SPANS)
 
 
-def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", known: str | None = None) -> DataFrame:
     """The documents with every secret span replaced; ``n_chars``, where there is one, follows. A null text stays null."""
     names = docs.columns
+    known = identifiers(docs) if known is None else known
 
     def run(batches):
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            new = [t if not t else redacted(t, [s for part in scan(t) for s in part], mask) for t in texts]
+            new = [t if not t else redacted(t, [s for part in scan(t, known) for s in part], mask) for t in texts]
             cols = list(batch.columns)
             cols[names.index("text")] = pa.array(new, batch.schema.field("text").type)
             if "n_chars" in names:

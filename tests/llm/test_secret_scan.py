@@ -54,6 +54,68 @@ def test_rest_of_a_base_span():
     assert S.scan("the secret Donaudampfschifffahrtsgesellschaft") == ([], [])
 
 
+def slow_novel(text, base):
+    """Every candidate against every sensitive word before it, without search structures."""
+    near = [m.end() for m in S.SENSITIVE.finditer(text)]
+    out = []
+    for m in S.CANDIDATE.finditer(text):
+        mine = [n for n in near if n <= m.start() and m.start() - n <= S.REACH and "\n" not in text[n : m.start()]]
+        assigned = any(S.ASSIGNED.fullmatch(text, n, m.start()) for n in mine)
+        least = 8 if assigned else 16
+        if mine and len(m[0]) >= least and (assigned or not S._wordlike(m[0])):
+            for s, e in S.uncovered(m.start(), m.end(), base):
+                short = e - s < 16 and not S._wordlike(text[s:e])
+                if e - s >= least and (short or S.marginal_bytes(text, s, e) >= S.NOVELTY * (e - s)):
+                    out.append((s, e, "novel"))
+    return out
+
+
+def test_novel_spans_against_all_pairs():
+    import random
+
+    rng = random.Random(5)
+    parts = ["token", "secret ", "api_key", " = ", ": ", "=", '"', "\n", " of the bank ", "Bearer ", "AKIA", "x" * 70]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choices("abXY01/+", k=rng.randrange(4, 40))) for _ in range(40))
+        base = S.base_spans(text)
+        assert S.novel_spans(text, base) == slow_novel(text, base)
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    for unit in ("token of the bank\n", "secret a.a.a.a.a.a.a.a.a.a.a.a.", "token: ", "token = 0123456789abcdef0123456789abcdef\n", "token" + " " * 500):
+        began = time.time()
+        S.scan(unit * (5_000_000 // len(unit)))
+        assert time.time() - began < 15, unit
+    began = time.time()
+    S.scan("secret " + "a.a." * 1_250_000)
+    S.scan("token=" + "aB3" * 1_600_000)
+    assert time.time() - began < 8
+
+
+def test_planted_secrets_and_plain_names(spark, docs):
+    """Random strings under sensitive names in real texts are found; names of the documents' own are not."""
+    import random
+
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [r["text"] for r in docs.where("length(text) BETWEEN 200 AND 5000").limit(60).collect()]
+    known = S.identifiers(docs)
+    assert known.startswith(S.IDENTIFIERS) and len(known) > len(S.IDENTIFIERS)
+    missed = wrong = 0
+    for t in texts:
+        at = t.find(" ", len(t) // 2)
+        key = "".join(rng.choices(letters, k=rng.randrange(16, 60)))
+        form = rng.choice(["client_key: {}", "the credential is {}", "Authorization: Bearer {}", "export PRIVATE_KEY='{}'", "access-key={}"])
+        planted = t[:at] + "\n" + form.format(key) + "\n" + t[at:]
+        missed += key in S.redacted(planted, [s for p in S.scan(planted, known) for s in p])
+        name = "_".join(rng.choices(["session", "table", "column", "request", "handler"], k=4))
+        plain = t[:at] + f"\nthe token {name}_1 of the {name} " + t[at:]
+        wrong += len(S.scan(plain, known)[1]) - len(S.scan(t, known)[1])
+    assert missed == 0 and wrong <= 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = S.secret_spans(odd_docs).collect()
     assert len(rows) == odd_docs.count()
