@@ -5,9 +5,10 @@ The whole part of that is certain; the fractional part is a probability that piv
 documents meet, mass moves from one to the other, in words, until one of them is certain, with odds that leave every
 document's expected copies alone. So a pair's words stay as they are, and what is left of a block of documents is one
 document with a fraction. Blocks of about ``BLOCK`` documents of a source, dealt by a hash of the id, are the leaves of a
-reduction tree; their left-overs meet in blocks again until one block of each source is left. About ``RESERVE`` documents
-of each source enter only at that root: there, from the largest to the smallest, each is made certain against all
-remaining ones as a pool, so the source's words end within a few words of its target rather than one document's.
+reduction tree; their left-overs meet in blocks again until one is left of each source, which its own odds decide. Every
+document with a fraction takes this way, however few there are. In a block documents meet from the largest to the smallest:
+as of two that meet the larger usually stays open, the smaller ones settle it, and what is left in the end is small. The
+words taken thus differ from the target by less than that last document's size.
 
 Sources are dealt into blocks by their own row counts, so a hot source has more blocks, never larger ones. Randomness is
 a hash of ids, so reruns agree.
@@ -21,13 +22,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quillspark.llm.common import WORD, written
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2
-BLOCK, RESERVE = 128, 96
+BLOCK = 128
 #: With at most so many sources their table of numbers is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -45,25 +45,37 @@ def _unit(seed: str, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
+def ordinals(of: DataFrame) -> DataFrame:
+    """``of`` with ``at``: each source's place in order of code points, null last, from 0. Sorted by ranges, not in one task."""
+    order = F.col("source").asc_nulls_last()
+    ranged = written(of.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("k"))  # a row for each range
+    before = parts.select("part", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("nth", nth).join(before, "part").withColumn("at", F.col("before") + F.col("nth")).drop("part", "before", "nth")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """(source, n, source_size, target) from (source, size): targets by water filling.
 
     Sources by code point, null last, weigh ``weights`` in turn; a target stops at ``most`` times its source's size and the
-    excess goes to the others by weight. One row for each source, after a partial aggregation.
+    excess goes to the others by weight. The level rises from sum to sum over the sources until it fills no further one.
     """
     of = sizes.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
-    at = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weigh = F.lit(float(weights[-1]))
     for i, w in enumerate(weights[:-1]):
-        weigh = F.when(at % len(weights) == i, F.lit(float(w))).otherwise(weigh)
-    of = of.withColumn("w", weigh).withColumn("most", F.col("source_size") * float(most)).withColumn("ratio", F.col("most") / F.col("w"))
-    up = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    of = of.withColumn("below", F.sum("most").over(up.rowsBetween(W.unboundedPreceding, -1))).withColumn("left", F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing)))
-    of = of.withColumn("total", F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * float(share))
-    of = of.withColumn("level", (F.col("total") - F.coalesce("below", F.lit(0.0))) / F.col("left"))
-    # The first source in order of its ratio that the level does not fill gives the level of all.
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["level"]
-    return of.withColumn("final", level).select("source", "n", "source_size", F.least("most", F.coalesce(F.col("final") * F.col("w"), "most")).alias("target"))
+        weigh = F.when(F.col("at") % len(weights) == i, F.lit(float(w))).otherwise(weigh)
+    of = written(ordinals(of).select("source", "n", "source_size", weigh.alias("w"), (F.col("source_size") * float(most)).alias("most")))
+    total = float(of.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
+    level = 0.0
+    while True:  # each round fills at least one further source
+        full = F.col("most") <= F.col("w") * level
+        filled, left = of.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("w")))).first()
+        rising = (total - (filled or 0.0)) / left if left else level
+        if rising <= level:
+            break
+        level = rising
+    return of.select("source", "n", "source_size", F.least("most", F.col("w") * level).alias("target") if left else F.col("most").alias("target"))
 
 
 def _pivot(items: Column) -> Column:
@@ -99,45 +111,18 @@ def _pivot(items: Column) -> Column:
     return F.aggregate(items, zero, step)
 
 
-def _root(items: Column) -> Column:
-    """The last block of a source made certain: left-overs first, then the reserve from the largest on against its pool."""
-    # Of equal rank the larger stands first; hashes break ties.
-    zero = F.struct(
-        F.array().cast(f"array<{DONE}>").alias("done"),
-        F.aggregate(items, F.lit(0.0), lambda a, x: a + x["p"] * x["size"]).alias("owed"),
-        F.aggregate(items, F.lit(0.0), lambda a, x: a + F.when(x["reserve"] == 1, x["size"]).otherwise(0)).alias("pool"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        fraction = F.when(x["reserve"] == 0, x["p"]).otherwise(F.least(F.greatest(acc["owed"] / acc["pool"], F.lit(0.0)), (MOST_COPIES * x["m"] - x["whole"]).cast("double")))
-
-        def take(v: Column) -> Column:
-            bit = (F.floor(v) + F.when(_unit("root", x["doc_id"], x["size"]) < v - F.floor(v), 1).otherwise(0)).cast("bigint")
-            return _let(
-                bit,
-                lambda b: F.struct(
-                    F.concat(acc["done"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["m"].alias("m"), (x["whole"] + b).alias("copies")))).alias("done"),
-                    (acc["owed"] - b * x["size"]).alias("owed"),
-                    F.when(x["reserve"] == 1, acc["pool"] - x["size"]).otherwise(acc["pool"]).alias("pool"),
-                ),
-            )
-
-        return _let(fraction, take)
-
-    return F.aggregate(items, zero, step)["done"]
-
-
 def _join_sources(rows: DataFrame, of: DataFrame, n: int) -> DataFrame:
     of = of.withColumnRenamed("source", "__s")
     return rows.join(F.broadcast(of) if n <= BROADCAST_SOURCES else of, rows["source"].eqNullSafe(of["__s"])).drop("__s")
 
 
-def copies(sizes: DataFrame, block: int = BLOCK, reserve: int = RESERVE) -> tuple[DataFrame, DataFrame]:
+def copies(sizes: DataFrame, block: int = BLOCK, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """From (doc_id, source, size): items (doc_id, source, size, m, copies) and the sources' numbers.
 
-    ``m`` counts repeated rows; ``copies`` is what all of them together are copied. ``sizes`` is read more than once.
+    ``m`` counts repeated rows; ``copies`` is what all of them together are copied. ``sizes`` is read more than once;
+    ``of`` are the sources' targets, as ``targets`` gives them.
     """
-    of = written(targets(sizes))
+    of = written(targets(sizes) if of is None else of)
     n, most = of.agg(F.count("*"), F.max("n")).first()
     items = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     items = _join_sources(items, of.select("source", "n", (F.col("target") / F.greatest("source_size", F.lit(1))).alias("f")), n)
@@ -145,24 +130,20 @@ def copies(sizes: DataFrame, block: int = BLOCK, reserve: int = RESERVE) -> tupl
     items = items.withColumn("whole", F.floor(share + 1e-12).cast("bigint")).withColumn("p", F.greatest(share - F.col("whole"), F.lit(0.0)))
     odds = F.when(_unit("empty", F.col("doc_id"), F.col("source")) < F.col("p"), 1).otherwise(0)
     sure = (F.col("size") == 0) | (F.col("p") < 1e-12)
-    items = items.select("doc_id", "source", "size", "m", "whole", "p", sure.alias("sure"), (F.col("whole") + F.when(F.col("size") == 0, odds).otherwise(0)).alias("copies"),
-                         (_unit("reserve", F.col("doc_id"), F.col("size")) * F.col("n") < reserve).alias("reserve"), F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
-    item = F.struct(*[c for c in ("doc_id", "size", "m", "whole", "p")])
-    fraction = items.where(~F.col("sure"))
+    items = items.select("doc_id", "source", "size", "m", "whole", "p", sure.alias("sure"), (F.col("whole") + F.when(F.col("size") == 0, odds).otherwise(0)).alias("copies"), F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
     done = [items.where("sure").select("doc_id", "source", "size", "m", "copies")]
-    rest = fraction.where(~F.col("reserve")).select("source", "blocks", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "size"), F.col("blocks")).alias("block"), item.alias("item"))
+    item = F.struct("doc_id", "size", "m", "whole", "p")
+    rest = items.where(~F.col("sure")).select("source", "blocks", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "size"), F.col("blocks")).alias("block"), item.alias("item"))
+    order = lambda x: F.struct((-x["size"]).alias("by"), F.xxhash64(F.lit("order"), x["doc_id"], x["size"]).alias("h"), x.alias("item"))
     tree = most or 0
     while tree > 0:  # each level divides the blocks of the largest source by BLOCK
-        order = lambda x: F.struct(F.xxhash64(F.lit("order"), x["doc_id"], x["size"]).alias("h"), x.alias("item"))
         level = rest.groupBy("source", "blocks", "block").agg(F.transform(F.array_sort(F.collect_list(order(F.col("item")))), lambda x: x["item"]).alias("items"))
         level = written(level.select("source", "blocks", "block", _pivot(F.col("items")).alias("r")))
         done.append(level.select("source", F.explode("r.done").alias("d")).select("d.doc_id", "source", "d.size", "d.m", "d.copies"))
         rest = level.where(F.col("r.left").isNotNull()).select("source", F.ceil(F.col("blocks") / block).cast("bigint").alias("blocks"), F.pmod("block", F.ceil(F.col("blocks") / block)).alias("block"), F.col("r.left").alias("item"))
         tree = 0 if tree <= block else -(-tree // block)
-    ranked = lambda reserve: F.struct(F.lit(reserve).alias("reserve"), (-F.col("item.size")).alias("by"), F.xxhash64(F.lit("rank"), "item.doc_id").alias("h"), F.col("item.*"))
-    last = rest.select("source", ranked(0).alias("item")).unionByName(fraction.where("reserve").select("source", item.alias("item")).select("source", ranked(1).alias("item")))
-    root = last.groupBy("source").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", F.explode(_root(F.col("items"))).alias("d"))
-    done.append(root.select("d.doc_id", "source", "d.size", "d.m", "d.copies"))
+    last = F.when(_unit("last", F.col("item.doc_id"), F.col("item.size")) < F.col("item.p"), 1).otherwise(0)
+    done.append(rest.select("item.doc_id", "source", "item.size", "item.m", (F.col("item.whole") + last).cast("bigint").alias("copies")))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
