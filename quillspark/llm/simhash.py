@@ -2,19 +2,17 @@
 
 Two fingerprints at distance d meet if each emits all variants within d / 2 flips: some variant is common to both. For
 radius 4 a whole fingerprint would emit 1 + 64 + 2016 = 2081 variants. Of two fingerprints at most 4 bits apart, though,
-one 32-bit half is at most 2 bits apart, so balls of radius 1 around each half meet: 2 x 33 variants, shuffled on
-(half, variant), and pairs that collide are verified on all 64 bits. A bucket that more than ``DENSE`` distinct
-fingerprints share is not compared pair by pair: its members emit the 2081 variants of the whole word, where a bucket's
-members are within 4 bits of one another only by way of the common variant, hold at most 2081 fingerprints each, and are
-linked to the smallest in one pass. Above ``WHOLE_WORD_FROM`` distinct fingerprints, where 32-bit buckets fill up by
-chance, everything takes the whole-word balls. All three ways give the same components.
+one 32-bit half is at most 2 bits apart, so balls of half that radius around each half meet: 2 x 33 variants, shuffled on
+(half, variant), and pairs that collide are verified on all 64 bits. This is one plan for every size of table.
 
-Whole-word buckets link fingerprints that share a variant within 2 flips, that is, at most 4 bits apart: no verification
-can fail there.
+A bucket that more than ``DENSE`` distinct fingerprints share is not compared pair by pair, which would take the square of
+their number: its members emit the 2081 variants of the whole word. Fingerprints that share one of these are at most 4 bits
+apart, so they need no verification and are linked to the smallest in one pass. The components are the same.
 
 Null texts and texts without a word have fingerprint zero and link like any other. Equal fingerprints are one node, so
-groups of copies cost one row. Repeated rows get equal results; a null doc_id never becomes a component's id unless the
-component has no other (then it is null). Only ``doc_id`` and ``text`` are read.
+groups of copies cost one row, and fingerprints of many documents are joined apart. Repeated rows get equal results; a null
+doc_id never becomes a component's id unless the component has no other (then it is null). Only ``doc_id`` and ``text`` are
+read; ``drop_near_duplicates`` passes all columns on.
 """
 
 from __future__ import annotations
@@ -25,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import map_batches, sorted_runs, written
 from quillspark.llm.components import components
 
 SHINGLE, BITS, RADIUS = 4, 64, 4
 DENSE = 512
-WHOLE_WORD_FROM = 1 << 31
+#: Fingerprints with more than one in so many rows are joined by broadcast: there are fewer than so many of them.
+HOT = 1000
 #: Shingles hashed at a time, which bounds memory for very long texts.
 BLOCK = 200_000
 
@@ -133,10 +133,8 @@ def _links(emitted: DataFrame, verify: bool) -> DataFrame:
     return emitted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def fingerprint_components(fps: DataFrame, whole_word_from: int = WHOLE_WORD_FROM) -> DataFrame:
+def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp, root) for every distinct fingerprint of ``fps`` (fp long) that has a link."""
-    if fps.limit(1).count() and fps.count() >= whole_word_from:
-        return components(_links(_emit(fps, whole_variants, 200), verify=False)).withColumnRenamed("node", "fp")
     found = written(_links(_emit(fps, half_variants, 4000), verify=True))
     dense = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     links = found.where(F.col("b").isNotNull())
@@ -146,29 +144,52 @@ def fingerprint_components(fps: DataFrame, whole_word_from: int = WHOLE_WORD_FRO
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``."""
+    """(doc_id, fp, root, component_id) for each row of ``docs``; ``root`` is one fingerprint of the component's."""
     thin = written(fingerprints(docs))
-    nodes = written(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = written(thin.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = written(fingerprint_components(nodes.select("fp")))
     rooted = nodes.join(roots, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    of_fp = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return thin.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    of_fp = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    of_fp = written(of_fp)
+    hot = F.broadcast(of_fp.where(F.col("n") * HOT > thin.count()).drop("n"))
+    found = thin.join(hot, "fp").unionByName(thin.join(hot.select("fp"), "fp", "left_anti").join(of_fp.drop("n"), "fp"))
+    return found.select("doc_id", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one whose doc_id is the component's. Of rows that repeat a kept doc_id one stays.
+    """One document of each group: the one whose doc_id is the component's.
 
-    Rows without a doc_id can't be told apart by it and all stay.
+    Where rows repeat that doc_id, or a component has null ids alone, the one with the least fingerprint stays, and of equal
+    ones that with the least digest of all its columns.
     """
     found = written(near_duplicates(docs))
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept_id"), (F.col("n") > 1).alias("__repeated"))
-    kept = docs.join(stay, docs["doc_id"] == F.col("__kept_id"), "left").where(F.col("__kept_id").isNotNull() | F.col("doc_id").isNull())
-    if stay.where("__repeated").limit(1).count():
-        again = kept.where(F.coalesce("__repeated", F.lit(False))).dropDuplicates(["doc_id"])
-        kept = kept.where(~F.coalesce("__repeated", F.lit(False))).unionByName(again)
-    return kept.select(*docs.columns)
+    stay = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp")))
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("__again")).where("__again")
+    ids = stay.where("doc_id IS NOT NULL").select("doc_id").distinct().join(again, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.coalesce("__again", F.lit(False)).alias("__again"))
+    ids = written(ids)
+    own = docs["doc_id"].cast("long")
+    joined = docs.join(ids, own == F.col("__id"))
+    kept = joined.where("NOT __again").select(*docs.columns)
+    odd = joined.where("__again").select(*docs.columns).unionByName(docs.where(own.isNull()))
+    if ids.where("__again").limit(1).count() or stay.where("doc_id IS NULL").limit(1).count():
+        rows = odd.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+        names = ["text", "doc_id", "row"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fp = np.array([fingerprint(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.uint64).view(np.int64)
+                cols = [batch.column(batch.schema.get_field_index(c)) for c in names[1:]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(fp)], names=[*names[1:], "fp"])
+
+        schema = T.StructType().add("doc_id", T.LongType()).add("row", rows.schema["row"].dataType).add("fp", T.LongType())
+        each = rows.select(*names).mapInArrow(run, schema).select("doc_id", "fp", "row")
+        mine = stay.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+        each = each.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
+        one = each.groupBy("doc_id", "fp").agg(F.min_by("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"}))).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

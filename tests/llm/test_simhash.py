@@ -43,9 +43,9 @@ def test_groups_of_documents(spark, docs):
     assert all(found[i]["component_id"] == label[i] for i in ids)
 
 
-@pytest.mark.parametrize("dense,whole", [(512, 1 << 31), (3, 1 << 31), (512, 0)])
-def test_three_ways_agree(spark, monkeypatch, dense, whole):
-    """Compared in buckets, by whole-word balls for dense buckets, by whole-word balls for all."""
+@pytest.mark.parametrize("dense", [512, 3, 1])
+def test_dense_buckets_agree(spark, monkeypatch, dense):
+    """Compared in buckets, or by whole-word balls for some or nearly all of them."""
     monkeypatch.setattr(H, "DENSE", dense)
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
@@ -55,7 +55,7 @@ def test_three_ways_agree(spark, monkeypatch, dense, whole):
             fps.add(s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 8), replace=False)))
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {r["fp"]: r["root"] for r in H.fingerprint_components(spark.createDataFrame([(x,) for x in signed], "fp long"), whole).collect()}
+    got = {r["fp"]: r["root"] for r in H.fingerprint_components(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
     label = groups(signed, fps)
     assert all(got.get(x, x) == label[x] for x in signed)
 
@@ -74,10 +74,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = H.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 4, 6, 7]
+    nulls = odd_docs.where("doc_id IS NULL")
+    assert H.drop_near_duplicates(nulls.unionByName(nulls)).count() == 1
     assert kept.where("doc_id IS NULL").count() == 1
     assert H.near_duplicates(no_docs).collect() == [] == H.drop_near_duplicates(no_docs).collect()
 
 
+def test_ids_with_several_texts(spark, monkeypatch):
+    """A row stays for its own text, whatever other rows have its id; reruns keep the same rows."""
+    a, b = ("".join(f"{w}{i} " for i in range(30)) for w in ("alpha", "beta"))
+    rows = [(2, b, "x"), (5, a, "y"), (5, b, "z"), (5, a, "a"), (None, b, "n"), (None, "only here " * 20, "m")]
+    for hot in (1, 1000):
+        monkeypatch.setattr(H, "HOT", hot)
+        got = [sorted(map(tuple, H.drop_near_duplicates(spark.createDataFrame(r, "doc_id long, text string, source string")).collect()), key=str) for r in (rows, rows[::-1])]
+        assert got[0] == got[1]
+        assert [r[:2] for r in got[0]] == sorted([(2, b), (5, a), (None, "only here " * 20)], key=str)
+
+
 def test_copies_keep_one(spark, docs):
     copies = docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)
     kept = {r["doc_id"] for r in H.drop_near_duplicates(docs.unionByName(copies)).collect()}
