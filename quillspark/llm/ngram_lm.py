@@ -1,14 +1,21 @@
-"""Scoring by an interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Scoring by an interpolated modified Kneser-Ney n-gram model, counted in Spark, in sorted hash arrays that workers map.
 
-1. Words are hashed (XXH64) and counted; counts meet in shards by the hash's leading bits, so the shards in turn are one
-   sorted hash array. A word's id is its place in it.
-2. Bigrams of ids are mixed into 64-bit keys without collisions, counted, and meet in shards by the key's leading bits:
-   sorted key arrays with counts. A frequent context thus spreads over all shards.
-3. Each bigram shard sums its words' parts of context counts and continuation counts; these meet in the words' shards.
-4. Workers map the arrays into memory and look sorted keys up in them.
+Documents are put into packs of about ``PACK`` characters, written once. An n-gram is a 64-bit hash of its words' hashes
+(XXH64), so a k-gram's key follows from that of its first k - 1 words and its last word. From the longest n-grams down,
+each level is one round over the packs:
 
-Partial counts are summed before every shuffle, and shards grow in number with the corpus, not in size. Files are written
-whole and renamed, so a repeated task does no harm. The driver sees a few numbers a shard.
+1. Every pack sends its distinct keys, sorted, to their shards (by leading bits), each with what the pack adds to it: the
+   longest n-grams their counts; shorter ones how many distinct n-grams one word longer end in them (continuation counts)
+   and, as contexts, the counts and the numbers of once, twice and more often seen n-grams that begin with them.
+2. A shard sums what packs sent into one sorted hash array with its values, writes it, maps it into memory, and looks up
+   each pack's keys in it. Of the packs that have an n-gram one is told that it owns it, so it is passed on to the next
+   level once.
+3. Answers meet by pack, in one file.
+
+In the end each pack scores its documents from its own answers. A worker thus maps one shard at a time and reads one pack's
+answers: neither a whole model nor a shard for each document goes anywhere, and what is shuffled grows with the documents. A
+frequent n-gram is one key a pack. Files are written whole under fixed names with contents that a repeated task makes
+again. The driver sees a few numbers a shard.
 
 Null texts are empty: one end token. Repeated rows count as often as they occur. With nothing to learn from, every token has
 probability 1 / (V + 1). Only doc_id and text are read.
@@ -16,28 +23,27 @@ probability 1 / (V + 1). Only doc_id and text are read.
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import crc_mod, map_batches, shared_folder
+from quillspark.llm.common import crc_mod, shared_folder, written
 
-#: Entries that a shard holds, about; words handled at a time in a task.
-SHARD_WORDS, SHARD_PAIRS, AT_ONCE = 400_000, 1_500_000, 2_000_000
+#: Words of an n-gram; characters of a pack and keys of a shard, about.
+ORDER, PACK, SHARD = 2, 10_000_000, 1_500_000
 _MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Files:
-    """Whole files of the shared folder: mapped in place where it is mounted, else copied to the worker and mapped."""
+    """Whole arrays and bytes in the shared folder: mapped in place where it is mounted, else copied to the worker and mapped."""
 
     def __init__(self, url: str):
         parsed = urlparse(url)
@@ -49,39 +55,53 @@ class Files:
 
         return fs.FileSystem.from_uri(self.url)
 
-    def put(self, name: str, array: np.ndarray) -> None:
+    def put(self, name: str, data: bytes) -> None:
+        """Write a file whole. One that is there already came from the same task and holds the same."""
         if self.local:
             os.makedirs(self.local, exist_ok=True)
             part = f"{self.local}/.{name}.{uuid.uuid4().hex}"
-            array.tofile(part)
+            with open(part, "wb") as out:
+                out.write(data)
             os.replace(part, f"{self.local}/{name}")
-        else:
-            store, root = self._remote()
-            store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/{name}.{uuid.uuid4().hex}") as out:
-                out.write(array.tobytes())
-                part = f"{root}/{name}"
-            found = [f.path for f in store.get_file_info(_selector(root)) if f.path.startswith(f"{part}.")]
-            store.move(found[-1], part)
+            return
+        from pyarrow import fs
+
+        store, root = self._remote()
+        store.create_dir(root, recursive=True)
+        part = f"{root}/.{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(data)
+        there = lambda: store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound
+        try:
+            if not there():
+                store.move(part, f"{root}/{name}")
+                return
+        except OSError:
+            if not there():
+                raise
+        store.delete_file(part)
+
+    def put_array(self, name: str, array: np.ndarray) -> None:
+        self.put(name, np.ascontiguousarray(array).tobytes())
+
+    def get(self, name: str) -> bytes:
+        if self.local:
+            with open(f"{self.local}/{name}", "rb") as source:
+                return source.read()
+        store, root = self._remote()
+        with store.open_input_stream(f"{root}/{name}") as source:
+            return source.read()
 
     def map(self, name: str, kind: str) -> np.ndarray:
         if self.local:
             path = f"{self.local}/{name}"
             return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-        store, root = self._remote()
-        with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(f"{root}/{name}") as source:
-            while data := source.read(1 << 24):
-                copy.write(data)
+        with tempfile.NamedTemporaryFile() as copy:
+            copy.write(self.get(name))
             copy.flush()  # the file is unlinked at once; the mapping keeps it
             return np.memmap(copy.name, kind, "r") if copy.tell() else np.zeros(0, kind)
 
 
-def _selector(root: str):
-    from pyarrow import fs
-
-    return fs.FileSelector(root)
-
-
 def mixed(keys: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64-bit keys."""
     for shift, by in _MIX:
@@ -89,19 +109,6 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
-def unmixed(keys: np.ndarray) -> np.ndarray:
-    def unshift(x: np.ndarray, s: int) -> np.ndarray:
-        out = x
-        for _ in range(64 // s):
-            out = x ^ (out >> np.uint64(s))
-        return out
-
-    keys = unshift(keys, 31)
-    for shift, by in reversed(_MIX):
-        keys = unshift(keys * np.uint64(pow(by, -1, 1 << 64)), shift)
-    return keys
-
-
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length, the first one ascending, compressed: differences, bytes of equal rank together."""
     import zstandard
@@ -124,12 +131,20 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys, ascending, with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return [keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v[:0] for v in values)]
+def squeezed(*columns: np.ndarray) -> bytes:
+    """64-bit columns of equal length in any order, compressed."""
+    import zstandard
+
+    raw = b"".join(np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(len(c), 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueezed(data: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = len(raw) // n
+    return [np.ascontiguousarray(raw[i * size : (i + 1) * size].reshape(8, size // 8).T).view(np.uint64).ravel() for i in range(n)]
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,17 +160,71 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, np.uint64), np.array(sizes, np.int64)
 
 
-def _parts(texts: list[str | None], at_once: int = AT_ONCE) -> Iterator[list[str | None]]:
-    """Texts of about so many words together; a longer text stands alone."""
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "") // 6 + 1
-        if n >= at_once:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def starts(order: int) -> list[np.ndarray]:
+    """Keys of 1, 2, .. starts of a text in a row. No word has the hash of the first."""
+    from xxhash import xxh64_intdigest as h
+
+    out = [np.array([h(b"\n\n")], np.uint64)]
+    for _ in range(order - 1):
+        out.append(mixed(out[-1] * _NEXT + out[0]))
+    return out
+
+
+class Grams:
+    """The n-grams of a pack's documents: by level k (from 1) the key of the k words that end at each token."""
+
+    def __init__(self, texts: list[str | None], order: int):
+        words, self.sizes = tokens(texts)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.start = starts(order)
+        self.keys = [words]
+        for k in range(1, order):
+            self.keys.append(mixed(self.before(k) * _NEXT + words))
+
+    def before(self, k: int) -> np.ndarray:
+        """The keys of the k words before each token."""
+        out = np.empty_like(self.keys[k - 1])
+        out[1:] = self.keys[k - 1][:-1]
+        out[self.first] = self.start[k - 1]
+        return out
+
+    def distinct(self, k: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys of level k, ascending; a token at which each one ends, or -1), contexts of starts included."""
+        keys, at = np.unique(self.keys[k - 1], return_index=True)
+        if k < order:
+            place = int(np.searchsorted(keys, self.start[k - 1][0]))
+            keys, at = np.insert(keys, place, self.start[k - 1][0]), np.insert(at, place, -1)
+        return keys, at
+
+
+def _cut_columns(k: int, order: int) -> int:
+    """Values of a key at level k: its count; below the top also what it counts as a context; for words, their raw counts too."""
+    return 1 if k == order else 5 if k > 1 else 6
+
+
+def packs(docs: DataFrame, learn: Column, chars: int = PACK) -> DataFrame:
+    """(pack, doc_id, learn, text): documents in packs of about so many characters, a list a column; written, as pack ids are drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [[], [], []], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n and n + len(row[2] or "") > chars:
+                    yield _pack(held)
+                    held, n = [[], [], []], 0
+                for h, v in zip(held, row, strict=True):
+                    h.append(v)
+                n += len(row[2] or "") + 1
+        if n:
+            yield _pack(held)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text")
+    return written(rows.mapInArrow(run, "pack long, doc_id array<long>, learn array<boolean>, text array<string>"))
+
+
+def _pack(held: list[list]) -> pa.RecordBatch:
+    cols = [pa.array([uuid.uuid4().int >> 65], pa.int64())] + [pa.array([h], pa.list_(t)) for h, t in zip(held, (pa.int64(), pa.bool_(), pa.string()), strict=True)]
+    return pa.RecordBatch.from_arrays(cols, names=["pack", "doc_id", "learn", "text"])
 
 
 def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -164,12 +233,96 @@ def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _by_shard(rows: DataFrame) -> DataFrame:
-    return rows.repartition("shard").sortWithinPartitions("shard")
+def _bits(entries: float, each: int) -> int:
+    return max(2, int(np.ceil(np.log2(max(1.0, entries / each)))))
+
+
+def _emitted(grams: Grams, learn: np.ndarray, k: int, order: int, above: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A pack's distinct keys of level k and what it adds to their values; ``above`` are the answers of level k + 1."""
+    keys, _ = grams.distinct(k, order)
+    size = len(keys)
+    tally = lambda of, weights=None: np.bincount(np.searchsorted(keys, of), weights, size).astype(np.uint64)
+    raw = tally(grams.keys[k - 1][np.repeat(learn, grams.sizes)]) if k in (1, order) else None
+    if k == order:
+        return keys, [raw]
+    _, at = grams.distinct(k + 1, order)
+    own = at[(above[-1] > 0) & (at >= 0)]
+    seen = above[0][(above[-1] > 0) & (at >= 0)]
+    context = grams.before(k)[own]
+    columns = [tally(grams.keys[k - 1][own]), tally(context, seen.astype(np.float64)), *(tally(context[x]) for x in (seen == 1, seen == 2, seen > 2))]
+    return keys, [*columns, raw] if k == 1 else columns
+
 
+def _answers(files: Files, pack: int, k: int, order: int) -> list[np.ndarray]:
+    return unsqueezed(files.get(f"answer-{k}-{pack}"), _cut_columns(k, order) + 1)
 
-def _merged(batches: Iterator[pa.RecordBatch], shards_first: int = 0) -> Iterator[tuple[int, list[tuple]]]:
-    """(shard, its rows) from batches sorted by shard."""
+
+def level(of: DataFrame, files: Files, k: int, order: int, bits: int) -> np.ndarray:
+    """One round: sends level k's keys to their shards, sums and answers them. Returns tallies over all shards.
+
+    These are: keys with a count, their counts' sum, keys with a count of 1, 2, 3, 4 and above 2, words learned, their tokens.
+    """
+    columns = _cut_columns(k, order)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack, learn, texts = (batch.column(c)[i].as_py() for c in range(3))
+                above = _answers(files, pack, k + 1, order) if k < order else None
+                keys, values = _emitted(Grams(texts, order), np.array(learn, bool), k, order, above)
+                cut = _cut(keys, bits)
+                shards = [x for x in range(1 << bits) if cut[x + 1] > cut[x]]
+                data = [packed(keys[cut[x] : cut[x + 1]], *(v[cut[x] : cut[x + 1]] for v in values)) for x in shards]
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([pack] * len(shards), pa.int64()), pa.array(data, pa.binary())], names=["shard", "pack", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches):
+            asked = [unpacked(r[2], "u8", *["u8"] * columns) for r in rows]
+            every = [np.concatenate(c) for c in zip(*asked, strict=True)]
+            order_ = np.argsort(every[0], kind="stable")
+            keys = every[0][order_]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sums = [np.add.reduceat(v[order_], first) for v in every[1:]]
+            # The first pack that adds to an n-gram's count owns it.
+            place = np.where(every[1][order_] > 0, np.arange(len(keys)), len(keys))
+            owner = np.minimum.reduceat(place, first)
+            own = np.zeros(len(keys), np.uint64)
+            own[order_[owner[owner < len(keys)]]] = 1
+            known = np.any([x > 0 for x in sums], axis=0)
+            files.put_array(f"keys-{k}-{shard}", keys[first][known])
+            kinds = []
+            for j, x in enumerate(sums):
+                kinds.append(np.min_scalar_type(int(x.max(initial=0))).str.lstrip("<|"))
+                files.put_array(f"values-{k}-{j}-{shard}.{kinds[-1]}", x[known].astype(kinds[-1]))
+            model = files.map(f"keys-{k}-{shard}", "u8"), [files.map(f"values-{k}-{j}-{shard}.{t}", t) for j, t in enumerate(kinds)]
+            at = 0
+            for (_, pack, _), (wanted, *_) in zip(rows, asked, strict=True):
+                answer = [*looked_up(wanted, *model), own[at : at + len(wanted)]]
+                at += len(wanted)
+                yield _answer(pack, shard, squeezed(*answer), None)
+            c = sums[0]
+            tally = [(c > 0).sum(), c.sum(), *((c == n).sum() for n in (1, 2, 3, 4)), (c > 2).sum(), *([(sums[5] > 0).sum(), sums[5].sum()] if k == 1 else [])]
+            yield _answer(-1, shard, None, [int(x) for x in tally])
+
+    sent = of.select("pack", "learn", "text").mapInArrow(emit, "shard long, pack long, data binary")
+    found = written(sent.repartition("shard").sortWithinPartitions("shard", "pack").mapInArrow(merge, "pack long, shard long, data binary, tally array<bigint>"))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, rows in _groups(batches):
+            parts = [unsqueezed(r[2], columns + 1) for r in rows]
+            files.put(f"answer-{k}-{pack}", squeezed(*map(np.concatenate, zip(*parts, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64())], names=["pack"])
+
+    found.where("pack >= 0").select("pack", "shard", "data").repartition("pack").sortWithinPartitions("pack", "shard").mapInArrow(store, "pack long").agg(F.count("*")).collect()
+    sums = found.where("pack < 0").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    out = np.zeros(9, np.int64)
+    for r in sums:
+        out[r["pos"]] = r["n"]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, its rows) from batches sorted by their first column."""
     now, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -182,133 +335,22 @@ def _merged(batches: Iterator[pa.RecordBatch], shards_first: int = 0) -> Iterato
         yield now, rows
 
 
-def _bits(entries: float, each: int) -> int:
-    return max(2, int(np.ceil(np.log2(max(1.0, entries / each)))))
-
+def _answer(pack: int, shard: int, data: bytes | None, tally: list | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([shard], pa.int64()), pa.array([data], pa.binary()), pa.array([tally], pa.list_(pa.int64()))], names=["pack", "shard", "data", "tally"])
 
-def count_words(train: DataFrame, files: Files, bits: int) -> np.ndarray:
-    """Writes the words' hashes and counts by shard; returns (shards, 2): distinct words and tokens."""
 
-    def emit(batches):
-        kept: list[list[np.ndarray]] = []
-        for batch in batches:
-            for part in _parts(batch.column(0).to_pylist()):
-                h, _ = tokens(part)
-                kept.append(list(np.unique(h, return_counts=True)))
-                if len(kept) > 8:
-                    kept = [summed(*map(np.concatenate, zip(*kept, strict=True)))]
-        if kept:
-            keys, counts = summed(*map(np.concatenate, zip(*kept, strict=True)))
-            yield _rows(keys, [counts.astype(np.uint64)], _cut(keys, bits))
-
-    def merge(batches):
-        for shard, rows in _merged(batches):
-            parts = [unpacked(r[1], "u8", "u8") for r in rows]
-            keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True)))
-            files.put(f"word-{shard}", keys)
-            files.put(f"count-{shard}", counts)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "n", "total"])
-
-    found = _by_shard(train.select("text").mapInArrow(emit, "shard long, data binary")).mapInArrow(merge, "shard long, n long, total long").collect()
-    out = np.zeros((1 << bits, 2), np.int64)
-    for r in found:
-        out[r["shard"]] = r["n"], r["total"]
+def looked_up(wanted: np.ndarray, keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """The values of ascending keys in a sorted hash array; 0 for those it lacks."""
+    out = [np.zeros(len(wanted), np.uint64) for _ in values]
+    if len(keys):
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        hit = keys[at] == wanted
+        for o, v in zip(out, values, strict=True):
+            o[hit] = v[at[hit]]
     return out
 
 
-def _rows(keys: np.ndarray, values: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-    shards = [i for i in range(len(cut) - 1) if cut[i + 1] > cut[i]]
-    data = [packed(keys[cut[i] : cut[i + 1]], *(v[cut[i] : cut[i + 1]] for v in values)) for i in shards]
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(data, pa.binary())], names=["shard", "data"])
-
-
-class Words:
-    """The sorted hash array of all words with what is known of each, mapped shard by shard."""
-
-    def __init__(self, files: Files, sizes: np.ndarray, known: tuple[tuple[str, str], ...]):
-        self.bits = int(np.log2(len(sizes)))
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        shards = [i for i, n in enumerate(sizes) if n]
-        self.keys = {i: files.map(f"word-{i}", "u8") for i in shards}
-        self.known = [{i: files.map(f"{name}-{i}", kind) for i in shards} for name, kind in known]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """ids (or the number of words, for unknown ones) and what is known (or 0) of ascending hashes."""
-        ids = np.full(len(hashes), self.first[-1], np.int64)
-        out = [np.zeros(len(hashes), next(iter(k.values())).dtype if k else np.int64) for k in self.known]
-        cut = _cut(hashes, self.bits)
-        for i, keys in self.keys.items():
-            lo, hi = cut[i], cut[i + 1]
-            if hi > lo:
-                at = np.searchsorted(keys, hashes[lo:hi])
-                at[at == len(keys)] = 0
-                hit = keys[at] == hashes[lo:hi]
-                ids[lo:hi][hit] = self.first[i] + at[hit]
-                for o, k in zip(out, self.known, strict=True):
-                    o[lo:hi][hit] = k[i][at[hit]]
-        return ids, out
-
-
-def _pairs(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """Mixed keys of (previous id, id); the first token of a text follows the start."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = start
-    return mixed(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)), before
-
-
-@lru_cache(2)
-def _words(url: str, sizes: bytes, known: tuple) -> Words:
-    return Words(Files(url), np.frombuffer(sizes, np.int64), known)
-
-
-def count_pairs(train: DataFrame, files: Files, word_sizes: np.ndarray, bits: int) -> tuple[list, DataFrame]:
-    """Writes the pairs' keys and counts by shard; returns what each shard says of all, and a table of parts for words."""
-    url, sizes, vocabulary = files.url, word_sizes.tobytes(), int(word_sizes.sum())
-    word_bits = int(np.log2(len(word_sizes)))
-    first = np.concatenate([[0], np.cumsum(word_sizes)])
-
-    def emit(batches):
-        words = _words(url, sizes, ())
-        for batch in batches:
-            for part in _parts(batch.column(0).to_pylist()):
-                h, n = tokens(part)
-                distinct, place = np.unique(h, return_inverse=True)
-                keys, counts = np.unique(_pairs(words.find(distinct)[0][place], n, vocabulary)[0], return_counts=True)
-                yield _rows(keys, [counts.astype(np.uint32)], _cut(keys, bits))
-
-    def merge(batches):
-        for shard, rows in _merged(batches):
-            parts = [unpacked(r[1], "u8", "u4") for r in rows]
-            keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True)))
-            files.put(f"pair-{shard}", keys)
-            files.put(f"pairs-{shard}", counts.astype(np.uint32))
-            both, c = unmixed(keys), counts.astype(np.int64)
-            one, two = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-            contexts = summed(one, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-            after = summed(two, np.ones(len(two), np.int64))
-            begun = contexts[0] == vocabulary
-            tally = [len(keys), *((c == k).sum() for k in (1, 2, 3, 4)), *(v[begun].sum() for v in contexts[1:])]
-            contexts = [x[~begun] for x in contexts]
-            for kind, (ids, *values) in ((0, contexts), (1, after)):
-                cut = np.searchsorted(ids, first.astype(np.uint64))
-                for i in np.flatnonzero(np.diff(cut)):
-                    data = packed(ids[cut[i] : cut[i + 1]], *(v[cut[i] : cut[i + 1]] for v in values))
-                    yield _part(int(i), kind, data, None)
-            yield _part(-1 - shard, 2, None, [int(x) for x in tally])
-
-    assert word_bits >= 0
-    rows = _by_shard(train.select("text").mapInArrow(emit, "shard long, data binary")).mapInArrow(merge, "shard long, kind int, data binary, tally array<bigint>")
-    from quillspark.llm.common import written
-
-    rows = written(rows)
-    return [(-1 - r["shard"], r["tally"]) for r in rows.where("kind = 2").select("shard", "tally").collect()], rows.where("kind < 2").select("shard", "data", "kind")
-
-
-def _part(shard: int, kind: int, data: bytes | None, tally: list | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), pa.array([tally], pa.list_(pa.int64()))], names=["shard", "kind", "data", "tally"])
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and above; each kept between 0 and its count where counts are few."""
     if not n1:
@@ -320,118 +362,68 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return d1, d2, d3
 
 
-def gather(parts: DataFrame, files: Files, word_sizes: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
-    """Writes, for each word, its count as a context, its back-off weight and its continuation count; returns these counts' tallies."""
-    first = np.concatenate([[0], np.cumsum(word_sizes)])
-
-    def merge(batches):
-        for shard, rows in _merged(batches):
-            n = int(word_sizes[shard])
-            context, after = np.zeros((4, n), np.int64), np.zeros(n, np.int64)
-            for _, data, kind in rows:
-                ids, *values = unpacked(data, "u8", *["i8"] * (4 if kind == 0 else 1))
-                at = (ids - np.uint64(first[shard])).astype(np.int64)
-                if kind == 0:
-                    context[:, at] += np.array(values)
-                else:
-                    after[at] += values[0]
-            total = np.maximum(context[0], 1)
-            files.put(f"context-{shard}", context[0].astype(np.uint64))
-            files.put(f"weight-{shard}", ((cut[0] * context[1] + cut[1] * context[2] + cut[2] * context[3]) / total).astype(np.float64))
-            files.put(f"after-{shard}", after.astype(np.uint32))
-            tally = [int(after.sum()), *(int((after == k).sum()) for k in (1, 2, 3, 4)), int((after > 2).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([tally], pa.list_(pa.int64()))], names=["tally"])
-
-    found = _by_shard(parts).mapInArrow(merge, "tally array<bigint>").collect()
-    return np.array([r["tally"] for r in found], np.int64).reshape(-1, 6).sum(axis=0)
-
-
-def train(docs: DataFrame) -> dict:
-    """Learns from all of ``docs`` (text); the model is a folder of arrays and the numbers returned here."""
-    files = Files(f"{shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}")
-    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    found = count_words(docs, files, _bits(size / 60, SHARD_WORDS))
-    words, total = found[:, 0].copy(), int(found[:, 1].sum())
-    if int(words.sum()) >= (1 << 32) - 2:
-        raise ValueError("more words than 32-bit ids")
-    bits = _bits(total / 2, SHARD_PAIRS)
-    tallies, parts = count_pairs(docs, files, words, bits)
-    n = np.array([t for _, t in tallies], np.int64).reshape(-1, 9).sum(axis=0)
-    sizes = np.zeros(1 << bits, np.int64)
-    for shard, t in tallies:
-        sizes[shard] = t[0]
-    cut = discounts(*n[1:5].tolist())
-    after = gather(parts, files, words, cut)
-    cut_after = discounts(*after[1:5].tolist())
-    begun = (cut[0] * n[6] + cut[1] * n[7] + cut[2] * n[8]) / max(1, n[5])
-    left = (cut_after[0] * after[1] + cut_after[1] * after[2] + cut_after[2] * after[5]) / max(1, after[0]) if after[0] else 1.0
-    return {
-        "url": files.url, "words": words, "pairs": sizes, "tokens": total, "vocabulary": int(words.sum()), "cut": cut, "cut_after": cut_after,
-        "after": int(after[0]), "left": float(left), "start": (int(n[5]), float(begun)),
-    }
-
-
-KNOWN = (("count", "u8"), ("context", "u8"), ("weight", "f8"), ("after", "u4"))
-
-
-@lru_cache(2)
-def _pair_arrays(url: str, sizes: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    files = Files(url)
-    return {int(i): (files.map(f"pair-{i}", "u8"), files.map(f"pairs-{i}", "u4")) for i in np.flatnonzero(np.frombuffer(sizes, np.int64))}
-
-
 def _discounted(c: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *cut])[np.minimum(c, 3).astype(np.int64)], 0)
 
 
-def score_texts(texts: list[str | None], model: dict) -> dict[str, np.ndarray]:
-    """Counts and log10 probabilities of whole texts."""
-    words = _words(model["url"], model["words"].tobytes(), KNOWN)
-    pairs, bits = _pair_arrays(model["url"], model["pairs"].tobytes()), int(np.log2(len(model["pairs"])))
-    n, v = model["tokens"], model["vocabulary"]
-    h, sizes = tokens(texts)
-    distinct, place = np.unique(h, return_inverse=True)
-    ids, (count, context, weight, after) = words.find(distinct)
-    base = np.log10((count.astype(np.float64) + 1) / (n + 1 * (v + 1)))
-    lower = _discounted(after.astype(np.float64), model["cut_after"]) / max(1, model["after"]) + model["left"] / (v + 1)
-    keys, before = _pairs(np.where(count > 0, ids, v + 1)[place], sizes, v)
-    first = np.cumsum(sizes) - sizes
-    previous = np.empty_like(place)
-    previous[0], previous[1:] = 0, place[:-1]
-    c1, w1 = context[previous].astype(np.float64), weight[previous]
-    c1[first], w1[first] = model["start"]
-    looked, where = np.unique(keys, return_inverse=True)
-    found = np.zeros(len(looked))
-    cut = _cut(looked, bits)
-    for i, (own, counts) in pairs.items():
-        lo, hi = cut[i], cut[i + 1]
-        if hi > lo:
-            at = np.searchsorted(own, looked[lo:hi])
-            at[at == len(own)] = 0
-            hit = own[at] == looked[lo:hi]
-            found[lo:hi][hit] = counts[at[hit]]
-    seen = c1 > 0
-    p = np.where(seen, _discounted(found[where], model["cut"]) / np.maximum(c1, 1) + w1 * lower[place], lower[place])
-    sums = lambda x: np.add.reduceat(x, first)
-    return {"n_tokens": sizes, "n_known": sums((count > 0).astype(np.int64)[place]), "base_score": sums(base[place]), "score": sums(np.log10(p))}
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (log10) and perplexity for each document."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        parts = [score_texts(part, model) for part in _parts(batch.column("text").to_pylist(), AT_ONCE // 2)]
-        out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        with np.errstate(over="ignore"):
-            return {"doc_id": batch.column("doc_id"), **out, "perplexity": 10 ** (-out["score"] / out["n_tokens"])}
-
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+def score_pack(texts: list[str | None], answers: list[list[np.ndarray]], cuts: list[tuple], tallies: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts and log10 probabilities of a pack's whole texts; ``answers``, ``cuts`` and ``tallies`` by level from 1."""
+    order = len(answers)
+    grams = Grams(texts, order)
+    n, v = int(tallies[0][8]), int(tallies[0][7])
+    keys = [grams.distinct(k, order)[0] for k in range(1, order + 1)]
+    place = [np.searchsorted(keys[k], grams.keys[k]) for k in range(order)]
+    raw = answers[0][5][place[0]].astype(np.float64)
+    base = np.log10((raw + 1) / (n + 1 * (v + 1)))
+    total = int(tallies[0][1])
+    left = sum(c * m for c, m in zip(cuts[0], (tallies[0][2], tallies[0][3], tallies[0][6]), strict=True)) / total if total else 1.0
+    p = _discounted(answers[0][0][place[0]].astype(np.float64), cuts[0]) / max(1, total) + left / (v + 1)
+    for k in range(1, order):
+        context = np.searchsorted(keys[k - 1], grams.before(k))
+        whole, *seen = (x[context].astype(np.float64) for x in answers[k - 1][1:5])
+        free = sum(c * x for c, x in zip(cuts[k], seen, strict=True)) / np.maximum(whole, 1)
+        p = np.where(whole > 0, _discounted(answers[k][0][place[k]].astype(np.float64), cuts[k]) / np.maximum(whole, 1) + free * p, p)
+    sums = lambda x: np.add.reduceat(x, grams.first)
+    return {"n_tokens": grams.sizes, "n_known": sums((raw > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(p))}
+
+
+SCORES = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def score(docs: DataFrame, learn: Column | bool = True, order: int = ORDER) -> DataFrame:
+    """Scores of all ``docs`` under the model of those for which ``learn`` holds, in one go.
+
+    Gives doc_id, learned, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10) and perplexity. The
+    model's arrays stay in the shared folder: ``keys-k-shard`` and ``values-k-column-shard``.
+    """
+    if order < 2:
+        raise ValueError("an n-gram has two words at least")
+    of = packs(docs, learn if isinstance(learn, Column) else F.lit(learn))
+    files = Files(f"{shared_folder(docs.sparkSession)}/ngrams-{uuid.uuid4().hex}")
+    words = of.agg(F.coalesce(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0] / 6
+    tallies = np.zeros((order, 9), np.int64)
+    for k in range(order, 0, -1):
+        tallies[k - 1] = level(of, files, k, order, _bits(words if k > 1 else words / 10, SHARD))
+    cuts = [discounts(*t[2:6].tolist()) for t in tallies]
+    tokens_learned = int(tallies[0][8])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack, ids, learned, texts = (batch.column(c)[i].as_py() for c in range(4))
+                out = score_pack(texts, [_answers(files, pack, k, order) for k in range(1, order + 1)], cuts, tallies)
+                with np.errstate(over="ignore"):
+                    perplexity = 10 ** (-out["score"] / out["n_tokens"])
+                cols = [pa.array(ids, pa.int64()), pa.array(learned, pa.bool_()), *map(pa.array, (out["n_tokens"], out["n_known"])), pa.array([tokens_learned] * len(ids), pa.int64())]
+                cols += [pa.array(x, pa.float64()) for x in (out["base_score"], out["score"], perplexity)]
+                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCORES.split(", ")])
+
+    return of.select("pack", "doc_id", "learn", "text").mapInArrow(run, SCORES)
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     from quillspark.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model = train(docs.where(~held_out).select("text"))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    found = score(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
