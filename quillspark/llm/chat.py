@@ -3,9 +3,10 @@ r"""Chat formatting by prefix-target expansion.
 Every assistant turn becomes an example of its own: all turns before it are context, and only its text is trainable. A
 conversation is formatted once, turn by turn, as ``<turn>role<text>text</turn>\n``; a backslash stands before every
 backslash and ``<`` of a role or text, so control strings inside texts can't be taken for marks and come back as they
-were. An example names the stretch of its conversation that it reads, ``[0, loss_end)`` and the trainable stretch
-``[loss_start, loss_end)``: its context is stored once, not once for every later turn, so output grows with the
-conversation rather than with its square; ``example_texts`` writes examples out in full.
+were. ``expand`` puts a row of its own behind every assistant turn: an example, which names the stretch of its conversation
+that is its context, ``[0, loss_start)``, and the one that is trainable, ``[loss_start, loss_end)``. Context is stored once,
+not once for every later turn, so output grows with the conversation rather than with its square; ``example_texts`` writes
+examples out in full.
 
 Turns are ordered by turn, then role, then text (nulls first), so repeated rows and ties have a fixed order. Null roles
 and texts are empty. A conversation whose last turn is no assistant's, or that has none, ends in rows without a loss.
@@ -66,9 +67,25 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SEGMENTS)
 
 
-def examples(segments: DataFrame) -> DataFrame:
-    """One row for each assistant turn: conv_id, its position, the context's characters and the trainable stretch."""
-    return segments.where("loss_start IS NOT NULL").select("conv_id", "position", F.col("loss_start").alias("context_chars"), "loss_start", "loss_end")
+EXPANDED = ("conv_id", "position", "segment", "start", "context_end", "loss_start", "loss_end")
+
+
+def expand(segments: DataFrame) -> DataFrame:
+    """Turns and examples: each assistant turn exploded into its segment and an example of its own right behind it.
+
+    A turn has ``segment`` and ``start``; an example has ``context_end``, ``loss_start`` and ``loss_end`` instead, in characters
+    of its conversation. Rows keep their order and stay where they are.
+    """
+    no = F.lit(None).cast("long")
+    turn = F.struct("segment", "start", no.alias("context_end"), no.alias("loss_start"), no.alias("loss_end"))
+    example = F.struct(F.lit(None).cast("string").alias("segment"), no.alias("start"), F.col("loss_start").alias("context_end"), "loss_start", "loss_end")
+    each = F.when(F.col("loss_start").isNotNull(), F.array(turn, example)).otherwise(F.array(turn))
+    return segments.select("conv_id", "position", F.explode(each).alias("x")).select("conv_id", "position", "x.*")
+
+
+def examples(expanded: DataFrame) -> DataFrame:
+    """The examples alone: conv_id, position of the reply, and the stretches of context and reply."""
+    return expanded.where("loss_start IS NOT NULL").select("conv_id", "position", "context_end", "loss_start", "loss_end")
 
 
 def example_texts(segments: DataFrame) -> DataFrame:
@@ -77,17 +94,17 @@ def example_texts(segments: DataFrame) -> DataFrame:
     This is the square of a conversation's length; it is for conversations that fit a training sequence.
     """
     prefix = segments.select("conv_id", F.col("position").alias("__p"), "segment")
-    pairs = examples(segments).join(prefix, "conv_id").where(F.col("__p") <= F.col("position"))
+    pairs = examples(expand(segments)).drop("context_end").join(prefix, "conv_id").where(F.col("__p") <= F.col("position"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "segment"))), lambda x: x["segment"]), "")
     whole = pairs.groupBy("conv_id", "position", "loss_start", "loss_end").agg(text.alias("text"))
     return whole.select("conv_id", "position", F.expr("substring(text, 1, loss_end)").alias("text"), "loss_start", "loss_end")
 
 
-def digest(segments: DataFrame) -> DataFrame:
-    """What a reader gets back from the output, by conversation; ``segments`` as ``format_turns`` streams them.
+def digest(expanded: DataFrame) -> DataFrame:
+    """What a reader gets back from the output, by conversation; ``expanded`` as ``expand`` streams it.
 
-    ``formatted_chars`` counts the characters of all examples, and of the whole conversation once more where turns follow
-    the last reply.
+    Turns are read from segments, trained text from the stretches that examples name. ``formatted_chars`` counts the
+    characters of all examples, and of the whole conversation once more where turns follow the last reply.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,27 +115,33 @@ def digest(segments: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for c, s, start, lo, hi in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+            for c, s, start, context, lo, hi in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
                 if now is None or c != now["conv"]:
                     if now:
                         out.append(ended(now))
-                    now = {"conv": c, "turns": 0, "sha": hashlib.sha256(), "loss": 0, "loss_sha": hashlib.sha256(), "chars": 0, "end": 0, "open": True, "examples": 0}
-                role, text = map(unescaped, _TURN.fullmatch(s).groups())
-                now["turns"] += 1
-                now["sha"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                now["end"], now["open"] = start + len(s), lo is None
-                if lo is not None:
-                    kept = unescaped(s[lo - start : hi - start])
-                    now["loss"] += len(kept)
-                    now["loss_sha"].update(kept.encode("utf-8", "surrogatepass"))
-                    now["chars"] += hi
-                    now["examples"] += 1
+                    now = {"conv": c, "turns": 0, "sha": hashlib.sha256(), "loss": 0, "loss_sha": hashlib.sha256(), "chars": 0, "start": 0, "end": 0, "open": True, "examples": 0, "segment": ""}
+                if s is not None:
+                    if start != now["end"]:
+                        raise ValueError(f"a turn of conversation {c} begins at {start}, not where the one before it ends")
+                    role, text = map(unescaped, _TURN.fullmatch(s).groups())
+                    now["turns"] += 1
+                    now["sha"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    now |= {"segment": s, "start": start, "end": start + len(s), "open": True}
+                    continue
+                if not now["start"] <= context == lo <= hi <= now["end"]:
+                    raise ValueError(f"an example of conversation {c} is no reply to what stands before it")
+                kept = unescaped(now["segment"][lo - now["start"] : hi - now["start"]])
+                now["loss"] += len(kept)
+                now["loss_sha"].update(kept.encode("utf-8", "surrogatepass"))
+                now["chars"] += hi
+                now["examples"] += 1
+                now["open"] = False
             if out:
                 yield _digests(out)
         if now:
             yield _digests([ended(now)])
 
-    return segments.mapInArrow(run, DIGEST)
+    return expanded.select(*EXPANDED).mapInArrow(run, DIGEST)
 
 
 def _digests(rows: list[list]) -> pa.RecordBatch:
@@ -133,7 +156,7 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     own = F.lit("\\### Assistant: </turn> ok")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), own.alias("text"))
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digest(format_turns(conversations.unionByName(probe)))
+    return digest(expand(format_turns(conversations.unionByName(probe))))
 
 
 OP10_SQL = r"""

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,18 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it, or a ``scratch`` folder in it.
 
-    Only where the session names none (tests, local mode) a local temporary folder is set.
+    Only in local mode, where all run on one machine, may a session name none: then a temporary folder is set.
     """
+    if found := _scratch.get():
+        return found
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/quillspark-shared-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, intermediate tables go to a folder of their own, which is removed at the end: results must be written by then."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as a Parquet table in the shared folder and read again: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

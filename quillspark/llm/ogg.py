@@ -2,12 +2,13 @@
 
 ``store`` turns each text's bytes into packets of 576 eight-bit samples, dealt in turn to two logical streams, each with a
 header packet, and multiplexes their pages. ``read`` verifies every page's checksum and sequence number, reassembles
-packets from lacing values (also across pages), tells the streams apart by serial number, derives timestamps from granule
-positions and joins the samples again.
+packets from lacing values (also across pages), tells the streams apart by serial number, derives the time of every packet
+from granule positions (a page's says where the last packet that ends on it ends) and joins the samples again.
 
 A null text is empty; an empty text is one packet of padding. Each row is stored and read on its own, so repeated rows,
-ties and empty tables need no care, and serial numbers come from the content, so equal texts give equal bytes. A damaged
-page raises an error. Only ``doc_id`` and ``text`` are read.
+ties and empty tables need no care, and serial numbers come from the content, so equal texts give equal bytes. A file that is
+damaged, cut off or null gives a row whose ``error`` says so and whose other results are null; it ends no job. Only ``doc_id``
+and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -80,9 +81,11 @@ def write(payload: bytes) -> bytes:
 
 
 def read(media: bytes) -> dict:
-    """payload, and what the container says: pages, packets, streams, seconds."""
+    """payload, and what the container says: pages, packets, streams, seconds, and by stream the samples at which packets end."""
     at, pages, streams = 0, 0, {}
     while at < len(media):
+        if len(media) - at < _HEAD.size:
+            raise ValueError(f"the page at byte {at} is cut off")
         mark, version, flags, granule, serial, number, crc, n = _HEAD.unpack_from(media, at)
         if mark != b"OggS" or version:
             raise ValueError(f"no Ogg page at byte {at}")
@@ -91,10 +94,10 @@ def read(media: bytes) -> dict:
         end = body + sum(laces)
         if checksum(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc or end > len(media):
             raise ValueError(f"the page at byte {at} is damaged")
-        stream = streams.setdefault(serial, {"packets": [], "open": b"", "next": 0, "granule": 0, "ended": False})
+        stream = streams.setdefault(serial, {"packets": [], "open": b"", "next": 0, "granule": 0, "ended": False, "ends": []})
         if number != stream["next"] or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(stream["open"]):
             raise ValueError(f"the page at byte {at} is out of order")
-        part, i = stream["open"], 0
+        part, i, before = stream["open"], 0, len(stream["packets"])
         while i < n:
             j = i
             while j < n and laces[j] == 255:
@@ -107,23 +110,38 @@ def read(media: bytes) -> dict:
                 part = b""
             i = j + 1
         stream |= {"open": part, "next": number + 1, "ended": bool(flags & 4)}
-        if granule >= 0:
+        new = stream["packets"][max(before, 1) :]
+        if bool(granule >= 0) != (len(stream["packets"]) > before):
+            raise ValueError(f"the page at byte {at} has a granule position and no packet's end, or the reverse")
+        if granule >= 0:  # backwards from the page's position, packet by packet
+            ends, back = [], granule
+            for p in reversed(new):
+                ends.append(back)
+                back -= len(p)
+            if back != stream["granule"]:
+                raise ValueError(f"granule positions don't match the samples on the page at byte {at}")
+            stream["ends"] += ends[::-1]
             stream["granule"] = granule
         pages, at = pages + 1, end
     ordered: list = [b""] * len(streams)
+    times: list = [[]] * len(streams)
+    if not streams:
+        raise ValueError("no Ogg page")
     for stream in streams.values():
-        head = stream["packets"][0]
+        head = (stream["packets"] or [b""])[0]
+        if len(head) < len(MAGIC) + 12:
+            raise ValueError("a logical stream has no header")
         rate, index, _, count = struct.unpack_from("<IHHI", head, len(MAGIC))
         if head[: len(MAGIC)] != MAGIC or not stream["ended"] or stream["open"] or count != len(stream["packets"]) - 1:
             raise ValueError("a logical stream is not whole")
-        if stream["granule"] != sum(map(len, stream["packets"][1:])):
-            raise ValueError("granule positions don't match the samples")
-        ordered[index] = stream["packets"][1:]
+        if not rate or not 0 <= index < len(streams) or ordered[index]:
+            raise ValueError("the logical streams don't belong together")
+        ordered[index], times[index] = stream["packets"][1:], [x / rate for x in stream["ends"]]
     joined: list = [b""] * sum(map(len, ordered))
     for s, packets in enumerate(ordered):
         joined[s :: len(ordered)] = packets
     seconds = max(s["granule"] for s in streams.values()) / rate
-    return {"payload": b"".join(joined), "pages": pages, "packets": len(joined), "streams": len(streams), "seconds": seconds}
+    return {"payload": b"".join(joined), "pages": pages, "packets": len(joined), "streams": len(streams), "seconds": seconds, "ends": times}
 
 
 def features(found: dict) -> str:
@@ -143,21 +161,47 @@ def store(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
+BACK = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+
+
+def _read(data: bytes | None) -> tuple[dict | None, str | None]:
+    try:
+        return read(data or b""), None
+    except (ValueError, struct.error, IndexError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def read_back(media: DataFrame) -> DataFrame:
     """(doc_id, n_bytes) with digests of the payload and of the file, and features, from the stored bytes alone."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k in BACK}
         for m in batch.column("media"):
             data = m.as_py()
-            found = read(data)
-            payload = found["payload"]
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(found))
-            for k, v in zip(out, row, strict=True):
+            found, error = _read(data)
+            row = [None] * 6
+            if found:
+                payload = found["payload"]
+                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(found)]
+            for k, v in zip(out, (*row, error), strict=True):
                 out[k].append(v)
         return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), **out}
 
-    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+
+
+def packet_times(media: DataFrame) -> DataFrame:
+    """(doc_id, stream, packet, seconds, until, error): when each packet of each logical stream begins and ends."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, m in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                found, error = _read(m.as_py())
+                rows = [(doc_id, None, None, None, None, error)] if error else [(doc_id, s, k, t, u, None) for s, ends in enumerate(found["ends"]) for k, (t, u) in enumerate(zip([0.0, *ends], ends, strict=False))]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "stream", "packet", "seconds", "until", "error"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, stream int, packet long, seconds double, until double, error string")
 
 
 def op9_ogg(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Packing documents into sequences by cutting-stock column generation.
 
-A document's ids (its tokens, then one end id) are cut into pieces whose lengths lie on a small set: as many whole
-sequences as fit, one multiple of ``GRID``, and one rest below ``GRID``. So a corpus of any size has a histogram of at most
-``capacity / GRID + GRID`` lengths, which is all the driver sees. Over it a linear program chooses how often to use each
-pattern (a multiset of lengths that fits a sequence): columns are generated by an unbounded-knapsack dynamic program over
-the duals, the solution is rounded down and what remains is packed longest
-piece first, each sequence filled by a subset sum. Pieces are ranked within their
-length, block by block, and a piece's rank gives its pattern, sequence and offset by arithmetic.
+A document's ids are its tokens, then one end id. Documents of up to ``SHORT`` ids are pieces as they are. Longer ones are
+cut: as many whole sequences as fit, one multiple of ``GRID``, and one rest below ``GRID``. So a corpus of any size has a
+histogram of at most ``SHORT + capacity / GRID`` lengths, which is all the driver sees. Over it a linear program chooses how
+often to use each pattern (a multiset of lengths that fits a sequence): columns are generated by an unbounded-knapsack
+dynamic program over the duals until the program is within ``GAP`` of its bound, the solution is rounded down and what
+remains is packed longest piece first, each sequence filled by a subset sum. Pieces are ranked within their length, block by
+block, and a piece's rank gives its pattern, sequence and offset by arithmetic.
 
 A null text is an empty one, whose document is the end id alone. Whole texts are tokenised. Repeated rows are documents of
 their own. An empty table gives no pieces. Only ``doc_id`` and ``text`` are read.
@@ -14,6 +14,7 @@ their own. An empty table gives no pieces. Only ``doc_id`` and ``text`` are read
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -28,7 +29,9 @@ from pyspark.sql import Window as W
 
 from quillspark.llm.common import WORD, written
 
-CAPACITY, GRID, END = 4096, 64, 2
+CAPACITY, GRID, SHORT, END = 4096, 64, 512, 2
+#: Share of sequences by which the linear program may exceed its least.
+GAP = 0.0005
 #: Pieces of one length that are ranked in one group, about.
 RANKED = 20_000
 #: Entries of a worker's word caches.
@@ -40,17 +43,36 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf'([.,!?;:|*#$%&"()=-]*)([{_LETTERS}]*)([.,!?;:|*#$%&"()=-]*)')
 
 
+# How a tokenizer is defined whose texts may be encoded word by word.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
 class Encoder:
-    """Ids of whole texts, word by word: this tokenizer's pre-tokens never span white space, so a text's ids are its words' ids.
+    """Ids of whole texts.
 
-    A word of Latin letters with punctuation around it falls into up to three pre-tokens, which go to the tokenizer's model
-    as they are, in its byte alphabet. All other words are encoded as they stand.
+    A tokenizer that is defined as ``BY_WORDS`` says goes word by word: its pre-tokens never span white space, so a text's ids
+    are its words' ids. There a word of Latin letters with punctuation around it falls into up to three pre-tokens, which go
+    to the tokenizer's model as they are, in its byte alphabet; other words are encoded as they stand. Any other tokenizer
+    encodes texts whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        options = {k: v for k, v in made["model"].items() if k not in ("vocab", "merges")}
+        self.by_words = {"normalizer": made["normalizer"], "pre_tokenizer": made["pre_tokenizer"], "model": options} == BY_WORDS
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -61,6 +83,8 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         words = _WORDS(text) if text else []
         known = self.words
         try:
@@ -95,8 +119,10 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(n: int, capacity: int = CAPACITY, grid: int = GRID) -> list[int]:
+def cuts(n: int, capacity: int = CAPACITY, grid: int = GRID, short: int = SHORT) -> list[int]:
     """Lengths of the pieces of a document of n ids, in order."""
+    if n <= short:
+        return [n] if n else []
     full, rest = divmod(n, capacity)
     return [capacity] * full + [x for x in (rest - rest % grid, rest % grid) if x]
 
@@ -162,16 +188,21 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return both[:, n:]
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Column generation: (patterns by column, how often each) of the linear program that covers the demand exactly."""
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Column generation: (patterns by column, how often each) of the linear program that covers the demand exactly.
+
+    It ends once no pattern is worth more than one sequence, or once it is within ``gap`` of the bound: the duals, divided by
+    the best pattern's worth, are a feasible dual solution.
+    """
     m = len(lengths)
     basis = np.diag(capacity // lengths).astype(float)
     x = demand / np.diag(basis)
     inverse = np.diag(1 / np.diag(basis))
-    for k in range(most):
+    k = 0
+    while True:
         dual = inverse.sum(axis=0)  # each pattern costs one sequence
         column = best_pattern(lengths, dual, capacity).astype(float)
-        if (dual * column).sum() <= 1 + 1e-9:
+        if (dual * column).sum() <= 1 + gap:
             break
         into = (inverse * column).sum(axis=1)
         ratio = np.where(into > 1e-9, x / np.where(into > 1e-9, into, 1), np.inf)
@@ -182,7 +213,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int = 30
         inverse[out] /= into[out]
         others = np.arange(m) != out
         inverse[others] -= into[others, None] * inverse[out]
-        if k % 50 == 49:
+        k += 1
+        if k % 250 == 0:
             inverse = _inverse(basis)
         x = np.maximum((inverse * demand).sum(axis=1), 0)
     return basis.astype(np.int64), x

@@ -41,8 +41,38 @@ def test_damage_is_found():
         broken[at] ^= 1
         with pytest.raises(ValueError):
             O.read(bytes(broken))
-    with pytest.raises((ValueError, IndexError)):
-        O.read(bytes(media[: len(media) // 2]))
+    for n in range(0, len(media), 37):
+        with pytest.raises((ValueError, IndexError)):
+            O.read(bytes(media[:n]))
+
+
+def test_damaged_rows_and_times(spark):
+    good = O.write(O.padded(b"x" * 5000))
+    rows = [(1, 5000, good), (2, 5000, good[:-1]), (3, 5000, good[:40] + b"?" + good[41:]), (4, 0, None), (5, 0, b"")]
+    media = spark.createDataFrame([(a, b, None if c is None else bytearray(c)) for a, b, c in rows], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in O.read_back(media).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 9 * 576
+    assert all(got[i]["error"] and got[i]["payload_bytes"] is None for i in (2, 3, 4, 5))
+    times = O.packet_times(media).collect()
+    assert sum(r["error"] is not None for r in times) == 4
+    for stream, n in ((0, 5), (1, 4)):
+        own = sorted((r["packet"], r["seconds"], r["until"]) for r in times if r["stream"] == stream)
+        assert own == [(k, k * 576 / O.RATE, (k + 1) * 576 / O.RATE) for k in range(n)]
+
+
+def test_wrong_granules_are_found():
+    import struct
+
+    media = bytearray(O.write(O.padded(b"y" * 40_000)))
+    pages = [i for i in range(len(media)) if media[i : i + 4] == b"OggS"]
+    for at in pages[2:]:
+        end = next((p for p in pages if p > at), len(media))
+        broken = bytearray(media)
+        broken[at + 6 : at + 14] = struct.pack("<q", struct.unpack_from("<q", media, at + 6)[0] + 1)
+        broken[at + 22 : at + 26] = bytes(4)
+        broken[at + 22 : at + 26] = struct.pack("<I", O.checksum(bytes(broken[at:end])))
+        with pytest.raises(ValueError):
+            O.read(bytes(broken))
 
 
 def test_columns(spark, data, docs):

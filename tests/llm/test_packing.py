@@ -43,9 +43,25 @@ def test_encoder_on_odd_texts(text):
     assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A definition that is not the known one is never taken word by word."""
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = P.Encoder(public_tokenizers.path(name))
+        assert e.by_words == (name == "word_bpe_49k.json")
+        for text in ("two words  and\nmore", "it's HERE", ""):
+            assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_short_documents_are_whole():
+    assert P.cuts(0) == [] and P.cuts(1) == [1] and P.cuts(512) == [512]
+    assert P.cuts(513) == [512, 1] and P.cuts(4096) == [4096] and P.cuts(4097) == [4096, 1] and P.cuts(9000) == [4096, 4096, 768, 40]
+
+
 def test_plan_uses_the_histogram_up():
     rng = random.Random(3)
-    for capacity, lengths in ((64, range(1, 64)), (4096, [*range(1, 64), *range(64, 4096, 64)])):
+    for capacity, lengths in ((64, range(1, 64)), (4096, [*range(1, 64), *range(64, 4096, 64)]), (4096, [*range(1, 513), *range(576, 4096, 64)])):
         histogram = {n: rng.randrange(40) for n in lengths} | {capacity: 3}
         used: dict = {}
         n = 0
