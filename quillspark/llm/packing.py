@@ -29,9 +29,9 @@ from pyspark.sql import Window as W
 
 from quillspark.llm.common import WORD, written
 
-CAPACITY, GRID, SHORT, END = 4096, 64, 512, 2
+CAPACITY, GRID, SHORT, END = 4096, 64, 256, 2
 #: Share of sequences by which the linear program may exceed its least.
-GAP = 0.0005
+GAP = 0.003
 #: Pieces of one length that are ranked in one group, about.
 RANKED = 20_000
 #: Entries of a worker's word caches.
@@ -191,15 +191,15 @@ def _inverse(a: np.ndarray) -> np.ndarray:
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: (patterns by column, how often each) of the linear program that covers the demand exactly.
 
-    It ends once no pattern is worth more than one sequence, or once it is within ``gap`` of the bound: the duals, divided by
-    the best pattern's worth, are a feasible dual solution.
+    It ends once no pattern is worth more than one sequence, or once it is within ``gap`` of a bound. One bound is the sum of
+    all lengths; another are the duals, which, divided by the best pattern's worth, are a feasible dual solution.
     """
     m = len(lengths)
     basis = np.diag(capacity // lengths).astype(float)
     x = demand / np.diag(basis)
     inverse = np.diag(1 / np.diag(basis))
-    k = 0
-    while True:
+    k, least = 0, (lengths * demand).sum() / capacity
+    while x.sum() > (1 + gap) * least:
         dual = inverse.sum(axis=0)  # each pattern costs one sequence
         column = best_pattern(lengths, dual, capacity).astype(float)
         if (dual * column).sum() <= 1 + gap:

@@ -55,13 +55,13 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
 
 
 def test_short_documents_are_whole():
-    assert P.cuts(0) == [] and P.cuts(1) == [1] and P.cuts(512) == [512]
+    assert P.cuts(0) == [] and P.cuts(1) == [1] and P.cuts(256) == [256] and P.cuts(257) == [256, 1]
     assert P.cuts(513) == [512, 1] and P.cuts(4096) == [4096] and P.cuts(4097) == [4096, 1] and P.cuts(9000) == [4096, 4096, 768, 40]
 
 
 def test_plan_uses_the_histogram_up():
     rng = random.Random(3)
-    for capacity, lengths in ((64, range(1, 64)), (4096, [*range(1, 64), *range(64, 4096, 64)]), (4096, [*range(1, 513), *range(576, 4096, 64)])):
+    for capacity, lengths in ((64, range(1, 64)), (512, [*range(1, 33), *range(64, 512, 32)]), (4096, [*range(64, 4096, 64)])):
         histogram = {n: rng.randrange(40) for n in lengths} | {capacity: 3}
         used: dict = {}
         n = 0

@@ -41,6 +41,58 @@ def test_stages_take_effect(spark, data, docs):
     assert sum(r["length"] for r in packed) == sum(len(encode(r["text"])) // 4 + 1 for r in mixed)
 
 
+def test_odd_rows(spark, odd_docs, data):
+    """Nulls, empty and very long texts, repeats and clashing names go through all stages; each says what becomes of them."""
+    now, kept = odd_docs, []
+    for name, stage in P.STAGES:
+        out = stage(spark, now, data)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == odd_docs.columns
+            kept.append(rows)
+        now = spark.createDataFrame(rows, out.schema)
+    identified, unique, redacted, mixed = kept
+    assert not {2, 3, 5, 7} & {r["doc_id"] for r in identified}
+    assert len(unique) == len({r["text"] for r in unique}) and {r["text"] for r in unique} == {r["text"] for r in identified}
+    assert len(redacted) == len(unique) and {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in redacted}
+    assert sum(len(r["ids"]) for r in rows) == sum(r["length"] for r in rows) and sum(r["start"] == 0 for r in rows) == len(mixed)
+
+
+def test_run_leaves_its_result_alone(spark, data):
+    """Of a run, only the last table stays in the shared folder; its sequences hold every id at its place."""
+    import os
+    from urllib.parse import urlparse
+
+    from quillspark.llm.common import shared_folder
+
+    folder = urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    out = P.run(spark, data)
+    new = [f"{folder}/{x}" for x in set(os.listdir(folder)) - before]
+    assert [os.listdir(x) for x in new if os.listdir(x)] == [["packing.parquet"]]
+    pieces = out.collect()
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(out).collect()}
+    for r in pieces:
+        assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+    assert {r["sequence_id"] for r in pieces} == set(whole)
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from quillspark.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, otherwise: otherwise)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)
+
+
 def test_empty(spark, no_docs, data):
     now = no_docs
     for _, stage in P.STAGES:
