@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import normalized, spelling_pattern, text_column
+from quillspark.functions.text import DROPPED, HAMZA_PAIR, normalized, spelling_pattern
 
 # Characters of a word, its least length, letters that recognition takes for one another, vowels it loses.
 WORD_CHARS = "\u0621-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff\u200c\u200d"
@@ -39,24 +41,44 @@ CONFUSED = (
 )
 VOWELS = ("\u06d0", "\u0649", "\u0648", "\u06c8", "\u064a", "\u0627", "\u06d5", "\u06c7", "\u06c6")
 
-_WORD = re.compile(f"[{WORD_CHARS}]+")
-TOKEN = "struct<word:string,raw:string,start:int,end:int>"
+_LETTERS = "".join(c for c in map(chr, range(0x0600, 0xFF00)) if re.match(f"[{WORD_CHARS}]", c) and unicodedata.category(c)[0] in "LM")
+#: From the first letter or mark of a run of word characters to its last.
+_WORD = re.compile(f"[{_LETTERS}](?:[{WORD_CHARS}]*[{_LETTERS}])?")
+#: Characters that ``normalized`` changes.
+_CHANGED = re.compile(f"[{DROPPED}{HAMZA_PAIR}\ufb50-\ufdff\ufe70-\ufeff]")
+#: Tokens that are sent on at a time.
+_AT_ONCE = 50_000
 
 
-def tokens(text: str | None) -> list[dict]:
+def tokens(text: str | None) -> Iterator[tuple[str, str, int, int]]:
     """Words of a text: the normalised word, what stands there, and where (code points of the raw text)."""
-    found = []
     for m in _WORD.finditer(text or ""):
-        lettered = [i for i, c in enumerate(m[0], m.start()) if unicodedata.category(c)[0] in "LM"]
-        if lettered:
-            start, end = lettered[0], lettered[-1] + 1
-            word = normalized(text[start:end])
-            if len(word) >= LEAST_LENGTH:
-                found.append({"word": word, "raw": text[start:end], "start": start, "end": end})
-    return found
+        raw = m[0]
+        word = normalized(raw) if _CHANGED.search(raw) else raw
+        if len(word) >= LEAST_LENGTH:
+            yield word, raw, m.start(), m.end()
 
 
-tokenize = text_column(tokens, f"array<{TOKEN}>")
+def token_rows(pages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(page_id, word, raw, start, end): one row for each word of each page; pages are read one by one, words sent on in bounded batches."""
+    types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for token in tokens(t.as_py()):
+                    rows.append((page, *token))
+                    if len(rows) == _AT_ONCE:
+                        yield _columns(rows)
+                        rows = []
+            if rows:
+                yield _columns(rows)
+
+    def _columns(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "word", "raw", "start", "end"])
+
+    return pages.select(F.col(key).cast("long").alias("page_id"), text).mapInArrow(run, "page_id long, word string, raw string, start int, end int")
 
 
 def once_replaced(word: Column, pairs: tuple = CONFUSED) -> Column:
@@ -81,6 +103,12 @@ def inserted(word: Column, vowels: tuple = VOWELS) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, vowels)), lambda v: F.concat(F.substring(word, F.lit(1), i), v, F.substring(word, i + 1, F.length(word)))))))
 
 
+def without_vowel(word: Column, vowels: tuple = VOWELS) -> Column:
+    """The word with one of its vowels less, at every place, each once: what ``inserted`` turns into it."""
+    places = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)).isin(*vowels))
+    return F.array_distinct(F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))))
+
+
 def unknown_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word): distinct words that the dictionary lacks."""
     return words.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
@@ -89,12 +117,17 @@ def unknown_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 def corrections(unknown: DataFrame, dictionary: DataFrame, vowels: tuple = VOWELS, pairs: tuple = CONFUSED) -> DataFrame:
     """(word, corrections) for unknown words with a variant in the dictionary, in the variants' order.
 
-    Variants of distinct words only, joined with the dictionary; words without any are left out.
+    Variants are made backwards, from the dictionary: of each of its words those that it is a variant of (pairs the other way
+    round, a vowel less). These are joined with the unknown words, so work grows with the dictionary, not with misreadings;
+    only words that have a correction make their own variants, for the order. Words without any are left out.
     """
+    known = F.col("variant")
+    turned = tuple((b, a) for a, b in pairs)
+    back = F.concat(without_vowel(known, vowels), replaced(known, turned)) if pairs else without_vowel(known, vowels)
+    from_known = dictionary.select(F.col("word").alias("variant")).distinct().select("variant", F.explode(F.array_distinct(back)).alias("word"))
+    hits = unknown.select("word").distinct().join(from_known, "word").groupBy("word").agg(F.collect_set("variant").alias("__known"))
     variants = F.array_distinct(F.concat(replaced(F.col("word"), pairs), inserted(F.col("word"), vowels))) if pairs else inserted(F.col("word"), vowels)
-    each = unknown.select("word", F.posexplode(variants).alias("place", "variant"))
-    known = each.join(dictionary.select(F.col("word").alias("variant")).distinct(), "variant")
-    return known.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "variant"))), lambda x: x["variant"]).alias("corrections"))
+    return hits.select("word", F.filter(variants, lambda v: F.array_contains("__known", v)).alias("corrections"))
 
 
 def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -108,7 +141,7 @@ def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
 def check_pages(pages: DataFrame, dictionary: DataFrame, rules: list[tuple[str, str]], vowels: tuple = VOWELS, pairs: tuple = CONFUSED) -> tuple[DataFrame, DataFrame]:
     """(pages with rules applied and the check done, issues): one issue for each occurrence of an unknown word with corrections."""
     fixed = pages.withColumn("text", apply_rules(F.col("text"), rules)).withColumn("spell_check_milestone", F.lit("done"))
-    each = fixed.select(F.col("id").alias("page_id"), F.explode(tokenize(F.col("text"))).alias("t")).select("page_id", "t.*")
+    each = token_rows(fixed)
     found = corrections(unknown_words(each, dictionary), dictionary, vowels, pairs)
     issues = each.join(found, "word").select("page_id", F.col("raw").alias("word"), F.col("start").alias("char_offset"), F.col("end").alias("char_end"), F.col("corrections").alias("ocr_corrections"), F.lit("open").alias("status"))
     return fixed, issues

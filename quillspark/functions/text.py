@@ -123,9 +123,14 @@ def spelling_pattern(q: str) -> str:
     return either.join(re.escape(part) for part in q.replace(HAMZA_PAIR, HAMZA_LETTER).split(HAMZA_LETTER))
 
 
+#: White space of Unicode and the four separators of ASCII; ``$`` and ``.`` know ``\n`` alone under the flag d.
+_SPACE = r"[\s\x1c-\x1f]"
+_TRIM = (rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def normalize_markdown(c: Column) -> Column:
     """One kind of line end, no blanks at line ends, at most one empty line, none at either end."""
-    steps = ((r"\r\n?", "\n"), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+$", ""))
+    steps = ((r"\r\n?", "\n"), (r"(?dm)[ \t]+$", ""), (r"\n{3,}", "\n\n"), _TRIM)
     return reduce(lambda x, s: F.regexp_replace(x, *map(F.lit, s)), steps, c)
 
 
@@ -147,7 +152,8 @@ MARKDOWN = (
 
 def strip_markdown(c: Column) -> Column:
     """Plain text of markdown; line ends count as one kind, and null as empty."""
-    steps = ((r"\r\n?", "\n"), *MARKDOWN, (r"(?U)^\s+|\s+$", ""))
+    unicode = tuple((f"(?Ud){p}".replace(r"\s", _SPACE), r) for p, r in MARKDOWN)
+    steps = ((r"\r\n?", "\n"), *unicode, _TRIM)
     return reduce(lambda x, s: F.regexp_replace(x, *map(F.lit, s)), steps, F.coalesce(c, F.lit("")))
 
 

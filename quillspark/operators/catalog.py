@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -56,8 +60,8 @@ def visible(staff: bool) -> Column:
 
 def split_volume(q: str) -> tuple[str, int | None]:
     """A search text and the volume that ends it: ``'history 2'`` is ``('history', 2)``."""
-    head, _, tail = q.strip().rpartition(" ")
-    return (head.strip(), int(tail)) if head and tail.isdecimal() else (q.strip(), None)
+    m = re.search(r"\s+(\d+)\s*$", q)
+    return (q[: m.start()].strip(), int(m[1])) if m else (q.strip(), None)
 
 
 def spellings(word: str) -> list[str]:
@@ -67,10 +71,13 @@ def spellings(word: str) -> list[str]:
 
 
 def search(q: str, with_categories: bool = True) -> Column:
-    """Every word is somewhere in title, author or (without a volume) categories; a volume at the end must be the book's."""
+    """Every word is somewhere in title, author or (without a volume) categories, whatever the case; a volume at the end must be the book's.
+
+    ``%`` and ``_`` in a word stand for any characters and for one.
+    """
     text, volume = split_volume(q)
     fields = [F.col("title"), F.col("author")] + [F.array_join("categories", ",")] * (with_categories and volume is None)
-    hit = lambda w: reduce(Column.__or__, [F.coalesce(F.lower(f).contains(s.lower()), F.lit(False)) for f in fields for s in spellings(w)])
+    hit = lambda w: reduce(Column.__or__, [F.coalesce(F.ilike(f, F.lit(f"%{s}%")), F.lit(False)) for f in fields for s in spellings(w)])
     found = [hit(w) for w in text.split()] + ([F.col("volume") == volume] if volume is not None else [])
     return reduce(Column.__and__, found, F.lit(True))
 
@@ -78,16 +85,20 @@ def search(q: str, with_categories: bool = True) -> Column:
 def title_or_author(q: str) -> Column:
     """Substring of title or author, whatever the case; a volume at the end must match unless nothing is left before it."""
     text, volume = split_volume(q)
+    text, volume = (text, volume) if text or volume is None else (q, None)
     like = F.ilike(F.col("title"), F.lit(f"%{text}%")) | F.coalesce(F.ilike(F.col("author"), F.lit(f"%{text}%")), F.lit(False))
     return like if volume is None else like & (F.col("volume") == volume)
 
 
 def series_sorted(books: DataFrame, date: str, by_author: bool = True) -> DataFrame:
-    """Books with the latest date of their work, in order of it, then title, author, volume; ``position`` numbers them."""
-    work = ["title", "author"][: 1 + by_author]
-    latest = books.withColumn("latest", F.max(date).over(W.partitionBy(*work)))
-    order = W.orderBy(F.col("latest").desc_nulls_last(), "title", F.col("author").asc_nulls_last(), F.col("volume").asc_nulls_first(), "id")
-    return latest.withColumn("position", F.row_number().over(order))
+    """Books with the latest date of their work, sorted by it, then title, author, volume; ``nth`` numbers the books of a work.
+
+    The sort is by ranges; a listing's page takes its slice with ``offset`` and ``limit``.
+    """
+    work = W.partitionBy(*["title", "author"][: 1 + by_author])
+    within = [F.col("author").asc_nulls_last(), F.col("volume").asc_nulls_first(), F.col("id")]
+    numbered = books.withColumns({"latest": F.max(date).over(work), "nth": F.row_number().over(work.orderBy(*within))})
+    return numbered.orderBy(F.col("latest").desc_nulls_last(), "title", *within)
 
 
 def latest_of_works(books: DataFrame, date: str) -> DataFrame:
@@ -105,7 +116,8 @@ def sister_volumes(books: DataFrame, book_id: str) -> DataFrame:
 
 def clean_category(c: Column) -> Column:
     """Without white space and quotation marks at either end."""
-    return F.trim(F.btrim(F.trim(c), F.lit('"')))
+    strip = lambda x: F.regexp_replace(x, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return strip(F.btrim(strip(c), F.lit('"')))
 
 
 def category_facets(books: DataFrame) -> DataFrame:
@@ -121,10 +133,13 @@ def books_by_status(books: DataFrame) -> DataFrame:
     return books.groupBy(name.alias("status")).agg(F.count("*").alias("n"))
 
 
-def work_counts(books: DataFrame) -> DataFrame:
-    """(works, ready): distinct (title, author, status, visibility), and those of them that guests see."""
-    works = books.select("title", "author", "status", "visibility").distinct()
-    return works.agg(F.count("*").alias("works"), F.count_if(visible(False)).alias("ready"))
+def work_counts(books: DataFrame, staff: bool = True) -> DataFrame:
+    """(works, ready): distinct (title, author, status, visibility), and those of them that guests see.
+
+    For others than staff, who are given only what they see, ``ready`` is all.
+    """
+    works = books.where(visible(staff)).select("title", "author", "status", "visibility").distinct()
+    return works.agg(F.count("*").alias("works"), (F.count_if(visible(False)) if staff else F.count("*")).alias("ready"))
 
 
 def without_summary(books: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -192,10 +207,37 @@ def unknown_files(found: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def full_texts(pages: DataFrame) -> DataFrame:
-    """(book_id, content): each book's pages under ``[[PAGE n]]`` marks, in order."""
+    """(book_id, page_number, line): each book's text under ``[[PAGE n]]`` marks, one row a page, sorted within its book.
+
+    A book's text is its lines joined by empty lines; it is never put together in one row.
+    """
     line = F.concat(F.lit("[[PAGE "), F.col("page_number"), F.lit("]]\n"), F.coalesce("text", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct("page_number", line.alias("line"))))
-    return pages.groupBy("book_id").agg(F.trim(F.array_join(F.transform(rows, lambda r: r["line"]), "\n\n")).alias("content"))
+    rows = pages.select("book_id", "page_number", line.alias("line"))
+    return rows.repartition("book_id").sortWithinPartitions("book_id", "page_number", "line")
+
+
+def text_digests(lines: DataFrame) -> DataFrame:
+    """(book_id, digest): MD5 of each book's text, without blanks at its end, as ``full_texts`` streams it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, blanks = None, None, ""
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([digest.hexdigest()], pa.string())], names=["book_id", "digest"])
+        for batch in batches:
+            for book, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or book != now:
+                    if digest is not None:
+                        yield row()
+                    now, digest, blanks = book, hashlib.md5(), ""
+                else:
+                    line = f"\n\n{line}"
+                text = blanks + line
+                kept = text.rstrip(" ")
+                digest.update(kept.encode("utf-8", "surrogatepass"))
+                blanks = text[len(kept) :]
+        if digest is not None:
+            yield row()
+
+    return lines.select("book_id", "line").mapInArrow(run, "book_id string, digest string")
 
 
 def page_stubs(books: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,7 +56,7 @@ def auto_correct_stats(issues: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.agg(F.count("*").alias("rules"), F.count_if("is_active").alias("active_rules"))
     active = rules.where("is_active").select(F.col("misspelled_word").alias("word"))
     i = issues.where("status = 'open'").agg(F.count("*").alias("open_issues"))
-    c = issues.where("status = 'open'").join(F.broadcast(active), "word").agg(F.countDistinct("id").alias("correctable"))
+    c = issues.where("status = 'open'").join(active, "word").agg(F.countDistinct("id").alias("correctable"))
     return r.join(i, F.lit(True)).join(c, F.lit(True))
 
 
@@ -79,7 +82,7 @@ def correctable_claims(issues: DataFrame, rules: DataFrame, pages: int) -> DataF
     arrivals, one row a page, are ordered as a whole, and no more of them than are asked for leave a task.
     """
     active = rules.where("is_active").select(F.col("misspelled_word").alias("word"))
-    rows = issues.where("status = 'open'").join(F.broadcast(active), "word", "left_semi").select("id", "page_id")
+    rows = issues.where("status = 'open'").join(active, "word", "left_semi").select("id", "page_id")
     first = rows.groupBy("page_id").agg(F.min("id").alias("first")).orderBy("first").limit(pages + 1)
     ranked = first.withColumn("nth", F.row_number().over(W.orderBy("first")))
     stop = ranked.where(F.col("nth") == pages + 1).agg(F.min("first").alias("stop"))
@@ -110,22 +113,43 @@ def daily_quota(usage: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def breaker_states(calls: DataFrame, breaks_at: int = BREAKS_AT, cooling: int = COOLING_SECONDS) -> DataFrame:
-    """(key, state, failures, n_refused) of a circuit breaker for each key after its calls (key, at seconds, ok), in order of time.
+    """(key, state, failures, n_refused) of a circuit breaker for each key after its calls (key, at seconds, id, ok), in order of time.
 
     Closed until ``breaks_at`` failures in a row; open for ``cooling`` seconds, refusing calls; then half open: one success
-    closes it, one failure opens it again. An ordered fold in native functions over one key's calls.
+    closes it, one failure opens it again. Calls stream by in order; only a key's state is held.
     """
-    rows = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "ok"))).alias("calls"))
-    make = lambda state, failures, since, refused: F.struct(state.alias("state"), failures.cast("int").alias("failures"), since.cast("double").alias("since"), refused.cast("int").alias("refused"))
-    zero = make(F.lit("closed"), F.lit(0), F.lit(0.0), F.lit(0))
-
-    def step(s: Column, c: Column) -> Column:
-        cool = (s["state"] == "open") & (c["at"] < s["since"] + cooling)
-        trial = s["state"] != "closed"
-        failed = make(F.when(trial | (s["failures"] + 1 >= breaks_at), "open").otherwise("closed"), s["failures"] + 1, F.when(trial | (s["failures"] + 1 >= breaks_at), c["at"]).otherwise(s["since"]), s["refused"])
-        return F.when(cool, make(s["state"], s["failures"], s["since"], s["refused"] + 1)).when(c["ok"], make(F.lit("closed"), F.lit(0), s["since"], s["refused"])).otherwise(failed)
 
-    return rows.select("key", F.aggregate("calls", zero, step).alias("s")).select("key", "s.state", "s.failures", F.col("s.refused").alias("n_refused"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fresh = object(), True
+        name, failures, since, refused = "closed", 0, 0.0, 0
+        for batch in batches:
+            done: list[tuple] = []
+            for key, at, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if fresh or key != now:
+                    if not fresh:
+                        done.append((now, name, failures, refused))
+                    now, fresh = key, False
+                    name, failures, since, refused = "closed", 0, 0.0, 0
+                if name == "open" and at < since + cooling:
+                    refused += 1
+                elif ok:
+                    name, failures = "closed", 0
+                else:
+                    failures += 1
+                    if name != "closed" or failures >= breaks_at:
+                        name, since = "open", at
+            if done:
+                yield _states(done)
+        if not fresh:
+            yield _states([(now, name, failures, refused)])
+
+    rows = calls.select(F.col("key").cast("long").alias("key"), F.col("at").cast("double").alias("at"), "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "id").select("key", "at", "ok").mapInArrow(run, "key long, state string, failures int, n_refused int")
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "state", "failures", "n_refused"])
 
 
 def issues_before(pages: DataFrame, n: str = "n") -> DataFrame:

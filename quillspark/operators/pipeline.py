@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators.merge import STEPS
@@ -116,9 +117,9 @@ def spell_claims(pages: DataFrame, most_books: int, limit: int) -> DataFrame:
     idle = pages.where((milestone("spell_check") == "idle") & (milestone("embedding") == "succeeded"))
     fresh = idle.select("book_id").distinct().join(active, "book_id", "left_anti")
     room = active.agg(F.greatest(F.lit(0), F.lit(most_books) - F.count("*")).alias("room"))
-    from pyspark.sql import Window as W
-
-    fresh = fresh.withColumn("nth", F.row_number().over(W.orderBy("book_id"))).join(F.broadcast(room), F.col("nth") <= F.col("room"), "left_semi").select("book_id")
+    # The first books by id, no more than may be checked at all; these few are numbered.
+    first = fresh.orderBy("book_id").limit(most_books).withColumn("nth", F.row_number().over(W.orderBy("book_id")))
+    fresh = first.join(F.broadcast(room), F.col("nth") <= F.col("room"), "left_semi").select("book_id")
     return idle.join(active.unionByName(fresh), "book_id", "left_semi").orderBy("id").limit(limit).select("id", "book_id")
 
 
@@ -153,9 +154,23 @@ def remaining_work(pages: DataFrame, step: str) -> DataFrame:
 
 
 def sampled_book_texts(pages: DataFrame, most: int) -> DataFrame:
-    """(book_id, text): each book's pages that are no contents, joined and cut to a sample for a summary."""
-    from quillspark.functions.text import sample_text
+    """(book_id, text): each book's pages that are no contents, joined by empty lines and cut to a sample for a summary.
 
-    rows = pages.where("NOT is_toc AND text IS NOT NULL AND text <> ''").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("r"))
-    whole = F.array_join(F.transform("r", lambda x: x["text"]), "\n\n")
-    return rows.select("book_id", whole.alias("t")).select("book_id", sample_text(F.col("t"), most).alias("text"))
+    A text beyond ``most`` characters gives its first 40 %, a middle 20 % and its last 40 %, as ``text.sample_text`` does.
+    Running lengths tell which characters of which pages these are: only they are gathered, ``most`` at most a book.
+    """
+    gap, rows = "\n\n", pages.where("NOT is_toc AND text IS NOT NULL AND text <> ''").select("book_id", "page_number", "id", "text")
+    order = W.partitionBy("book_id").orderBy("page_number", "id")
+    sizes = rows.select("book_id", "page_number", "id", (F.length("text") + len(gap)).alias("size"))
+    placed = sizes.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    whole = sizes.groupBy("book_id").agg((F.sum("size") - len(gap)).alias("n"))
+    head, mid, n = int(most * 0.4), int(most * 0.2), F.col("n")
+    middle = F.floor(n / 2) - int(most * 0.1)
+    stretch = lambda part, a, b: F.struct(F.lit(part).alias("part"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    long = F.array(stretch(0, F.lit(0), F.lit(head)), stretch(1, middle, middle + mid), stretch(2, n - head, n))
+    wanted = whole.select("book_id", F.explode(F.when(n > most, long).otherwise(F.array(stretch(0, F.lit(0), n)))).alias("w")).select("book_id", "w.*")
+    hit = placed.join(wanted, "book_id").where((F.col("start") < F.col("b")) & (F.col("start") + F.col("size") > F.col("a"))).select("book_id", "id", "part", "start", F.greatest(F.col("a") - F.col("start"), F.lit(0)).alias("skip"), (F.least(F.col("b"), F.col("start") + F.col("size")) - F.greatest("a", "start")).alias("take"))
+    piece = F.substring(F.concat("text", F.lit(gap)), (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
+    pieces = hit.join(rows.select("book_id", "id", "text"), ["book_id", "id"]).select("book_id", "part", "start", piece.alias("piece"))
+    parts = pieces.groupBy("book_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return parts.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n\n...\n\n").alias("text"))

@@ -13,7 +13,9 @@ from quillspark.functions.text import match_form
 
 # Fixed values of the agent.
 MOST_CHUNKS, ENOUGH_CHUNKS, MOST_STEPS, LAST_TURNS = 15, 8, 4, 6
-BETWEEN, NOTHING = "\n\n---\n\n", "No relevant context found."
+BETWEEN, NOTHING, NO_HISTORY = "\n\n---\n\n", "No relevant context found.", "No previous conversation."
+#: The category of history, and those that a search in it also takes in.
+HISTORY, HISTORY_TOO = "تارىخ", ("ئۇيغۇر تارىخى", "ئىسلام تارىخى")
 
 
 def ranked_context(observed: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
@@ -69,6 +71,23 @@ def entity_in(entity: Column, words: Column) -> Column:
     return F.coalesce((F.size(parts) > 0) & ~((F.size(parts) == 1) & (F.length(parts[0]) < 4)) & F.forall(parts, begins), F.lit(False))
 
 
+def named_in(questions: DataFrame, entities: DataFrame, name: str) -> DataFrame:
+    """(question_id, name): entities that questions (question_id, words) name, each pair once.
+
+    An entity's first word, as it is and with its end bent, is the beginning of some question word. So both are joined on
+    that beginning, of all of the beginnings of question words, and what meets is compared in full: no pair of a question and
+    an entity is looked at that doesn't share one.
+    """
+    first = F.element_at(F.filter(F.split(F.btrim(match_form(F.col(name))), r"(?U)\s+"), lambda w: w != ""), 1)
+    bent = F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.lit(BECOMES))
+    keys = F.array_distinct(F.when(F.endswith(first, F.lit(ENDS_AE)), F.array(first, bent)).otherwise(F.array(first)))
+    of = entities.where(first.isNotNull()).select(name, F.explode(keys).alias("__key"))
+    word = F.col("__word")
+    each = questions.select("question_id", "words", F.explode(F.array_distinct("words")).alias("__word")).where(F.length("__word") > 0)
+    begun = each.select("question_id", "words", F.explode(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, F.lit(1), i))).alias("__key")).distinct()
+    return begun.join(of, "__key").where(entity_in(F.col(name), F.col("words"))).select("question_id", name).distinct()
+
+
 def quoted_title(question: Column) -> Column:
     """The title between « and », or null."""
     return F.nullif(F.btrim(F.regexp_extract(question, "«([^»]+)»", 1)), F.lit(""))
@@ -78,13 +97,12 @@ def titles_in(questions: DataFrame, books: DataFrame, fuzzy_after_quote: bool =
     """(question_id, title): the first title, by letter, that a question names.
 
     A quoted title must match whole; only with ``fuzzy_after_quote`` does a quote that matches nothing fall back to words.
-    Questions meet distinct titles, whose number a library bounds; the words of a question are cut once.
     """
     titles = books.where("title IS NOT NULL").select("title").distinct()
     q = questions.select("question_id", question_words(F.col("question")).alias("words"), quoted_title(F.col("question")).alias("quoted"))
     quoted = q.where("quoted IS NOT NULL").join(titles.withColumn("m", match_form(F.col("title"))), match_form(F.col("quoted")) == F.col("m")).select("question_id", "title")
     open_to_words = q.join(quoted.select("question_id"), "question_id", "left_anti") if fuzzy_after_quote else q.where("quoted IS NULL")
-    found = quoted.unionByName(open_to_words.join(titles, entity_in(F.col("title"), F.col("words"))).select("question_id", "title"))
+    found = quoted.unionByName(named_in(open_to_words, titles, "title"))
     return found.groupBy("question_id").agg(F.min("title").alias("title"))
 
 
@@ -92,7 +110,7 @@ def authors_in(questions: DataFrame, books: DataFrame) -> DataFrame:
     """(question_id, author): the first author, by letter, whom a question names."""
     authors = books.where("author IS NOT NULL").select("author").distinct()
     q = questions.select("question_id", question_words(F.col("question")).alias("words"))
-    return q.join(authors, entity_in(F.col("author"), F.col("words"))).groupBy("question_id").agg(F.min("author").alias("author"))
+    return named_in(q, authors, "author").groupBy("question_id").agg(F.min("author").alias("author"))
 
 
 def author_of_title(questions: DataFrame, books: DataFrame) -> DataFrame:
@@ -115,15 +133,26 @@ def volumes_of_title(questions: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def catalog_context(questions: DataFrame, books: DataFrame) -> DataFrame:
-    """(question_id, lines): books of the title named, else of the author named, else all; books that aren't ready say so."""
-    label = F.concat(F.col("title"), F.coalesce(F.concat(F.lit(" / "), F.col("author")), F.lit("")), F.when(F.col("status") != "ready", F.concat(F.lit(" [Status: "), "status", F.lit("]"))).otherwise(""))
-    rows = books.select("title", "author", "volume", "id", label.alias("label"))
-    by_title = titles_in(questions, books, fuzzy_after_quote=True)
-    by_author = authors_in(questions, books).join(by_title.select("question_id"), "question_id", "left_anti")
-    lines = lambda df, *keys: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "volume", "id", "label"))), lambda x: x["label"]), "\n").alias("lines"))
-    known = by_title.join(lines(rows, "title"), "title").select("question_id", "lines").unionByName(by_author.join(lines(rows, "author"), "author").select("question_id", "lines"))
+    """(question_id, kind, name): what of the catalog a question is answered with: the title it names, else the author it names, else all.
+
+    ``catalog_lists`` has each list once; a question only refers to one, so no list is copied to questions.
+    """
+    by_title = titles_in(questions, books, fuzzy_after_quote=True).select("question_id", F.lit("title").alias("kind"), F.col("title").alias("name"))
+    by_author = authors_in(questions, books).join(by_title.select("question_id"), "question_id", "left_anti").select("question_id", F.lit("author").alias("kind"), F.col("author").alias("name"))
+    known = by_title.unionByName(by_author)
     rest = questions.select("question_id").join(known.select("question_id"), "question_id", "left_anti")
-    return known.unionByName(rest.join(F.broadcast(lines(rows)), F.lit(True)))
+    return known.unionByName(rest.select("question_id", F.lit("all").alias("kind"), F.lit(None).cast("string").alias("name")))
+
+
+def catalog_lists(books: DataFrame) -> DataFrame:
+    """(kind, name, title, volume, id, label): the lines of every list, one row a line; a list is in order of title, volume, id.
+
+    Books that aren't ready say so. A book is in three lists at most: its title's, its author's, and the one of all.
+    """
+    label = F.concat(F.col("title"), F.coalesce(F.concat(F.lit(" / "), F.col("author")), F.lit("")), F.when(F.col("status") != "ready", F.concat(F.lit(" [Status: "), "status", F.lit("]"))).otherwise(""))
+    lists = F.array(F.struct(F.lit("title").alias("kind"), F.col("title").alias("name")), F.struct(F.lit("author").alias("kind"), F.col("author").alias("name")), F.struct(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("name")))
+    each = books.select(F.explode(lists).alias("l"), "title", "volume", "id", label.alias("label"))
+    return each.select("l.*", "title", "volume", "id", "label").where("kind = 'all' OR name IS NOT NULL")
 
 
 def intent(question: Column, has_history: Column, is_global: Column) -> Column:
@@ -147,17 +176,20 @@ def is_catalog_question(question: Column) -> Column:
     return F.coalesce(said(PHRASES["catalog"]) & ~said(CONTENT_SIGNALS), F.lit(False))
 
 
-def history_lines(turns: DataFrame, last: int = LAST_TURNS) -> DataFrame:
-    """(conv_id, history): the last turns as ``User: ..`` and ``AI: ..`` lines."""
+def history_lines(turns: DataFrame, last: int = LAST_TURNS, asking: DataFrame | None = None) -> DataFrame:
+    """(conv_id, history): the last turns as ``User: ..`` and ``AI: ..`` lines; ``asking`` (conv_id) may name conversations without any."""
     nth = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").desc()))
     who = F.when(F.col("role") == "user", "User").otherwise("AI")
-    line = F.concat(who, F.lit(": "), F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))))
+    line = F.concat(who, F.lit(": "), F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
     kept = turns.withColumn("nth", nth).where(F.col("nth") <= last).select("conv_id", "turn", line.alias("line"))
     of = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
-    return of.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))
+    found = of.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))
+    if asking is None:
+        return found
+    return asking.select("conv_id").distinct().join(found, "conv_id", "left").withColumn("history", F.coalesce("history", F.lit(NO_HISTORY)))
 
 
-def with_history_categories(categories: Column, history: str = "تارىخ", more: tuple = ("ئۇيغۇر تارىخى", "ئىسلام تارىخى")) -> Column:
+def with_history_categories(categories: Column, history: str = HISTORY, more: tuple = HISTORY_TOO) -> Column:
     return F.when(F.array_contains(categories, history), F.array_union(categories, F.array(*map(F.lit, more)))).otherwise(categories)
 
 

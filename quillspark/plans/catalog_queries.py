@@ -84,10 +84,14 @@ def listing_page(lib):
 
 
 @query("series_sorted_books", "books_v", """
-SELECT id, latest, row_number() OVER (ORDER BY latest DESC NULLS LAST, title NULLS FIRST, author NULLS LAST, volume NULLS FIRST, id) AS position
-FROM (SELECT *, max(n) OVER (PARTITION BY title, author) AS latest FROM books_v)""")
+SELECT id, max(n) OVER (PARTITION BY title, author) AS latest, row_number() OVER (PARTITION BY title, author ORDER BY volume NULLS FIRST, id) AS nth FROM books_v""")
 def series_sorted_books(lib):
-    return C.series_sorted(lib.books_v, "n").select("id", "latest", F.col("position").cast("long").alias("position"))
+    return C.series_sorted(lib.books_v, "n").select("id", "latest", F.col("nth").cast("long").alias("nth"))
+
+
+@query("series_page", "books_v", "SELECT id FROM (SELECT *, max(n) OVER (PARTITION BY title, author) AS latest FROM books_v) ORDER BY latest DESC NULLS LAST, title NULLS FIRST, author NULLS LAST, volume NULLS FIRST, id LIMIT 5 OFFSET 5")
+def series_page(lib):
+    return C.series_sorted(lib.books_v, "n").offset(5).limit(5).select("id")
 
 
 @query("distinct_works", "books_v", "SELECT id, title, author FROM (SELECT *, row_number() OVER (PARTITION BY title, author ORDER BY n DESC, id) AS k FROM books_v) WHERE k = 1")
@@ -134,6 +138,12 @@ def work_count_distinct(lib):
     return C.work_counts(lib.books_v)
 
 
+@query("work_count_guest", "books_v", """
+SELECT count(*) AS works, count(*) AS ready FROM (SELECT DISTINCT title, author, status, visibility FROM books_v WHERE status = 'ready' AND (visibility IS NULL OR visibility = 'public'))""")
+def work_count_guest(lib):
+    return C.work_counts(lib.books_v, staff=False)
+
+
 @query("books_without_summary", "books_v summaries_v", "SELECT id FROM books_v b WHERE NOT EXISTS (SELECT 1 FROM summaries_v s WHERE s.book_id = b.id)")
 def books_without_summary(lib):
     return C.without_summary(lib.books_v, lib.summaries_v).select("id")
@@ -218,7 +228,7 @@ def page_stubs(lib):
 
 @query("full_book_text", "pages_v", "SELECT book_id, md5(trim(string_agg('[[PAGE ' || page_number || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY page_number))) AS digest FROM pages_v GROUP BY book_id")
 def full_book_text(lib):
-    return C.full_texts(lib.pages_v).select("book_id", F.md5("content").alias("digest"))
+    return C.text_digests(C.full_texts(lib.pages_v))
 
 
 @query("integrity_violations", "pages_v", "SELECT 'unique book_id,page_number' AS \"constraint\", CAST(0 AS BIGINT) AS n UNION ALL SELECT 'retries', count(*) FILTER (WHERE retry_count > 3) FROM pages_v UNION ALL SELECT 'ocr', count(*) FILTER (WHERE ocr_milestone NOT IN ('idle', 'succeeded', 'failed')) FROM pages_v")

@@ -34,16 +34,12 @@ def book_pipeline_stats_step(lib):
 
 _BATCH = "SELECT b.id AS book_id, " + ", ".join(
     f"CAST(CASE WHEN c.total IS NULL AND b.status = 'ready' THEN b.total_pages ELSE coalesce(c.{s}, 0) END AS BIGINT) AS {s}, coalesce(c.{s}_failed, 0) AS {s}_failed, coalesce(c.{s}_active, 0) AS {s}_active" for s in P.STEPS
-) + f", {' + '.join(f'coalesce(c.{s}_failed, 0)' for s in P.STEPS)} AS error_count, b.status, b.total_pages FROM books_v b LEFT JOIN (SELECT book_id, {_COUNTS} FROM pages_v WHERE page_number > 2 AND book_id NOT IN ('src2', 'src5') GROUP BY book_id) c ON c.book_id = b.id"
-
-
-def _some_pages(lib):
-    return lib.pages_v.where("page_number > 2 AND book_id NOT IN ('src2', 'src5')")
+) + f", {' + '.join(f'coalesce(c.{s}_failed, 0)' for s in P.STEPS)} AS error_count, b.status, b.total_pages FROM books_v b LEFT JOIN (SELECT book_id, {_COUNTS} FROM pages_v GROUP BY book_id) c ON c.book_id = b.id"
 
 
 @query("batch_stats_defaults", "books_v pages_v", f"SELECT * EXCLUDE (status, total_pages) FROM ({_BATCH})")
 def batch_stats_defaults(lib):
-    return P.batch_stats(lib.books_v, _some_pages(lib))
+    return P.batch_stats(lib.books_v, lib.pages_v)
 
 
 @query("ready_book_stats", "books_v pages_v", "SELECT book_id, " + ", ".join(
@@ -51,7 +47,7 @@ def batch_stats_defaults(lib):
     for s in P.STEPS for v in ([f"CASE WHEN status = 'ready' THEN total_pages ELSE {s} END"] if s != "spell_check" else [s])
 ) + f" FROM ({_BATCH})")
 def ready_book_stats(lib):
-    return P.ready_stats(lib.books_v, _some_pages(lib))
+    return P.ready_stats(lib.books_v, lib.pages_v)
 
 
 def _roll(s: str) -> str:
@@ -96,13 +92,12 @@ def claim_pages(lib):
 
 
 @query("spell_scan_capped", "pages_v", """
-, idle AS (SELECT * FROM pages_v WHERE spell_check_milestone = 'idle' AND embedding_milestone = 'succeeded' AND book_id >= 'src12'),
-act AS (SELECT DISTINCT book_id FROM pages_v WHERE spell_check_milestone = 'in_progress' AND page_number = 7 AND book_id < 'src12'),
+, idle AS (SELECT * FROM pages_v WHERE spell_check_milestone = 'idle' AND embedding_milestone = 'succeeded'),
+act AS (SELECT DISTINCT book_id FROM pages_v WHERE spell_check_milestone = 'in_progress'),
 fresh AS (SELECT book_id FROM (SELECT DISTINCT book_id FROM idle) WHERE book_id NOT IN (SELECT book_id FROM act) ORDER BY book_id LIMIT greatest(0, 6 - (SELECT count(*) FROM act)))
 SELECT id, book_id FROM idle WHERE book_id IN (SELECT book_id FROM act UNION ALL SELECT book_id FROM fresh) ORDER BY id LIMIT 40""".replace("\n, idle", "\n  , idle", 1))
 def spell_scan_capped(lib):
-    pages = lib.pages_v.where("(spell_check_milestone = 'in_progress' AND page_number = 7 AND book_id < 'src12') OR (spell_check_milestone = 'idle' AND book_id >= 'src12')")
-    return P.spell_claims(pages, 6, 40)
+    return P.spell_claims(lib.pages_v, 6, 40)
 
 
 @query("failed_pages_union", "pages_v", "SELECT DISTINCT id FROM (" + " UNION ALL ".join(f"(SELECT id FROM pages_v WHERE {s}_milestone IN ('failed', 'error') AND retry_count < 3 ORDER BY id LIMIT 30)" for s in P.STEPS) + ") ORDER BY id LIMIT 60")
@@ -283,7 +278,17 @@ def daily_quota(lib):
     return X.daily_quota(lib.usage_v, lib.users_v)
 
 
-@query("breaker_states")
+@query("breaker_states", "", """
+WITH RECURSIVE c AS (SELECT user_id % 10 AS key, CAST(epoch(ts) AS BIGINT)::DOUBLE AS at, value > 60 AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+s AS (
+ SELECT DISTINCT key, 0::BIGINT AS k, 'closed' AS state, 0 AS failures, 0.0::DOUBLE AS since, 0 AS n_refused FROM c
+ UNION ALL
+ SELECT s.key, c.k, CASE WHEN s.state = 'open' AND c.at < s.since + 3600 THEN 'open' WHEN c.ok THEN 'closed' WHEN s.state <> 'closed' OR s.failures + 1 >= 5 THEN 'open' ELSE 'closed' END,
+  CASE WHEN s.state = 'open' AND c.at < s.since + 3600 THEN s.failures WHEN c.ok THEN 0 ELSE s.failures + 1 END,
+  CASE WHEN s.state = 'open' AND c.at < s.since + 3600 OR c.ok OR NOT (s.state <> 'closed' OR s.failures + 1 >= 5) THEN s.since ELSE c.at END,
+  CASE WHEN s.state = 'open' AND c.at < s.since + 3600 THEN s.n_refused + 1 ELSE s.n_refused END
+ FROM s JOIN c ON c.key = s.key AND c.k = s.k + 1)
+SELECT key, arg_max(state, k) AS state, arg_max(failures, k) AS failures, arg_max(n_refused, k) AS n_refused FROM s GROUP BY key""")
 def breaker_states(lib):
     calls = lib.events.select((F.col("user_id") % 10).alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id"), (F.col("value") > 60).alias("ok"))
     return X.breaker_states(calls, cooling=3600)

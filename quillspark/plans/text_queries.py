@@ -44,10 +44,14 @@ def clean_text(lib):
     return lib.documents.select("doc_id", F.md5(T.clean(F.col("text"))).alias("digest"))
 
 
-@query("toc_pages")
+@query("toc_pages", "", r"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')), lambda x: x <> '') AS l FROM documents),
+n AS (SELECT *, list_transform(list_filter(l, lambda x: regexp_matches(x, '^\p{Nd}+|\p{Nd}+$')), lambda x: try_cast(regexp_extract(x, '^\p{Nd}+|\p{Nd}+$') AS HUGEINT)) AS n,
+ len(list_filter(l, lambda x: regexp_matches(x, '^\|.*\|\s*\p{Nd}+\s*\|?$'))) AS tables, len(list_filter(l, lambda x: regexp_matches(x, '\.{6,}|_{6,}|-{6,}|·{6,}') AND regexp_matches(x, '^\p{Nd}+|\p{Nd}+$'))) AS dotted FROM l),
+r AS (SELECT *, len(list_filter(range(1, len(n)), lambda i: coalesce(n[i + 1] >= n[i], false))) AS rising FROM n)
+SELECT doc_id, contains(t, 'مۇندەرىجە') OR (tables >= 5 AND tables >= 0.5 * len(l)) OR (len(n) >= 5 AND dotted >= 3 AND rising >= 0.8 * (len(n) - 1) AND dotted >= 0.3 * len(l)) OR (dotted >= 5 AND dotted >= 0.5 * len(l)) AS is_toc FROM r""")
 def toc_pages(lib):
-    leaders = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 9).cast("int")), lambda i: F.concat(F.lit("Part ......... "), (i * 7).cast("string"))), "\n")
-    return lib.documents.select("doc_id", T.is_contents_page(F.concat(F.substring("text", 1, 40), F.lit("\n"), leaders)).alias("is_toc"))
+    return lib.documents.select("doc_id", T.is_contents_page(F.col("text")).alias("is_toc"))
 
 
 @query("citation_fix")
@@ -92,16 +96,20 @@ def unknown_words(lib):
     return S.unknown_words(lib.words_v, lib.dictionary_v)
 
 
-_VOWELS = ("a", "e", "i", "o", "u")
+_VOWELS, _PAIRS = ("a", "e", "i", "o", "u"), (("n", "h"), ("h", "n"), ("r", "t"), ("e", "a"))
 
 
 @query("ocr_corrections", "words_v dictionary_v", """
-, u AS (SELECT DISTINCT word FROM words_v WHERE word NOT IN (SELECT word FROM dictionary_v)),
-v AS (SELECT word, i, k, substr(word, 1, i) || ['a', 'e', 'i', 'o', 'u'][k] || substr(word, i + 1) AS variant FROM u, range(0, 60) r(i), range(1, 6) s(k) WHERE i <= length(word)),
-f AS (SELECT word, variant, min(i * 10 + k) AS place FROM v GROUP BY 1, 2)
-SELECT word, string_agg(variant, ',' ORDER BY place) AS corrections FROM f WHERE variant IN (SELECT word FROM dictionary_v) GROUP BY word""")
+, d AS (SELECT DISTINCT word FROM dictionary_v), u AS (SELECT DISTINCT word FROM words_v WHERE word NOT IN (SELECT word FROM d)),
+p AS (SELECT * FROM (VALUES (1, 'n', 'h'), (2, 'h', 'n'), (3, 'r', 't'), (4, 'e', 'a')) t(k, a, b)),
+r1 AS (SELECT word, substr(word, 1, i - 1) || b || substr(word, i + 1) AS v, min(k * 1000 + i) AS o1 FROM u, p, range(1, 200) r(i) WHERE i <= length(word) AND substr(word, i, 1) = a GROUP BY 1, 2),
+r2 AS (SELECT word, substr(v, 1, i - 1) || b || substr(v, i + 1) AS v, min(o1 * 10000 + k * 1000 + i) AS o FROM r1, p, range(1, 200) r(i) WHERE i <= length(v) AND substr(v, i, 1) = a GROUP BY 1, 2),
+v AS (SELECT word, v AS variant, o1 AS place FROM r1 UNION ALL SELECT word, v, 1000000 + o FROM r2 WHERE v <> word
+ UNION ALL SELECT word, substr(word, 1, i) || ['a', 'e', 'i', 'o', 'u'][k] || substr(word, i + 1), 1000000000 + i * 10 + k FROM u, range(0, 200) r(i), range(1, 6) s(k) WHERE i <= length(word)),
+f AS (SELECT word, variant, min(place) AS place FROM v GROUP BY 1, 2)
+SELECT word, string_agg(variant, ',' ORDER BY place) AS corrections FROM f WHERE variant IN (SELECT word FROM d) GROUP BY word""")
 def ocr_corrections(lib):
-    found = S.corrections(S.unknown_words(lib.words_v, lib.dictionary_v), lib.dictionary_v, _VOWELS, ())
+    found = S.corrections(S.unknown_words(lib.words_v, lib.dictionary_v), lib.dictionary_v, _VOWELS, _PAIRS)
     return found.select("word", F.array_join("corrections", ",").alias("corrections"))
 
 
@@ -110,9 +118,15 @@ def arabic(lib):
     return lib.pages_v.withColumn("text", F.translate(F.lower("text"), "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ"))
 
 
-@query("tokenize_offsets")
+_ARABIC = "translate(lower(text), 'abdefghiklmnorstu', 'ابدەفگھىكلمنورستۇ')"
+
+
+@query("tokenize_offsets", "pages_v", f"""
+, w AS (SELECT id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS k, l FROM (SELECT id, regexp_extract_all({_ARABIC}, '[\u0621-\u06ff]+|[^\u0621-\u06ff]+') AS l FROM pages_v)),
+o AS (SELECT id, w, coalesce(sum(length(w)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+SELECT id, w AS word, CAST(before AS INT) AS start, CAST(before + length(w) AS INT) AS "end" FROM o WHERE regexp_matches(w, '^[\u0621-\u06ff]') AND length(w) >= 4""")
 def tokenize_offsets(lib):
-    return arabic(lib).select("id", F.explode(S.tokenize(F.col("text"))).alias("t")).select("id", "t.word", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    return S.token_rows(arabic(lib)).select(F.col("page_id").alias("id"), "word", "start", "end")
 
 
 @query("ocr_variants")
@@ -129,13 +143,13 @@ def spell_check_pages(lib):
 
 
 def issues(lib):
-    """Issues of every third word of a page: (id, page_id, word, status), ids in order of arrival."""
+    """An issue for every word of a page: (id, page_id, word, status), ids in order of arrival."""
     rows = lib.pages_v.select(F.col("id").alias("page_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("pos", "w"))
-    return rows.where("pos % 3 = 0").select((F.col("page_id") * 100000 + F.col("pos")).alias("id"), "page_id", F.substring("w", 1, 4).alias("word"), F.when(F.col("pos") % 2 == 0, "open").otherwise("corrected").alias("status"))
+    return rows.select((F.col("page_id") * 100000 + F.col("pos")).alias("id"), "page_id", F.col("w").alias("word"), F.when(F.col("pos") % 2 == 0, "open").otherwise("corrected").alias("status"))
 
 
-_ISSUES = """i AS (SELECT page_id * 100000 + pos AS id, page_id, substr(w, 1, 4) AS word, CASE WHEN pos % 2 = 0 THEN 'open' ELSE 'corrected' END AS status
- FROM (SELECT id AS page_id, unnest(l) AS w, unnest(range(0, len(l))) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]{4,}') AS l FROM pages_v)) WHERE pos % 3 = 0)"""
+_ISSUES = """i AS (SELECT page_id * 100000 + pos AS id, page_id, w AS word, CASE WHEN pos % 2 = 0 THEN 'open' ELSE 'corrected' END AS status
+ FROM (SELECT id AS page_id, unnest(l) AS w, unnest(range(0, len(l))) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]{4,}') AS l FROM pages_v)))"""
 
 
 @query("spell_summary_by_page", "pages_v", f", {_ISSUES} SELECT book_id, page_number, n, n_open, CAST(sum(n) OVER (PARTITION BY book_id) AS BIGINT) AS book_n FROM (SELECT p.book_id, p.page_number, count(i.id) AS n, count(*) FILTER (WHERE i.status = 'open') AS n_open FROM pages_v p LEFT JOIN i ON i.page_id = p.id GROUP BY 1, 2)")
@@ -157,9 +171,9 @@ def autocorrect_claim(lib):
 
 @query("book_issue_pages_json", "books_v pages_v", """
 SELECT b.id, '[' || coalesce(string_agg(p.page_number, ',' ORDER BY p.page_number), '') || ']' AS pages, CAST(coalesce(min(p.page_number), 1) AS INT) AS first_page
-FROM books_v b LEFT JOIN (SELECT book_id, page_number FROM pages_v WHERE page_number % 11 = 5 AND book_id <> 'src4') p ON p.book_id = b.id GROUP BY b.id""")
+FROM books_v b LEFT JOIN (SELECT book_id, page_number FROM pages_v WHERE spell_check_milestone = 'failed') p ON p.book_id = b.id GROUP BY b.id""")
 def book_issue_pages_json(lib):
-    return X.pages_with_issues(lib.books_v, lib.pages_v.where("page_number % 11 = 5 AND book_id <> 'src4'"))
+    return X.pages_with_issues(lib.books_v, lib.pages_v.where("spell_check_milestone = 'failed'"))
 
 
 @query("apply_edits", "pages_v", """

@@ -138,12 +138,17 @@ _LABELS = "SELECT title, author, volume, id, title || coalesce(' / ' || author,
 
 @query("catalog_context", "books_v", f""", q AS ({_QUESTIONS}), l AS ({_LABELS}), f AS ({_AUTHOR}),
 t AS (SELECT question_id, min(title) AS title FROM q JOIN (SELECT DISTINCT title FROM books_v) b ON {_IN.format('b.title')} GROUP BY 1)
-SELECT question_id, md5(lines) AS digest FROM (
- SELECT t.question_id, x.lines FROM t JOIN (SELECT title, string_agg(label, chr(10) ORDER BY title, volume NULLS FIRST, id) AS lines FROM l GROUP BY title) x USING (title)
- UNION ALL SELECT f.question_id, x.lines FROM f JOIN (SELECT author, string_agg(label, chr(10) ORDER BY title, volume NULLS FIRST, id) AS lines FROM l WHERE author IS NOT NULL GROUP BY author) x USING (author) WHERE f.question_id NOT IN (SELECT question_id FROM t)
- UNION ALL SELECT q.question_id, x.lines FROM q, (SELECT string_agg(label, chr(10) ORDER BY title, volume NULLS FIRST, id) AS lines FROM l) x WHERE q.question_id NOT IN (SELECT question_id FROM t) AND q.question_id NOT IN (SELECT question_id FROM f))""")
+SELECT t.question_id, 'title' AS kind, t.title AS name FROM t
+UNION ALL SELECT f.question_id, 'author', f.author FROM f WHERE f.question_id NOT IN (SELECT question_id FROM t)
+UNION ALL SELECT q.question_id, 'all', NULL FROM q WHERE q.question_id NOT IN (SELECT question_id FROM t) AND q.question_id NOT IN (SELECT question_id FROM f)""")
 def catalog_context(lib):
-    return R.catalog_context(questions(lib), lib.books_v).select("question_id", F.md5("lines").alias("digest"))
+    return R.catalog_context(questions(lib), lib.books_v)
+
+
+@query("catalog_lists", "books_v", f""", l AS ({_LABELS})
+SELECT 'title' AS kind, title AS name, id, label FROM l UNION ALL SELECT 'author', author, id, label FROM l WHERE author IS NOT NULL UNION ALL SELECT 'all', NULL, id, label FROM l""")
+def catalog_lists(lib):
+    return R.catalog_lists(lib.books_v).select("kind", "name", "id", "label")
 
 
 @query("history_last6", "history_v", """

@@ -121,9 +121,9 @@ def test_chunks_as_restated():
 
 def test_tokens_have_raw_offsets():
     text = "abc خاتا ٠٠ كـتاب‌!"
-    found = S.tokens(text)
-    assert [t["word"] for t in found] == ["خاتا", "كتاب"]
-    assert all(text[t["start"] : t["end"]] == t["raw"] for t in found)
+    found = list(S.tokens(text))
+    assert [word for word, *_ in found] == ["خاتا", "كتاب"]
+    assert all(text[start:end] == raw for _, raw, start, end in found)
 
 
 def test_variants(spark):
@@ -180,8 +180,39 @@ def test_spell_check_query_uses_confused_letters(spark):
 
     want = {}
     for page, text in texts.items():
-        hits = [t["start"] for t in S.tokens(text.translate(table)) if t["word"] not in words and variants(t["word"]) & words]
+        hits = [start for word, _, start, _ in S.tokens(text.translate(table)) if word not in words and variants(word) & words]
         if hits:
             want[page] = (len(hits), min(hits))
     assert want == {1: (1, 0), 2: (2, 0), 3: (1, 0)}
     assert {r["page_id"]: (r["n"], r["first"]) for r in Q.spell_check_pages(lib).collect()} == want
+
+
+def test_markdown_in_unicode(spark):
+    """White space and line ends are those of Unicode and of ``\\n``."""
+    rows = ["#\u00a0Title\u2028more", "\u00a0* item", "**a\u0085b** _c\u2028d_", "1.\u3000one\x1f", "\u2003text\u00a0"]
+    assert column(spark, rows, T.strip_markdown) == ["Title\u2028more", "item", "a\u0085b c\u2028d", "one", "text"]
+    assert column(spark, ["a \u2028 \nb\t\n\n\n\nc\x1c"], T.normalize_markdown) == ["a \u2028\nb\n\nc"]
+
+
+def test_corrections_against_all_variants(spark):
+    """Variants made backwards from the dictionary are those that unknown words would make, in their order."""
+    import random
+
+    rng = random.Random(9)
+    letters, vowels, pairs = "abcdeo", ("a", "e", "o"), (("b", "c"), ("c", "b"), ("c", "d"), ("a", "e"))
+    words = lambda n: sorted({"".join(rng.choices(letters, k=rng.randrange(2, 6))) for _ in range(n)})
+    known = words(150)
+    unknown = [w for w in words(150) if w not in known]
+
+    def once(w):
+        return [w[:i] + b + w[i + 1 :] for a, b in pairs for i, c in enumerate(w) if c == a]
+
+    def variants(w):
+        one = list(dict.fromkeys(v for v in once(w) if v != w))
+        two = [v for x in one for v in once(x) if v != w]
+        more = [w[:i] + v + w[i:] for i in range(len(w) + 1) for v in vowels]
+        return list(dict.fromkeys([*one, *two, *more]))
+
+    want = {w: hits for w in unknown if (hits := [v for v in variants(w) if v in known])}
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    assert {r["word"]: r["corrections"] for r in S.corrections(one(unknown), one(known), vowels, pairs).collect()} == want
