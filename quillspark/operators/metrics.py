@@ -67,8 +67,9 @@ def pages_with_issues(books: DataFrame, issue_pages: DataFrame) -> DataFrame:
     return both.select("id", F.to_json("p").alias("pages"), F.when(F.size("p") > 0, F.col("p")[0]).otherwise(1).alias("first_page"))
 
 
-def word_frequency(words: DataFrame) -> DataFrame:
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+def word_frequency(words: DataFrame, by_page: bool = False) -> DataFrame:
+    """How often words occur, in all or on each page."""
+    return words.groupBy(*(["page_id"] if by_page else []), "word").agg(F.count("*").alias("n"))
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:
