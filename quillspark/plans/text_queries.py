@@ -24,7 +24,22 @@ def normalize_markdown(lib):
     return marked(lib).select("doc_id", F.md5(T.normalize_markdown(F.col("text"))).alias("digest"))
 
 
-@query("strip_markdown")
+_S = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: The markdown rules for an engine without back references: an alternative for each mark.
+_RULES = (
+    (r"\r\n?", "\n"), (r"(?m)^#{1,6}S+", ""), (r"(?m)^S*>+S?", ""), (r"(?m)^S*[-*+]S+", ""), (r"(?m)^S*\p{Nd}+[.)]S+", ""), (r"(?m)^(-{3,}|\*{3,}|_{3,})S*$", ""),
+    (r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"```([^`]+)```|``([^`]+)``|`([^`]+)`", r"\1\2\3"),
+    (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), (r"\*(.*?)\*|_(.*?)_", r"\1\2"), (r"\n{3,}", "\n\n"), (r"\AS+", ""), (r"S+\z", ""),
+)
+
+
+def _plain(text: str) -> str:
+    for pattern, new in _RULES:
+        text = f"regexp_replace({text}, '{pattern.replace('S', _S)}', '{new}', 'g')"
+    return text
+
+
+@query("strip_markdown", "", f"SELECT doc_id, md5({_plain(_MARKED)}) AS digest FROM documents")
 def strip_markdown(lib):
     return marked(lib).select("doc_id", F.md5(T.strip_markdown(F.col("text"))).alias("digest"))
 
@@ -54,7 +69,7 @@ def toc_pages(lib):
     return lib.documents.select("doc_id", T.is_contents_page(F.col("text")).alias("is_toc"))
 
 
-@query("citation_fix")
+@query("citation_fix", "", "SELECT conv_id, turn, text || ' see [مەنبە](ref:' || conv_id || ':12,13) here' AS text FROM conversations")
 def citation_fix(lib):
     return lib.conversations.select("conv_id", "turn", T.fix_citations(F.concat(F.col("text"), F.lit(" see ref:"), "conv_id", F.lit(":12,13 here"))).alias("text"))
 
@@ -129,13 +144,31 @@ def tokenize_offsets(lib):
     return S.token_rows(arabic(lib)).select(F.col("page_id").alias("id"), "word", "start", "end")
 
 
-@query("ocr_variants")
+_LETTERS = "translate(word, 'abdefghiklmnorstu', 'ابدەفگھىكلمنورستۇ')"
+_CONFUSED = ", ".join(f"('{a}', '{b}')" for a, b in S.CONFUSED)
+
+
+@query("ocr_variants", "dictionary_v", f"""
+, p AS (SELECT * FROM (VALUES {_CONFUSED}) t(a, b)), w AS (SELECT word, {_LETTERS} AS w FROM dictionary_v),
+r1 AS (SELECT DISTINCT word, w, substr(w, 1, i - 1) || b || substr(w, i + 1) AS v FROM w, p, range(1, 200) r(i) WHERE i <= length(w) AND substr(w, i, 1) = a),
+r2 AS (SELECT word, w, v FROM r1 UNION SELECT word, w, substr(v, 1, i - 1) || b || substr(v, i + 1) FROM r1, p, range(1, 200) r(i) WHERE i <= length(v) AND substr(v, i, 1) = a),
+n AS (SELECT word, count(*) AS n FROM r2 WHERE v <> w GROUP BY word),
+m AS (SELECT word, count(DISTINCT substr(w, 1, i) || v || substr(w, i + 1)) AS m FROM w, range(0, 200) r(i), (SELECT unnest([{", ".join(f"'{v}'" for v in S.VOWELS)}]) AS v) WHERE i <= length(w) GROUP BY word)
+SELECT word, CAST(coalesce(n, 0) AS INT) AS n_replaced, CAST(m AS INT) AS n_inserted FROM m LEFT JOIN n USING (word)""")
 def ocr_variants(lib):
     words = lib.dictionary_v.select("word", F.translate("word", "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ").alias("w"))
     return words.select("word", F.size(S.replaced(F.col("w"))).alias("n_replaced"), F.size(S.inserted(F.col("w"))).alias("n_inserted"))
 
 
-@query("spell_check_pages")
+@query("spell_check_pages", "pages_v dictionary_v", f"""
+, d AS (SELECT DISTINCT {_LETTERS} AS word FROM dictionary_v), p AS (SELECT * FROM (VALUES {_CONFUSED}) t(a, b)),
+w AS (SELECT id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS k FROM (SELECT id, regexp_extract_all({_ARABIC}, '[\u0621-\u06ff]+|[^\u0621-\u06ff]+') AS l FROM pages_v)),
+o AS (SELECT id, w AS word, coalesce(sum(length(w)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+t AS (SELECT * FROM o WHERE regexp_matches(word, '^[\u0621-\u06ff]') AND length(word) >= 4 AND word NOT IN (SELECT word FROM d)),
+r1 AS (SELECT DISTINCT substr(word, 1, i - 1) || a || substr(word, i + 1) AS v FROM d, p, range(1, 200) r(i) WHERE i <= length(word) AND substr(word, i, 1) = b),
+r2 AS (SELECT v FROM r1 UNION SELECT substr(v, 1, i - 1) || a || substr(v, i + 1) FROM r1, p, range(1, 200) r(i) WHERE i <= length(v) AND substr(v, i, 1) = b
+ UNION SELECT substr(word, 1, i - 1) || substr(word, i + 1) FROM d, range(1, 200) r(i) WHERE i <= length(word) AND substr(word, i, 1) IN ({", ".join(f"'{v}'" for v in S.VOWELS)}))
+SELECT id AS page_id, count(*) AS n, CAST(min(before) AS INT) AS first FROM t WHERE word IN (SELECT v FROM r2) GROUP BY id""")
 def spell_check_pages(lib):
     arabic_words = lib.dictionary_v.select(F.translate("word", "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ").alias("word"))
     _, issues = S.check_pages(arabic(lib), arabic_words, [("خاتا", "توغرا")])

@@ -161,7 +161,19 @@ def history_last6(lib):
 ASKED = ("سەن كىمسەن؟", "قانداق ياردەم بېرىسەن؟", "بۇ كىتابنىڭ ئاپتورى كىم؟", "بۇ بەتتە نېمە بار؟", "ئۇشبۇ تومدا بارمۇ؟", "ئۇ قەيەرلىك؟", "تارىخ نېمە؟", "قايسى كىتابلار بار؟")
 
 
-@query("route_intent")
+_AS_ONE = str.maketrans("ېىي", "ییی")
+_SAID = lambda phrases, q="m": "(" + " OR ".join(f"contains({q}, '{p.translate(_AS_ONE) if q == 'm' else p}')" for p in phrases) + ")"
+_WORDS = ", ".join(f"'{p.translate(_AS_ONE)}'" for p in R.PRONOUNS)
+_REFERS = f"(list_has_any(w, [{_WORDS}]) OR len(list_filter(w, lambda x: ends_with(x, '{R.WHAT_ABOUT.translate(_AS_ONE)}'))) > 0)"
+
+
+@query("route_intent", "", f"""
+WITH a AS (SELECT conv_id, turn, [{", ".join(f"'{q}'" for q in ASKED)}][CAST(conv_id % {len(ASKED)} AS INT) + 1] AS q FROM conversations),
+m AS (SELECT *, translate(trim(q), 'ېىي', 'ییی') AS m FROM a), w AS (SELECT *, regexp_split_to_array(m, '[ \\t\\n\\r]+') AS w FROM m)
+SELECT conv_id, turn, CASE {" ".join(f"WHEN {_SAID(R.PHRASES[n])} THEN '{n}'" for n in ("identity", "capabilities", "author_by_title", "books_by_author", "volume_info"))}
+ WHEN turn > 0 AND ({_SAID(R.PHRASES["follow_up"])} OR {_REFERS}) THEN 'follow_up'
+ {" ".join(f"WHEN NOT turn % 3 = 2 AND {_SAID(R.PHRASES[n], 'trim(q)')} THEN '{n}'" for n in ("current_page", "current_volume"))} ELSE 'agent_rag' END AS intent,
+ {_SAID(R.PHRASES["catalog"])} AND NOT {_SAID(R.CONTENT_SIGNALS)} AS is_catalog FROM w""")
 def route_intent(lib):
     ask = F.array(*map(F.lit, ASKED))[(F.col("conv_id") % len(ASKED)).cast("int")]
     rows = lib.conversations.select("conv_id", "turn", ask.alias("question"))
