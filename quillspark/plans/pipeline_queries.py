@@ -279,7 +279,7 @@ def daily_quota(lib):
 
 
 @query("breaker_states", "", """
-WITH RECURSIVE c AS (SELECT user_id % 10 AS key, CAST(epoch(ts) AS BIGINT)::DOUBLE AS at, value > 60 AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+WITH RECURSIVE c AS (SELECT user_id % 10 AS key, floor(epoch(ts))::DOUBLE AS at, value > 60 AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
 s AS (
  SELECT DISTINCT key, 0::BIGINT AS k, 'closed' AS state, 0 AS failures, 0.0::DOUBLE AS since, 0 AS n_refused FROM c
  UNION ALL
