@@ -20,6 +20,8 @@ among them. An empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -164,6 +166,22 @@ def mix(docs: DataFrame) -> DataFrame:
     return _join_sources(each, of.drop("n"), n).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def numbered(rows: DataFrame, salts: int = 64) -> DataFrame:
+    """Rows with ``__i``, their number from 1 among those of one (__id, __source, __size), in order of their texts' hashes.
+
+    Rows of one text are dealt into ``salts`` parts, which are numbered apart and put behind one another by their counts, so
+    no task gets all rows that repeat one document. The parts are drawn once: rows with them are written.
+    """
+    keys = ["__id", "__source", "__size", "__h", "__salt"]
+    dealt = written(rows.withColumn("__h", F.xxhash64("text")).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+    upto = W.partitionBy(*keys[:3]).orderBy("__h", "__salt").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy(*keys).agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"_{c}") for c in keys], "__before")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))
+    return dealt.withColumn("__nth", nth).join(before, same).withColumn("__i", F.col("__before") + F.col("__nth")).drop("__h", "__salt", "__nth", "__before", *[f"_{c}" for c in keys])
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents, all columns, each as often as the mix copies it."""
     found = written(mix(docs))
@@ -173,9 +191,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     joined = docs.join(of_id, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & docs["source"].cast("string").eqNullSafe(F.col("__source")) & (size == F.col("__size")))
     once = joined.where("__m = 1").withColumn("__n", F.col("__copies"))
     if of_id.where("__m > 1").limit(1).count():
-        nth = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy("text"))
-        again = joined.where("__m > 1").withColumn("__i", nth).withColumn("__n", (F.floor(F.col("__copies") / F.col("__m")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__m"), 1).otherwise(0)).cast("long")).drop("__i")
-        once = once.unionByName(again.where("__n > 0"))
+        again = numbered(joined.where("__m > 1"))
+        share = F.floor(F.col("__copies") / F.col("__m")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__m"), 1).otherwise(0)
+        once = once.unionByName(again.withColumn("__n", share.cast("long")).drop("__i").where("__n > 0"))
     return once.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
 
 

@@ -122,6 +122,14 @@ def test_repeated_rows_share(spark):
     docs = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(i, "x y z", "s") for i in range(2, 9)] + [(i, "q " * 40, "t") for i in range(10, 13)], "doc_id long, text string, source string")
     rows = M.mix(docs).collect()
     assert len(rows) == 15 and all(r["copies"] <= 2 for r in rows)
+    from collections import Counter
+
+    odd = docs.unionByName(spark.createDataFrame([(1, "d e f", "s"), (None, "n n", None), (None, "n n", None), (None, "m m", None)], docs.schema))
+    want = Counter()
+    for r in M.mix(odd).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], len(r["text"].split())) for r in M.mixed_documents(odd).collect())
+    assert got == +want
 
 
 def test_no_python_in_the_plan(spark, docs, capsys):
