@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each label gets a zstandard raw-content dictionary cut from a bounded sample of its labelled training rows. A text is cut
-into blocks of letters (case folded, all else one space), every block is compressed once under each dictionary, and the
+into blocks of letters and their marks (case folded, all else one space), every block is compressed once under each dictionary, and the
 label with the fewest bytes in all wins. The score is the winner's margin, ``1 - best / second``; a row whose margin is
 below a threshold is ``rejected``.
 
@@ -17,6 +17,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,12 +31,14 @@ PIECE, PIECES, BLOCK = 600, 4, 4000
 #: Margins below this are too narrow to trust.
 NARROW = 0.01
 LEVEL = 6
-#: What is no letter tells languages little: it becomes one space, and case is folded.
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is neither letter nor mark tells languages little: it becomes one space, and case is folded. Marks are parts of words
+#: in many scripts.
+_OTHER, _OTHER_ASCII = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
 
 
 def letters(text: str) -> str:
-    return _OTHER.sub(" ", text.lower())
+    text = text.lower()
+    return (_OTHER_ASCII if text.isascii() else _OTHER).sub(" ", text)
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:

@@ -12,6 +12,10 @@ def test_held_out_accuracy(spark, data, docs):
     assert sum(r["lang_pred"] == lang[r["doc_id"]][0] for r in held) / len(held) > 0.97
 
 
+def test_marks_stay_in_words():
+    assert L.letters("हिन्दी में १२3_x") == "हिन्दी में x" and L.letters("A1b! C") == "a b c" and L.letters("É9é") == "é é"
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark, docs):
     """Held-out labels may be anything: nothing changes."""
     spoiled = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "xx").otherwise(F.col("lang")))
