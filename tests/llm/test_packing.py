@@ -99,3 +99,8 @@ def test_sequences_hold_every_id(spark, docs):
     whole = P.sequences(packed)
     assert whole.where((F.size("ids") != P.CAPACITY) & (F.bit_count(F.size("ids")) != 1)).count() == 0
     assert whole.agg(F.sum("used")).first()[0] == packed.agg(F.sum("length")).first()[0]
+    pieces = packed.collect()
+    found = {r["sequence_id"]: r["ids"] for r in P.sequences(spark.createDataFrame(pieces, packed.schema)).collect()}
+    for r in pieces:
+        assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+    assert {r["sequence_id"] for r in pieces} == set(found)
