@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import crc_mod, shared_folder, written
 
 #: Words of an n-gram; characters of a pack and keys of a shard, about.
-ORDER, PACK, SHARD = 2, 10_000_000, 1_500_000
+ORDER, PACK, SHARD = 2, 2_000_000, 500_000
 _MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,16 +188,33 @@ class Grams:
         out[self.first] = self.start[k - 1]
         return out
 
-    def distinct(self, k: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys of level k, ascending; a token at which each one ends, or -1), contexts of starts included."""
-        keys, at = np.unique(self.keys[k - 1], return_index=True)
-        if k < order:
-            place = int(np.searchsorted(keys, self.start[k - 1][0]))
-            keys, at = np.insert(keys, place, self.start[k - 1][0]), np.insert(at, place, -1)
-        return keys, at
+    def ranked(self, k: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(distinct keys of level k, ascending; each token's place among them; a token at which each one ends, or -1; the starts' place).
+
+        Below the top the key of starts is among them, as they are contexts. By one sort.
+        """
+        own = self.keys[k - 1]
+        by = np.argsort(own)
+        keys = own[by]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        place = np.empty(len(own), np.int32)
+        place[by] = np.cumsum(new, dtype=np.int32) - 1
+        keys, at = keys[new], by[new]
+        if k == order:
+            return keys, place, at, -1
+        start = int(np.searchsorted(keys, self.start[k - 1][0]))
+        place[place >= start] += 1
+        return np.insert(keys, start, self.start[k - 1][0]), place, np.insert(at, start, -1), start
+
+    def shifted(self, place: np.ndarray, start: int) -> np.ndarray:
+        """Each token's context's place, from the places of the tokens before."""
+        out = np.empty_like(place)
+        out[1:] = place[:-1]
+        out[self.first] = start
+        return out
 
 
-def _cut_columns(k: int, order: int) -> int:
+def _value_columns(k: int, order: int) -> int:
     """Values of a key at level k: its count; below the top also what it counts as a context; for words, their raw counts too."""
     return 1 if k == order else 5 if k > 1 else 6
 
@@ -227,34 +244,27 @@ def _pack(held: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["pack", "doc_id", "learn", "text"])
 
 
-def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the shards in ascending 64-bit keys."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 def _bits(entries: float, each: int) -> int:
     return max(2, int(np.ceil(np.log2(max(1.0, entries / each)))))
 
 
 def _emitted(grams: Grams, learn: np.ndarray, k: int, order: int, above: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
     """A pack's distinct keys of level k and what it adds to their values; ``above`` are the answers of level k + 1."""
-    keys, _ = grams.distinct(k, order)
-    size = len(keys)
-    tally = lambda of, weights=None: np.bincount(np.searchsorted(keys, of), weights, size).astype(np.uint64)
-    raw = tally(grams.keys[k - 1][np.repeat(learn, grams.sizes)]) if k in (1, order) else None
+    keys, place, _, start = grams.ranked(k, order)
+    tally = lambda of, weights=None: np.bincount(of, weights, len(keys)).astype(np.uint64)
+    raw = tally(place[np.repeat(learn, grams.sizes)]) if k in (1, order) else None
     if k == order:
         return keys, [raw]
-    _, at = grams.distinct(k + 1, order)
-    own = at[(above[-1] > 0) & (at >= 0)]
-    seen = above[0][(above[-1] > 0) & (at >= 0)]
-    context = grams.before(k)[own]
-    columns = [tally(grams.keys[k - 1][own]), tally(context, seen.astype(np.float64)), *(tally(context[x]) for x in (seen == 1, seen == 2, seen > 2))]
+    at = grams.ranked(k + 1, order)[2]
+    mine = (above[-1] > 0) & (at >= 0)
+    own, seen = at[mine], above[0][mine]
+    context = grams.shifted(place, start)[own]
+    columns = [tally(place[own]), tally(context, seen.astype(np.float64)), *(tally(context[x]) for x in (seen == 1, seen == 2, seen > 2))]
     return keys, [*columns, raw] if k == 1 else columns
 
 
 def _answers(files: Files, pack: int, k: int, order: int) -> list[np.ndarray]:
-    return unsqueezed(files.get(f"answer-{k}-{pack}"), _cut_columns(k, order) + 1)
+    return unsqueezed(files.get(f"answer-{k}-{pack}"), _value_columns(k, order) + 1)
 
 
 def level(of: DataFrame, files: Files, k: int, order: int, bits: int) -> np.ndarray:
@@ -262,7 +272,7 @@ def level(of: DataFrame, files: Files, k: int, order: int, bits: int) -> np.ndar
 
     These are: keys with a count, their counts' sum, keys with a count of 1, 2, 3, 4 and above 2, words learned, their tokens.
     """
-    columns = _cut_columns(k, order)
+    columns = _value_columns(k, order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,15 +280,16 @@ def level(of: DataFrame, files: Files, k: int, order: int, bits: int) -> np.ndar
                 pack, learn, texts = (batch.column(c)[i].as_py() for c in range(3))
                 above = _answers(files, pack, k + 1, order) if k < order else None
                 keys, values = _emitted(Grams(texts, order), np.array(learn, bool), k, order, above)
-                cut = _cut(keys, bits)
-                shards = [x for x in range(1 << bits) if cut[x + 1] > cut[x]]
-                data = [packed(keys[cut[x] : cut[x + 1]], *(v[cut[x] : cut[x + 1]] for v in values)) for x in shards]
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([pack] * len(shards), pa.int64()), pa.array(data, pa.binary())], names=["shard", "pack", "data"])
+                shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                data = [packed(keys[a:b], *(v[a:b] for v in values)) for a, b in zip(first, [*first[1:], len(keys)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array([pack] * len(first), pa.int64()), pa.array(data, pa.binary())], names=["shard", "pack", "data"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches):
             asked = [unpacked(r[2], "u8", *["u8"] * columns) for r in rows]
             every = [np.concatenate(c) for c in zip(*asked, strict=True)]
+            asked = [x[:1] for x in asked]
             order_ = np.argsort(every[0], kind="stable")
             keys = every[0][order_]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -295,14 +306,13 @@ def level(of: DataFrame, files: Files, k: int, order: int, bits: int) -> np.ndar
                 kinds.append(np.min_scalar_type(int(x.max(initial=0))).str.lstrip("<|"))
                 files.put_array(f"values-{k}-{j}-{shard}.{kinds[-1]}", x[known].astype(kinds[-1]))
             model = files.map(f"keys-{k}-{shard}", "u8"), [files.map(f"values-{k}-{j}-{shard}.{t}", t) for j, t in enumerate(kinds)]
-            at = 0
-            for (_, pack, _), (wanted, *_) in zip(rows, asked, strict=True):
-                answer = [*looked_up(wanted, *model), own[at : at + len(wanted)]]
+            at, data = 0, []
+            for (wanted,) in asked:
+                data.append(squeezed(*looked_up(wanted, *model), own[at : at + len(wanted)]))
                 at += len(wanted)
-                yield _answer(pack, shard, squeezed(*answer), None)
             c = sums[0]
             tally = [(c > 0).sum(), c.sum(), *((c == n).sum() for n in (1, 2, 3, 4)), (c > 2).sum(), *([(sums[5] > 0).sum(), sums[5].sum()] if k == 1 else [])]
-            yield _answer(-1, shard, None, [int(x) for x in tally])
+            yield _answer([r[1] for r in rows] + [-1], shard, [*data, None], [None] * len(rows) + [[int(x) for x in tally]])
 
     sent = of.select("pack", "learn", "text").mapInArrow(emit, "shard long, pack long, data binary")
     found = written(sent.repartition("shard").sortWithinPartitions("shard", "pack").mapInArrow(merge, "pack long, shard long, data binary, tally array<bigint>"))
@@ -325,7 +335,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
     """(key, its rows) from batches sorted by their first column."""
     now, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in batch.columns)
             if row[0] != now:
                 if rows:
                     yield now, rows
@@ -335,8 +346,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield now, rows
 
 
-def _answer(pack: int, shard: int, data: bytes | None, tally: list | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([shard], pa.int64()), pa.array([data], pa.binary()), pa.array([tally], pa.list_(pa.int64()))], names=["pack", "shard", "data", "tally"])
+def _answer(packs: list[int], shard: int, data: list[bytes | None], tally: list[list | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array([shard] * len(packs), pa.int64()), pa.array(data, pa.binary()), pa.array(tally, pa.list_(pa.int64()))], names=["pack", "shard", "data", "tally"])
 
 
 def looked_up(wanted: np.ndarray, keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
@@ -371,18 +382,18 @@ def score_pack(texts: list[str | None], answers: list[list[np.ndarray]], cuts: l
     order = len(answers)
     grams = Grams(texts, order)
     n, v = int(tallies[0][8]), int(tallies[0][7])
-    keys = [grams.distinct(k, order)[0] for k in range(1, order + 1)]
-    place = [np.searchsorted(keys[k], grams.keys[k]) for k in range(order)]
-    raw = answers[0][5][place[0]].astype(np.float64)
+    _, place, _, start = grams.ranked(1, order)
+    raw = answers[0][5][place].astype(np.float64)
     base = np.log10((raw + 1) / (n + 1 * (v + 1)))
     total = int(tallies[0][1])
     left = sum(c * m for c, m in zip(cuts[0], (tallies[0][2], tallies[0][3], tallies[0][6]), strict=True)) / total if total else 1.0
-    p = _discounted(answers[0][0][place[0]].astype(np.float64), cuts[0]) / max(1, total) + left / (v + 1)
+    p = _discounted(answers[0][0][place].astype(np.float64), cuts[0]) / max(1, total) + left / (v + 1)
     for k in range(1, order):
-        context = np.searchsorted(keys[k - 1], grams.before(k))
+        context = grams.shifted(place, start)
         whole, *seen = (x[context].astype(np.float64) for x in answers[k - 1][1:5])
         free = sum(c * x for c, x in zip(cuts[k], seen, strict=True)) / np.maximum(whole, 1)
-        p = np.where(whole > 0, _discounted(answers[k][0][place[k]].astype(np.float64), cuts[k]) / np.maximum(whole, 1) + free * p, p)
+        _, place, _, start = grams.ranked(k + 1, order)
+        p = np.where(whole > 0, _discounted(answers[k][0][place].astype(np.float64), cuts[k]) / np.maximum(whole, 1) + free * p, p)
     sums = lambda x: np.add.reduceat(x, grams.first)
     return {"n_tokens": grams.sizes, "n_known": sums((raw > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(p))}
 
@@ -403,7 +414,9 @@ def score(docs: DataFrame, learn: Column | bool = True, order: int = ORDER) -> D
     words = of.agg(F.coalesce(F.sum(F.aggregate("text", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0] / 6
     tallies = np.zeros((order, 9), np.int64)
     for k in range(order, 0, -1):
-        tallies[k - 1] = level(of, files, k, order, _bits(words if k > 1 else words / 10, SHARD))
+        # Keys that packs send, about, by how many values they carry: of words a pack has a third of its tokens at most.
+        sent = words * (1 if k == order else _value_columns(k, order) / 2) * (0.3 if k == 1 else 1)
+        tallies[k - 1] = level(of, files, k, order, _bits(sent, SHARD))
     cuts = [discounts(*t[2:6].tolist()) for t in tallies]
     tokens_learned = int(tallies[0][8])
 
