@@ -63,7 +63,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as a Parquet table in the shared folder and read again: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
