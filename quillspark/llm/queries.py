@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillspark.llm.chat import OP10_SQL, op10_chat
 from quillspark.llm.html_text import op3_html
+from quillspark.llm.importance import OP13_SQL, op13_importance
 from quillspark.llm.language_id import op6_language_id
 from quillspark.llm.mixing import op5_mixing
 from quillspark.llm.ngram_lm import op7_lm_scoring
@@ -26,7 +27,8 @@ OPERATORS = (
     op9_ogg,
     op10_chat,
     op12_periodic_runs,
+    op13_importance,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
-ORACLE_SQL: dict[str, str] = {"op10_chat": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_chat": OP10_SQL, "op13_importance": OP13_SQL}
