@@ -12,6 +12,7 @@ from quillspark.llm.ogg import op9_ogg
 from quillspark.llm.packing import op2_packing
 from quillspark.llm.periodic_runs import op12_periodic_runs
 from quillspark.llm.quality import op8_quality
+from quillspark.llm.quality_gam import op11_quality_gam
 from quillspark.llm.secret_scan import op1_secret_scans
 from quillspark.llm.simhash import op4_simhash
 
@@ -26,6 +27,7 @@ OPERATORS = (
     op8_quality,
     op9_ogg,
     op10_chat,
+    op11_quality_gam,
     op12_periodic_runs,
     op13_importance,
 )
