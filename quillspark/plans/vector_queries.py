@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from quillspark.operators import retrieval as R
 from quillspark.operators import vectors as V
+from quillspark.operators.vector_index import VectorIndex
 from quillspark.plans.catalog_queries import shelf
 from quillspark.plans.registry import query
 
@@ -37,6 +38,23 @@ def chunk_similarity_scoped(lib):
     return _found(V.chunk_search(lib.chunks_v, shelf(lib), lib.pages_v, question(lib), ["src1", "src2", "src3", "src5"], ["poetry"], 12, -1.0))
 
 
+@query("chunk_search_indexed", "chunks_v books_v pages_v", _Q + _CHUNKS.format(THRESHOLD, "", K))
+def chunk_search_indexed(lib):
+    values = lib.embeddings.where("vec_id = 0").select("embedding").first()[0]
+    index = VectorIndex.build(lib.chunks_v)
+    return _found(V.chunk_search(index.above(values, THRESHOLD), shelf(lib), lib.pages_v, V.query_vector(values), k=K, threshold=THRESHOLD))
+
+
+@query("vector_index_topk", "", f"""
+SELECT query_id, id, similarity, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS similarity,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 20 = 0) WHERE rank <= {K}""")
+def vector_index_topk(lib):
+    index = VectorIndex.build(lib.embeddings, "vec_id")
+    found = index.search(lib.embeddings.where("vec_id % 20 = 0"), K, exact=True, key="vec_id")
+    return found.select(F.col("vec_id").alias("query_id"), "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("summary_search", "summaries_v books_v", _Q + f"SELECT s.book_id, round({_SIM.format('s')}, 6) AS similarity FROM summaries_v s JOIN books_v b ON b.id = s.book_id CROSS JOIN q WHERE list_has_any([b.cat1, b.cat2], ['novel', 'poetry']) AND {_SIM.format('s')} > -0.5 ORDER BY {_SIM.format('s')} DESC, s.book_id LIMIT 8")
 def summary_search(lib):
     found = V.summary_search(lib.summaries_v, shelf(lib), question(lib), ["novel", "poetry"], k=8, threshold=-0.5)
