@@ -138,9 +138,15 @@ def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(rule, ordered, text)
 
 
-def check_pages(pages: DataFrame, dictionary: DataFrame, rules: list[tuple[str, str]], vowels: tuple = VOWELS, pairs: tuple = CONFUSED) -> tuple[DataFrame, DataFrame]:
-    """(pages with rules applied and the check done, issues): one issue for each occurrence of an unknown word with corrections."""
-    fixed = pages.withColumn("text", apply_rules(F.col("text"), rules)).withColumn("spell_check_milestone", F.lit("done"))
+def check_pages(pages: DataFrame, dictionary: DataFrame, rules: DataFrame | list[tuple[str, str]], vowels: tuple = VOWELS, pairs: tuple = CONFUSED) -> tuple[DataFrame, DataFrame]:
+    """(pages with rules applied and the check done, issues): one issue for each occurrence of an unknown word with corrections.
+
+    ``rules`` are a table (misspelled_word, corrected_word) of any number of rules, or a short list.
+    """
+    from quillspark.functions.rewriting import rewritten
+
+    fixed = rewritten(pages, rules) if isinstance(rules, DataFrame) else pages.withColumn("text", apply_rules(F.col("text"), rules))
+    fixed = fixed.withColumn("spell_check_milestone", F.lit("done"))
     each = token_rows(fixed)
     found = corrections(unknown_words(each, dictionary), dictionary, vowels, pairs)
     issues = each.join(found, "word").select("page_id", F.col("raw").alias("word"), F.col("start").alias("char_offset"), F.col("end").alias("char_end"), F.col("corrections").alias("ocr_corrections"), F.lit("open").alias("status"))
@@ -148,16 +154,14 @@ def check_pages(pages: DataFrame, dictionary: DataFrame, rules: list[tuple[str,
 
 
 def apply_edits(pages: DataFrame, edits: DataFrame) -> DataFrame:
-    """Pages with edits (page_id, start, end, new) made from the last to the first; edits without offsets are skipped.
+    """Pages with edits (page_id, start, end, new) made in one sweep; edits without offsets are skipped.
 
-    ``n_edits`` counts them; changed pages go back to chunking and embedding.
+    ``n_edits`` counts them, ``overlaps`` lists those that were not made; changed pages go back to chunking and embedding.
     """
-    made = edits.where("start IS NOT NULL AND end IS NOT NULL").groupBy(F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "new")), asc=False).alias("edits"))
-    joined = pages.join(made, "id", "left")
-    new = F.aggregate("edits", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, e["end"] + 1, F.length(t))))
-    changed = F.col("edits").isNotNull()
-    out = joined.withColumn("text", F.when(changed, new).otherwise(F.col("text"))).withColumn("n_edits", F.when(changed, F.size("edits")).otherwise(0))
+    from quillspark.functions.rewriting import edited
+
+    out = edited(pages, edits)
     for step in ("chunking_milestone", "embedding_milestone"):
         if step in pages.columns:
-            out = out.withColumn(step, F.when(changed, "idle").otherwise(F.col(step)))
-    return out.drop("edits")
+            out = out.withColumn(step, F.when(F.col("n_edits") > 0, "idle").otherwise(F.col(step)))
+    return out

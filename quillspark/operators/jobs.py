@@ -155,7 +155,8 @@ def corrected_pages(pages: DataFrame, issues: DataFrame, rules: DataFrame) -> tu
     """(pages, issues) after automatic corrections.
 
     A page's issues in processing are taken; where it has none, its open ones whose word has a rule. Those with offsets and a
-    rule are applied from the last to the first and are corrected then; changed pages go back to chunking and embedding.
+    rule are made and are corrected then, but for those whose places overlap others; changed pages go back to chunking and
+    embedding.
     """
     known = active_rules(rules)
     pages_of = issues.where("status = 'processing'").select("page_id", F.lit(True).alias("__processing")).distinct()
@@ -163,8 +164,15 @@ def corrected_pages(pages: DataFrame, issues: DataFrame, rules: DataFrame) -> tu
     taken = F.when(F.coalesce("__processing", F.lit(False)), F.col("status") == "processing").otherwise(F.col("status") == "open")
     hit = F.coalesce(taken & F.col("new").isNotNull() & F.col("char_offset").isNotNull() & F.col("char_end").isNotNull(), F.lit(False))
     edits = state.where(hit).select("page_id", F.col("char_offset").alias("start"), F.col("char_end").alias("end"), "new")
-    after = state.withColumn("status", F.when(hit, "corrected").otherwise(F.col("status"))).select(*issues.columns)
-    return _stale_index(apply_edits(pages, edits)), after
+    new = apply_edits(pages, edits)
+    state = state.withColumn("__hit", hit).join(_not_made(new), [F.col("page_id") == F.col("__page"), F.col("char_offset") == F.col("__start"), F.col("char_end") == F.col("__end"), F.col("new") == F.col("__new")], "left")
+    after = state.withColumn("status", F.when(F.col("__hit") & F.col("__page").isNull(), "corrected").otherwise(F.col("status"))).select(*issues.columns)
+    return _stale_index(new), after
+
+
+def _not_made(edited: DataFrame) -> DataFrame:
+    left = edited.select(F.col("id").alias("__page"), F.explode("overlaps").alias("e"))
+    return left.select("__page", F.col("e.start").alias("__start"), F.col("e.end").alias("__end"), F.col("e.new").alias("__new"))
 
 
 def _stale_index(pages: DataFrame) -> DataFrame:
@@ -185,9 +193,11 @@ def manual_corrections(pages: DataFrame, issues: DataFrame, rules: DataFrame, di
     saved = both.where("as_rule").groupBy(F.col("__word").alias("misspelled_word")).agg(F.min_by("corrected_word", "issue_id").alias("corrected_word"))
     added = both.where("to_dictionary").select(F.col("__word").alias("word")).distinct().join(dictionary.select("word"), "word", "left_anti")
     grown, after = word_added(dictionary, issues, added)
-    done = edits.select(F.col("issue_id").alias("id"), F.lit(True).alias("__done")).distinct()
+    new = apply_edits(pages, edits.drop("issue_id"))
+    made = edits.join(_not_made(new), [F.col("page_id") == F.col("__page"), F.col("start") == F.col("__start"), F.col("end") == F.col("__end"), F.coalesce("new", F.lit("")) == F.col("__new")], "left_anti")
+    done = made.select(F.col("issue_id").alias("id"), F.lit(True).alias("__done")).distinct()
     after = after.join(done, "id", "left").withColumn("status", F.when(F.col("__done"), "corrected").otherwise(F.col("status"))).select(*issues.columns)
-    return _stale_index(apply_edits(pages, edits.drop("issue_id"))), after, rules_saved(rules, saved), grown
+    return _stale_index(new), after, rules_saved(rules, saved), grown
 
 
 # Page administration.

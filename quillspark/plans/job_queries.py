@@ -69,14 +69,15 @@ def page_reset(lib):
     return J.page_reset(lib.pages_v, "src3", 2).select("id", "ocr_milestone", F.md5("text").alias("digest"), "retry_count")
 
 
-@query("rules_search", "rules_v", "SELECT misspelled_word, corrected_word FROM rules_v WHERE is_active AND (misspelled_word ILIKE '%T_A%' OR corrected_word ILIKE '%T_A%')")
+@query("rules_search", "rules_v", "SELECT misspelled_word, corrected_word FROM rules_v WHERE is_active AND (misspelled_word ILIKE '%T_E%' OR corrected_word ILIKE '%T_E%')")
 def rules_search(lib):
-    return J.rules_matching(lib.rules_v, "T_A", auto_only=True).select("misspelled_word", "corrected_word")
+    return J.rules_matching(lib.rules_v, "T_E", auto_only=True).select("misspelled_word", "corrected_word")
 
 
-@query("rule_by_word", "rules_v", "SELECT corrected_word, is_active FROM rules_v WHERE misspelled_word = 'with'")
+@query("rule_by_word", "rules_v", "SELECT corrected_word, is_active FROM rules_v WHERE misspelled_word = (SELECT max(misspelled_word) FROM rules_v)")
 def rule_by_word(lib):
-    return J.rule_of(lib.rules_v, "with").select("corrected_word", "is_active")
+    last = lib.rules_v.agg(F.max("misspelled_word")).first()[0]
+    return J.rule_of(lib.rules_v, last).select("corrected_word", "is_active")
 
 
 @query("rules_patched", "rules_v", "SELECT misspelled_word, corrected_word, NOT is_active AS is_active FROM rules_v")

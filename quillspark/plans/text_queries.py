@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import chunking as K
 from quillspark.functions import spelling as S
 from quillspark.functions import text as T
+from quillspark.operators import jobs as J
 from quillspark.operators import metrics as X
 from quillspark.operators import pipeline as P
 from quillspark.plans.registry import query
@@ -175,6 +176,39 @@ def spell_check_pages(lib):
     return issues.groupBy("page_id").agg(F.count("*").alias("n"), F.min("char_offset").alias("first"))
 
 
+#: Rules from the proverbs' words in Arabic letters: each gets an ending, so none is rewritten twice.
+_ENDING = "ۇۇۇ"
+_RULES = f"SELECT DISTINCT {_LETTERS} AS w FROM dictionary_v WHERE regexp_matches(word, '^[abdefghiklmnorstu]+$')"
+_RUNS = f"SELECT id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS k FROM (SELECT id, regexp_extract_all({_ARABIC}, '[\u0621-\u06ff]+|[^\u0621-\u06ff]+') AS l FROM pages_v)"
+
+
+def arabic_rules(lib):
+    word = F.translate("word", "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ")
+    return lib.dictionary_v.where("word RLIKE '^[abdefghiklmnorstu]+$'").select(word.alias("misspelled_word"), F.concat(word, F.lit(_ENDING)).alias("corrected_word"))
+
+
+def _texts_by(condition: str) -> str:
+    return f""", d AS ({_RULES}), t AS ({_RUNS}),
+m AS (SELECT id, string_agg(t.w || CASE WHEN d.w IS NOT NULL AND {condition} THEN '{_ENDING}' ELSE '' END, '' ORDER BY k) AS text, count(*) FILTER (WHERE d.w IS NOT NULL AND {condition}) AS n FROM t LEFT JOIN d ON d.w = t.w GROUP BY id)
+SELECT p.id, md5(CASE WHEN p.text IS NOT NULL THEN coalesce(m.text, '') END) AS digest, CAST(coalesce(m.n, 0) AS INT) AS n FROM pages_v p LEFT JOIN m ON m.id = p.id"""
+
+
+@query("rules_applied", "pages_v dictionary_v", _texts_by("true"))
+def rules_applied(lib):
+    from quillspark.functions.rewriting import rewritten
+
+    marked = F.size(F.regexp_extract_all("text", F.lit(f"{_ENDING}(?![\u0621-\u06ff])"), 0))
+    return rewritten(arabic(lib), arabic_rules(lib)).select("id", F.md5("text").alias("digest"), F.coalesce(marked, F.lit(0)).alias("n"))
+
+
+@query("pages_corrected", "pages_v dictionary_v", _texts_by("length(t.w) >= 4 AND length(t.w) % 2 = 0"))
+def pages_corrected(lib):
+    """Issues at every word of four letters or more; active rules are those of words of even length."""
+    found = S.token_rows(arabic(lib)).select((F.col("page_id") * 1_000_000 + F.col("start")).alias("id"), "page_id", "word", F.col("start").alias("char_offset"), F.col("end").alias("char_end"), F.lit("open").alias("status"))
+    rules = arabic_rules(lib).withColumn("is_active", F.length("misspelled_word") % 2 == 0)
+    return J.corrected_pages(arabic(lib), found, rules)[0].select("id", F.md5("text").alias("digest"), F.col("n_edits").alias("n"))
+
+
 def issues(lib):
     """An issue for every word of a page: (id, page_id, word, status), ids in order of arrival."""
     rows = lib.pages_v.select(F.col("id").alias("page_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("pos", "w"))

@@ -74,7 +74,10 @@ VIEWS = {
     "usage_v": "SELECT user_id, CAST(ts AS DATE) AS usage_date, count(*) AS cnt FROM events GROUP BY user_id, CAST(ts AS DATE)",
     "history_v": "SELECT conv_id, turn, role, text FROM conversations",
     "proverbs_v": "SELECT item_id AS id, text FROM benchmark",
-    "rules_v": "SELECT * FROM (VALUES ('that', 'what', TRUE), ('with', 'mit', TRUE), ('from', 'form', FALSE)) AS r(misspelled_word, corrected_word, is_active)",
+    "rules_v": """
+  SELECT w AS misspelled_word, min(c) AS corrected_word, (length(w) % 2 = 0) AS is_active
+  FROM (SELECT translate(lower(split_part(text, ' ', 2)), '.,', '') AS w, translate(lower(split_part(text, ' ', 3)), '.,', '') AS c FROM benchmark) r
+  WHERE length(w) >= 2 GROUP BY w""",
 }
 
 #: Words of at least four letters, in SQL for the check engine: those of ``benchmark``, and one row for each on a page.
