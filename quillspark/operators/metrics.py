@@ -76,14 +76,16 @@ def hit_rate(hits: Column, misses: Column) -> Column:
     return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0)
 
 
-def correctable_claims(issues: DataFrame, rules: DataFrame, pages: int) -> DataFrame:
+def correctable_claims(issues: DataFrame, rules: DataFrame, pages: int, issues_a_page: int | None = None) -> DataFrame:
     """Issues (id, page_id) to correct now: of at most ``pages`` pages in order of arrival, up to the first issue of the next page.
 
     An issue of a claimed page that comes after that point waits. Pages are ranked by their first issue: only those first
-    arrivals, one row a page, are ordered as a whole, and no more of them than are asked for leave a task.
+    arrivals, one row a page, are ordered as a whole, and no more of them than are asked for leave a task. With
+    ``issues_a_page`` only so many issues for each page asked for are looked at, the first ones.
     """
     active = rules.where("is_active").select(F.col("misspelled_word").alias("word"))
     rows = issues.where("status = 'open'").join(active, "word", "left_semi").select("id", "page_id")
+    rows = rows if issues_a_page is None else rows.orderBy("id").limit(pages * issues_a_page)
     first = rows.groupBy("page_id").agg(F.min("id").alias("first")).orderBy("first").limit(pages + 1)
     ranked = first.withColumn("nth", F.row_number().over(W.orderBy("first")))
     stop = ranked.where(F.col("nth") == pages + 1).agg(F.min("first").alias("stop"))

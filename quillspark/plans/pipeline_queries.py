@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import claims as C
 from quillspark.operators import merge as M
 from quillspark.operators import metrics as X
 from quillspark.operators import pipeline as P
@@ -292,3 +293,77 @@ SELECT key, arg_max(state, k) AS state, arg_max(failures, k) AS failures, arg_ma
 def breaker_states(lib):
     calls = lib.events.select((F.col("user_id") % 10).alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("id"), (F.col("value") > 60).alias("ok"))
     return X.breaker_states(calls, cooling=3600)
+
+
+@query("pages_claimed", "pages_v", """
+SELECT id, CASE WHEN id IN (SELECT id FROM pages_v WHERE chunking_milestone = 'idle' AND ocr_milestone = 'succeeded' ORDER BY id LIMIT 50) THEN 'in_progress' ELSE chunking_milestone END AS chunking_milestone FROM pages_v""")
+def pages_claimed(lib):
+    return C.pages_claimed(lib.pages_v, "chunking", 50, now()).select("id", "chunking_milestone")
+
+
+@query("spell_pages_claimed", "pages_v", """
+, a AS (SELECT DISTINCT book_id FROM pages_v WHERE spell_check_milestone = 'in_progress'), i AS (SELECT id, book_id FROM pages_v WHERE spell_check_milestone = 'idle' AND embedding_milestone = 'succeeded'),
+f AS (SELECT book_id, row_number() OVER (ORDER BY book_id) AS nth FROM (SELECT DISTINCT book_id FROM i WHERE book_id NOT IN (SELECT book_id FROM a))),
+c AS (SELECT id FROM i WHERE book_id IN (SELECT book_id FROM a UNION ALL SELECT book_id FROM f WHERE nth <= greatest(0, 18 - (SELECT count(*) FROM a))) ORDER BY id LIMIT 40)
+SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'in_progress' ELSE spell_check_milestone END AS spell_check_milestone FROM pages_v""")
+def spell_pages_claimed(lib):
+    return C.spell_pages_claimed(lib.pages_v, 18, 40, now()).select("id", "spell_check_milestone")
+
+
+def _seen(lib):
+    """Pages with the time of their last event."""
+    last = lib.events_v.groupBy(F.col("page_id").alias("id")).agg(F.max("created_at").alias("last_updated"))
+    return lib.pages_v.join(last, "id", "left")
+
+
+_SEEN = ", s AS (SELECT p.*, e.last_updated FROM pages_v p LEFT JOIN (SELECT page_id, max(created_at) AS last_updated FROM events_v GROUP BY 1) e ON e.page_id = p.id)"
+_IDLE = ", ".join(f"CASE WHEN last_updated < {NOW} - INTERVAL 30 MINUTES AND {s}_milestone = 'in_progress' THEN 'idle' ELSE {s}_milestone END AS {s}_milestone" for s in P.STEPS)
+_STUCK = f"last_updated < {NOW} - INTERVAL 30 MINUTES AND ({' OR '.join(f"{s}_milestone = 'in_progress'" for s in P.STEPS)})"
+
+
+@query("pages_released", "pages_v events_v", f"{_SEEN} SELECT id, retry_count, {_IDLE} FROM s")
+def pages_released(lib):
+    return C.pages_released(_seen(lib), _milestoned(lib), now())[0].select("id", "retry_count", *[f"{s}_milestone" for s in P.STEPS])
+
+
+@query("books_rolled_up_again", "books_v pages_v events_v", f"""{_SEEN}, a AS (SELECT book_id, {_IDLE} FROM s), t AS (SELECT DISTINCT book_id FROM s WHERE {_STUCK})
+SELECT b.id, {", ".join(f"coalesce(m.{s}_milestone, 'idle') AS {s}_milestone" for s in P.STEPS)} FROM books_v b LEFT JOIN (SELECT book_id, {", ".join(map(_roll, P.STEPS))} FROM (SELECT book_id, {_COUNTS} FROM a WHERE book_id IN (SELECT book_id FROM t) GROUP BY book_id)) m ON m.book_id = b.id""")
+def books_rolled_up_again(lib):
+    return C.pages_released(_seen(lib), _milestoned(lib), now())[1].select("id", *[f"{s}_milestone" for s in P.STEPS])
+
+
+def _milestoned(lib):
+    return lib.books_v.withColumns({f"{s}_milestone": F.lit("idle") for s in P.STEPS})
+
+
+_STEPPED = "s AS (SELECT *, CASE WHEN id % 4 = 0 THEN NULL ELSE 'chunking' END AS pipeline_step FROM pages_v)"
+_FAILS = " OR ".join(f"{s}_milestone IN ('failed', 'error')" for s in P.STEPS)
+_DRIVEN = f""", {_STEPPED},
+f AS (SELECT p.id FROM s p JOIN books_v b ON b.id = p.book_id WHERE p.ocr_milestone = 'idle' AND b.status <> 'ready' ORDER BY p.id LIMIT 60),
+n AS (SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM f) THEN 0 ELSE retry_count END AS retry_count, CASE WHEN id IN (SELECT id FROM f) THEN coalesce(pipeline_step, 'ocr') ELSE pipeline_step END AS pipeline_step) FROM s),
+r AS (SELECT id FROM n WHERE retry_count < 3 AND ({_FAILS}) ORDER BY id LIMIT 60),
+d AS (SELECT * REPLACE ({", ".join(f"CASE WHEN id IN (SELECT id FROM r) AND {s}_milestone IN ('failed', 'error') THEN 'idle' ELSE {s}_milestone END AS {s}_milestone" for s in P.STEPS)}) FROM n),
+x AS (SELECT book_id, count(*) AS total, count(*) FILTER (WHERE embedding_milestone = 'succeeded' OR bad) AS terminal, count(*) FILTER (WHERE bad) AS failed FROM
+ (SELECT *, retry_count >= 3 AND ({" OR ".join(f"{s}_milestone IN ('failed', 'error')" for s in P.STEPS[:3])}) AS bad FROM d) GROUP BY book_id),
+o AS (SELECT b.id, CASE WHEN x.failed = 0 THEN 'ready' ELSE 'error' END AS outcome FROM books_v b JOIN x ON x.book_id = b.id WHERE total = terminal
+ AND ((failed = 0 AND b.pipeline_step IS DISTINCT FROM 'ready') OR (failed > 0 AND b.pipeline_step <> 'failed')))"""
+
+
+def _driven(lib):
+    stepped = lib.pages_v.withColumn("pipeline_step", F.when(F.col("id") % 4 != 0, "chunking"))
+    return C.driven(stepped, lib.books_v, lib.summaries_v, 60)
+
+
+@query("driven_pages", "pages_v books_v", f"{_DRIVEN} SELECT id, retry_count, pipeline_step, {', '.join(f'{s}_milestone' for s in P.STEPS)} FROM d")
+def driven_pages(lib):
+    return _driven(lib)[0].select("id", "retry_count", "pipeline_step", *[f"{s}_milestone" for s in P.STEPS])
+
+
+@query("driven_books", "pages_v books_v", f"{_DRIVEN} SELECT b.id, CASE o.outcome WHEN 'ready' THEN 'ready' WHEN 'error' THEN 'failed' ELSE b.pipeline_step END AS pipeline_step, coalesce(o.outcome, b.status) AS status FROM books_v b LEFT JOIN o ON o.id = b.id")
+def driven_books(lib):
+    return _driven(lib)[1].select("id", "pipeline_step", "status")
+
+
+@query("driven_jobs", "pages_v books_v summaries_v", f"{_DRIVEN} SELECT 'summary_job' AS job, id AS book_id, 'summary:' || id AS job_id FROM o WHERE outcome = 'ready' AND id NOT IN (SELECT book_id FROM summaries_v)")
+def driven_jobs(lib):
+    return _driven(lib)[2]

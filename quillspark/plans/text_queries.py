@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import chunking as K
 from quillspark.functions import spelling as S
 from quillspark.functions import text as T
+from quillspark.operators import claims as C
 from quillspark.operators import jobs as J
 from quillspark.operators import metrics as X
 from quillspark.operators import pipeline as P
@@ -264,3 +265,30 @@ def issue_word_context(lib):
 def file_titles(lib):
     path = F.concat(F.lit("uploads/Vol. "), "page_number", F.lit(".pdf"))
     return lib.pages_v.select("id", T.title_of_file(path).alias("title"), T.cover_path(F.concat(F.lit("https://x/covers/c-"), "id", F.lit(".jpg?v=1"))).alias("cover"))
+
+
+_CLAIMABLE = f"""{_ISSUES}, s AS (SELECT *, CASE WHEN id % 11 <> 5 THEN CAST(id % 100000 * 7 AS INT) END AS char_offset, CASE WHEN id % 13 <> 5 THEN CAST(id % 100000 * 7 + 4 AS INT) END AS char_end FROM i)"""
+
+
+def _placed_issues(lib):
+    place = (F.col("id") % 100000 * 7).cast("int")
+    return issues(lib).withColumns({"char_offset": F.when(F.col("id") % 11 != 5, place), "char_end": F.when(F.col("id") % 13 != 5, place + 4), "claimed_at": F.lit(None).cast("timestamp_ntz")})
+
+
+@query("issues_claimed", "pages_v rules_v", f""", {_CLAIMABLE},
+c AS (SELECT s.id, s.page_id FROM s JOIN rules_v r ON r.misspelled_word = s.word WHERE r.is_active AND s.status = 'open' AND char_offset IS NOT NULL AND char_end IS NOT NULL ORDER BY s.id LIMIT 200),
+f AS (SELECT page_id, min(id) AS first FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first) AS nth FROM f),
+t AS (SELECT c.id FROM c JOIN r USING (page_id) WHERE r.nth <= 20 AND c.id < coalesce((SELECT first FROM r WHERE nth = 21), 9223372036854775807))
+SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 'processing' ELSE status END AS status, id IN (SELECT id FROM t) AS claimed FROM s""")
+def issues_claimed(lib):
+    found = C.issues_claimed(_placed_issues(lib), lib.rules_v, 20, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
+    return found.select("id", "status", F.col("claimed_at").isNotNull().alias("claimed"))
+
+
+@query("issues_released", "pages_v", f""", {_ISSUES}
+SELECT id, CASE WHEN id % 3 = 0 AND id % 40 > 15 THEN 'open' WHEN id % 3 = 0 THEN 'processing' ELSE status END AS status, (id % 3 = 0 AND id % 40 <= 15) AS claimed FROM i""")
+def issues_released(lib):
+    at = F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    held = F.col("id") % 3 == 0
+    rows = issues(lib).withColumns({"status": F.when(held, "processing").otherwise(F.col("status")), "claimed_at": F.when(held, at - F.expr("make_dt_interval(0, 0, CAST(id % 40 AS INT), 0)"))})
+    return C.issues_released(rows, at).select("id", "status", F.col("claimed_at").isNotNull().alias("claimed"))
