@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking as K
@@ -11,6 +14,7 @@ from quillspark.operators import claims as C
 from quillspark.operators import jobs as J
 from quillspark.operators import metrics as X
 from quillspark.operators import pipeline as P
+from quillspark.operators.trigrams import TrigramIndex
 from quillspark.plans.registry import query
 
 _MARKED = "'# ' || text || chr(13) || chr(10) || '* [a](b) `c`  ' || chr(10) || chr(10) || chr(10) || chr(10) || '> end'"
@@ -292,3 +296,18 @@ def issues_released(lib):
     held = F.col("id") % 3 == 0
     rows = issues(lib).withColumns({"status": F.when(held, "processing").otherwise(F.col("status")), "claimed_at": F.when(held, at - F.expr("make_dt_interval(0, 0, CAST(id % 40 AS INT), 0)"))})
     return C.issues_released(rows, at).select("id", "status", F.col("claimed_at").isNotNull().alias("claimed"))
+
+
+#: Patterns of the indexed searches: wildcards, then regular expressions.
+_LIKES = ("%ther the%", "%IDIOT%", "%an_heu%", "%ciónm%", "%a%")
+_EXPRESSIONS = ("clown|worthless", "(?i)(secret|token) ?[=:] ?[a-z0-9]", "\\bth(at|is|e) (and|for)\\b", "[0-9]{3}-[0-9]{2}", "unge?heit")
+_SEARCHED = " UNION ALL ".join([f"SELECT {k} AS pattern, id FROM pages_v WHERE text ILIKE '{p}'" for k, p in enumerate(_LIKES)] + [f"SELECT {10 + k} AS pattern, id FROM pages_v WHERE regexp_matches(text, '{p}')" for k, p in enumerate(_EXPRESSIONS)])
+
+
+@query("texts_by_trigrams", "pages_v", _SEARCHED)
+def texts_by_trigrams(lib):
+    pages = lib.pages_v.select("id", "text")
+    index = TrigramIndex.build(pages)
+    found = [index.like(pages, p).select(F.lit(k).alias("pattern"), "id") for k, p in enumerate(_LIKES)]
+    found += [index.matching(pages, p).select(F.lit(10 + k).alias("pattern"), "id") for k, p in enumerate(_EXPRESSIONS)]
+    return reduce(DataFrame.unionAll, found)
