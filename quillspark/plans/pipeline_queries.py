@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import cascades as D
 from quillspark.operators import claims as C
 from quillspark.operators import merge as M
 from quillspark.operators import metrics as X
 from quillspark.operators import pipeline as P
+from quillspark.operators import sampling as Sa
 from quillspark.plans.registry import query
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -367,3 +372,48 @@ def driven_books(lib):
 @query("driven_jobs", "pages_v books_v summaries_v", f"{_DRIVEN} SELECT 'summary_job' AS job, id AS book_id, 'summary:' || id AS job_id FROM o WHERE outcome = 'ready' AND id NOT IN (SELECT book_id FROM summaries_v)")
 def driven_jobs(lib):
     return _driven(lib)[2]
+
+
+_GONE = "n % 4 = 1"
+
+
+@query("cascade_deleted", "books_v pages_v chunks_v events_v rag_eval_v", f"""
+, b AS (SELECT id FROM books_v WHERE {_GONE}), p AS (SELECT id FROM pages_v WHERE book_id IN (SELECT id FROM b))
+SELECT 'books' AS name, id AS row, CAST(NULL AS VARCHAR) AS of FROM books_v WHERE id NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'pages', CAST(id AS VARCHAR), book_id FROM pages_v WHERE id NOT IN (SELECT id FROM p)
+UNION ALL SELECT 'chunks', CAST(id AS VARCHAR), book_id FROM chunks_v WHERE book_id NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'events', CAST(id AS VARCHAR), CAST(page_id AS VARCHAR) FROM events_v WHERE page_id NOT IN (SELECT id FROM p)
+UNION ALL SELECT 'evaluations', CAST(id AS VARCHAR), CASE WHEN book_id NOT IN (SELECT id FROM b) THEN book_id END FROM rag_eval_v""")
+def cascade_deleted(lib):
+    tables = {"books": lib.books_v, "pages": lib.pages_v.drop("text"), "chunks": lib.chunks_v.drop("embedding"), "events": lib.events_v, "evaluations": lib.rag_eval_v}
+    keys = (*D.LIBRARY_KEYS, D.Key("evaluations", "book_id", "books", then="set null"))
+    left = D.without(tables, {"books": lib.books_v.where(_GONE).select("id")}, keys)
+    of = {"books": F.lit(None), "events": F.col("page_id")}
+    parts = [t.select(F.lit(name).alias("name"), F.col("id").cast("string").alias("row"), of.get(name, F.col("book_id")).cast("string").alias("of")) for name, t in left.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("tokens_presented", "tokens_v", "SELECT jti, user_id FROM tokens_v WHERE NOT revoked AND expires_at > TIMESTAMP '1997-01-01 00:00:00' AND jti % 3 <> 0")
+def tokens_presented(lib):
+    asked = lib.orders.select(F.col("o_orderkey").alias("jti"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).otherwise(F.lit(-1)).alias("token"))
+    return D.tokens_presented(lib.tokens_v, asked, F.expr("TIMESTAMP_NTZ '1997-01-01 00:00:00'")).select("jti", "user_id")
+
+
+@query("tokens_revoked", "tokens_v", "SELECT jti, revoked OR jti % 7 = 0 OR user_id % 5 = 0 AS revoked FROM tokens_v")
+def tokens_revoked(lib):
+    out = D.tokens_revoked(lib.tokens_v, lib.tokens_v.where("jti % 7 = 0").select("jti"), lib.tokens_v.where("user_id % 5 = 0").select("user_id"))
+    return out.select("jti", "revoked")
+
+
+_DRAWN = "-ln((CAST('0x' || substr(md5('{0}:' || {1}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
+@query("random_proverbs", "proverbs_v", f"SELECT id, text FROM proverbs_v ORDER BY {_DRAWN.format(11, 'id')}, id LIMIT 5")
+def random_proverbs(lib):
+    return Sa.bottom_k(lib.proverbs_v, 5, 11).select("id", "text")
+
+
+@query("pages_drawn_by_length", "pages_v", f"SELECT book_id, id FROM (SELECT book_id, id, row_number() OVER (PARTITION BY book_id ORDER BY {_DRAWN.format(7, 'id')} / length(text), id) AS nth FROM pages_v WHERE length(text) > 0) WHERE nth <= 3")
+def pages_drawn_by_length(lib):
+    rows = lib.pages_v.select("book_id", "id", F.length("text").alias("n"))
+    return Sa.bottom_k_by(rows, "book_id", 3, 7, weight="n").select("book_id", "id")
