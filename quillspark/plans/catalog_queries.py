@@ -217,7 +217,7 @@ SELECT file_name, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY c
  FROM (SELECT 'f' || id || '.pdf' AS file_name, sha256(text) AS content_hash, id FROM pages_v) f
  WHERE file_name NOT IN (SELECT 'f' || id || '.pdf' FROM pages_v WHERE id % 3 = 0) AND content_hash NOT IN (SELECT sha256(text) FROM pages_v WHERE id % 3 = 0)) WHERE k = 1""")
 def discovery_scan(lib):
-    files = lib.pages_v.select("id", F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("file_name"), F.sha2("text", 256).alias("content_hash"))
+    files = lib.texts_v.select("id", F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("file_name"), F.sha2("text", 256).alias("content_hash"))
     return C.unknown_files(files, files.where("id % 3 = 0")).select("file_name", "content_hash")
 
 

@@ -415,5 +415,5 @@ def random_proverbs(lib):
 
 @query("pages_drawn_by_length", "pages_v", f"SELECT book_id, id FROM (SELECT book_id, id, row_number() OVER (PARTITION BY book_id ORDER BY {_DRAWN.format(7, 'id')} / length(text), id) AS nth FROM pages_v WHERE length(text) > 0) WHERE nth <= 3")
 def pages_drawn_by_length(lib):
-    rows = lib.pages_v.select("book_id", "id", F.length("text").alias("n"))
+    rows = lib.texts_v.select("book_id", "id", F.length("text").alias("n"))
     return Sa.bottom_k_by(rows, "book_id", 3, 7, weight="n").select("book_id", "id")

@@ -136,7 +136,7 @@ def ocr_corrections(lib):
 
 def arabic(lib):
     """Pages in Arabic letters, letter for letter, so that tokens and confusions occur."""
-    return lib.pages_v.withColumn("text", F.translate(F.lower("text"), "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ"))
+    return lib.texts_v.withColumn("text", F.translate(F.lower("text"), "abdefghiklmnorstu", "ابدەفگھىكلمنورستۇ"))
 
 
 _ARABIC = "translate(lower(text), 'abdefghiklmnorstu', 'ابدەفگھىكلمنورستۇ')"
@@ -216,7 +216,7 @@ def pages_corrected(lib):
 
 def issues(lib):
     """An issue for every word of a page: (id, page_id, word, status), ids in order of arrival."""
-    rows = lib.pages_v.select(F.col("id").alias("page_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("pos", "w"))
+    rows = lib.texts_v.select(F.col("id").alias("page_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("pos", "w"))
     return rows.select((F.col("page_id") * 100000 + F.col("pos")).alias("id"), "page_id", F.col("w").alias("word"), F.when(F.col("pos") % 2 == 0, "open").otherwise("corrected").alias("status"))
 
 
@@ -262,7 +262,7 @@ def prefix_issue_counts(lib):
 
 @query("issue_word_context", "pages_v", "SELECT id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 8), ' ') AS context FROM pages_v")
 def issue_word_context(lib):
-    return lib.pages_v.select("id", X.word_context(F.col("text"), F.lit(2), 5).alias("context"))
+    return lib.texts_v.select("id", X.word_context(F.col("text"), F.lit(2), 5).alias("context"))
 
 
 @query("file_titles", "pages_v", "SELECT id, 'Vol. ' || page_number AS title, 'c-' || id || '.jpg' AS cover FROM pages_v")
@@ -306,7 +306,7 @@ _SEARCHED = " UNION ALL ".join([f"SELECT {k} AS pattern, id FROM pages_v WHERE t
 
 @query("texts_by_trigrams", "pages_v", _SEARCHED)
 def texts_by_trigrams(lib):
-    pages = lib.pages_v.select("id", "text")
+    pages = lib.texts_v.select("id", "text")
     index = TrigramIndex.build(pages)
     found = [index.like(pages, p).select(F.lit(k).alias("pattern"), "id") for k, p in enumerate(_LIKES)]
     found += [index.matching(pages, p).select(F.lit(10 + k).alias("pattern"), "id") for k, p in enumerate(_EXPRESSIONS)]

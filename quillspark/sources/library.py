@@ -80,6 +80,8 @@ VIEWS = {
   WHERE length(w) >= 2 GROUP BY w""",
 }
 
+_NUMBERING = "CAST(row_number() OVER (PARTITION BY source"
+
 #: Words of at least four letters, in SQL for the check engine: those of ``benchmark``, and one row for each on a page.
 CHECK_VIEWS = {
     "dictionary_v": "SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) t",
@@ -88,6 +90,27 @@ CHECK_VIEWS = {
 _NEEDS = {"words_v": ["pages_v"]}
 
 
+#: Ids whose rows are numbered together.
+NUMBERED = 100_000
+
+
+def page_numbers(documents: DataFrame, numbered: int = NUMBERED) -> DataFrame:
+    """(doc_id, page_number): places of documents in their sources by doc_id, from 1. Ids are distinct.
+
+    Only ids and sources move: ids that fall into one stretch are numbered together, and what the stretches before have of
+    a source is added, so neither a text nor a whole source is in one task.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    thin = documents.select("doc_id", "source", F.floor(F.col("doc_id") / numbered).alias("stretch"))
+    upto = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = thin.groupBy("source", "stretch").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("source", "stretch").orderBy("doc_id"))
+    placed = thin.withColumn("nth", nth).join(before, F.col("source").eqNullSafe(F.col("s")) & F.col("stretch").eqNullSafe(F.col("t")))
+    return placed.select("doc_id", (F.col("before") + F.col("nth")).cast("int").alias("page_number"))
+
+
 class Library:
     """Tables and views of one data folder, as DataFrames; ``lib.books_v`` or ``lib.orders``."""
 
@@ -101,12 +124,21 @@ class Library:
             for raw in RAW:
                 if raw in VIEWS[name]:
                     getattr(self, raw).createOrReplaceTempView(raw)
-            df = self.spark.sql(VIEWS[name])
+            sql = VIEWS[name]
+            if name == "pages_v":  # the same rows, but no text goes through the numbering
+                page_numbers(self.documents).createOrReplaceTempView("page_numbers")
+                sql = sql[: sql.index(_NUMBERING)] + "k.page_number FROM documents LEFT JOIN page_numbers k USING (doc_id)) d"
+            df = self.spark.sql(sql)
         else:
             raise AttributeError(name)
         self.__dict__[name] = df
         return df
 
+    @cached_property
+    def texts_v(self) -> DataFrame:
+        """(id, book_id, text, lang): pages without what their numbers decide."""
+        return self.documents.selectExpr("doc_id AS id", "source AS book_id", "text", "lang")
+
     @cached_property
     def dictionary_v(self) -> DataFrame:
         """(word): distinct words of at least four letters of the proverbs."""
@@ -115,7 +147,7 @@ class Library:
     @cached_property
     def words_v(self) -> DataFrame:
         """(page_id, book_id, word): every such word of every page."""
-        return words_of(self.pages_v.withColumnRenamed("id", "page_id"), "text").select("page_id", "book_id", "word")
+        return words_of(self.texts_v.withColumnRenamed("id", "page_id"), "text").select("page_id", "book_id", "word")
 
 
 def words_of(df: DataFrame, text: str) -> DataFrame:

@@ -72,3 +72,25 @@ def test_summaries_and_rewrites(spark):
     row = models.summarised(samples, lambda t: t[:4]).first()
     assert row["summary"] == "long" and len(row["embedding"]) == 64
     assert models.rewritten("q", lambda q: " ") == "q" and models.rewritten("q", lambda q: "r") == "r" and models.rewritten("q", lambda q: 1 / 0) == "q"
+
+
+def test_page_numbers_by_stretches(spark):
+    import random
+
+    from quillspark.sources.library import page_numbers
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["src0", "src0", "src1", None])) for i in rng.sample(range(-50, 400), 300)]
+    got = {r["doc_id"]: r["page_number"] for r in page_numbers(spark.createDataFrame(rows, "doc_id long, source string"), 7).collect()}
+    for source in ("src0", "src1", None):
+        own = sorted(i for i, s in rows if s == source)
+        assert [got[i] for i in own] == list(range(1, len(own) + 1))
+
+
+def test_no_text_is_numbered(spark, data):
+    from quillspark.sources.library import Library
+
+    plan = Library(spark, data).pages_v.select("id", "page_number", "text")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and not any("text" in line for line in windows)
+    assert "Window" not in Library(spark, data).texts_v.select("id", "text")._jdf.queryExecution().optimizedPlan().toString()

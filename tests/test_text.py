@@ -170,7 +170,7 @@ def test_spell_check_query_uses_confused_letters(spark):
     known = ["karto", "mantal"]
     texts = {1: "garto karto", 2: "gartu x garto", 3: "mntal zzzz", 4: "basalt"}
     pages = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("spell_check_milestone", F.lit("idle"))
-    lib = SimpleNamespace(pages_v=pages, dictionary_v=spark.createDataFrame([(w,) for w in known], "word string"))
+    lib = SimpleNamespace(texts_v=pages, dictionary_v=spark.createDataFrame([(w,) for w in known], "word string"))
     words = {w.translate(table) for w in known}
 
     def variants(word):
