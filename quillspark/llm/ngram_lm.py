@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import crc_mod, shared_folder, written
 
 #: Words of an n-gram; characters of a pack and keys of a shard, about.
-ORDER, PACK, SHARD = 2, 2_000_000, 700_000
+ORDER, PACK, SHARD = 2, 3_000_000, 700_000
 _MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
