@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspark.llm.common import WORD, written
+from quillspark.llm.common import WORD, whole_row, written
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2
 BLOCK = 128
+#: Repeated rows that are numbered together.
+STRETCH = 10_000
 #: With at most so many sources their table of numbers is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -160,41 +162,47 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row for each document."""
     items, of = copies(written(document_sizes(docs)))
-    each = items.select("doc_id", "source", "size", "m", "copies", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
+    # Rows that repeat are numbered in stretches of bounded length, dealt out anew: none is in one task or one array.
+    parts = items.where(F.col("m") > STRETCH).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / STRETCH))).alias("part"))
+    parts = parts.repartition("doc_id", "source", "size", "part").unionByName(items.where(F.col("m") <= STRETCH).withColumn("part", F.lit(0).cast("long")))
+    first = F.col("part") * STRETCH + 1
+    each = parts.select("doc_id", "source", "size", "m", "copies", F.explode(F.sequence(first, F.least("m", first + STRETCH - 1))).alias("i"))
     each = each.select("doc_id", "source", "size", (F.floor(F.col("copies") / F.col("m")) + F.when(F.col("i") <= F.col("copies") % F.col("m"), 1).otherwise(0)).cast("long").alias("copies"))
     n = of.count()
     return _join_sources(each, of.drop("n"), n).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def numbered(rows: DataFrame, salts: int = 64) -> DataFrame:
-    """Rows with ``__i``, their number from 1 among those of one (__id, __source, __size), in order of their texts' hashes.
+    """Rows with ``i``, their number from 1 among those of one (id, source, size), in order of their texts' hashes ``h``.
 
     Rows of one text are dealt into ``salts`` parts, which are numbered apart and put behind one another by their counts, so
     no task gets all rows that repeat one document. The parts are drawn once: rows with them are written.
     """
-    keys = ["__id", "__source", "__size", "__h", "__salt"]
-    dealt = written(rows.withColumn("__h", F.xxhash64("text")).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
-    upto = W.partitionBy(*keys[:3]).orderBy("__h", "__salt").rowsBetween(W.unboundedPreceding, -1)
-    before = dealt.groupBy(*keys).agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
-    before = before.select(*[F.col(c).alias(f"_{c}") for c in keys], "__before")
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    keys = ["id", "source", "size", "h", "salt"]
+    dealt = written(rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+    upto = W.partitionBy(*keys[:3]).orderBy("h", "salt").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy(*keys).agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"of_{c}") for c in keys], "before")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))
-    return dealt.withColumn("__nth", nth).join(before, same).withColumn("__i", F.col("__before") + F.col("__nth")).drop("__h", "__salt", "__nth", "__before", *[f"_{c}" for c in keys])
+    return dealt.withColumn("nth", nth).join(before, same).withColumn("i", F.col("before") + F.col("nth")).drop("salt", "nth", "before", *[f"of_{c}" for c in keys])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents, all columns, each as often as the mix copies it."""
     found = written(mix(docs))
-    of_id = found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__m"))
-    of_id = of_id.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__m").where("__copies > 0")
+    of_id = found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("m")).where("copies > 0")
+    of_id = of_id.withColumnsRenamed({"doc_id": "of_id", "source": "of_source", "size": "of_size"})
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(of_id, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & docs["source"].cast("string").eqNullSafe(F.col("__source")) & (size == F.col("__size")))
-    once = joined.where("__m = 1").withColumn("__n", F.col("__copies"))
-    if of_id.where("__m > 1").limit(1).count():
-        again = numbered(joined.where("__m > 1"))
-        share = F.floor(F.col("__copies") / F.col("__m")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__m"), 1).otherwise(0)
-        once = once.unionByName(again.withColumn("__n", share.cast("long")).drop("__i").where("__n > 0"))
-    return once.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("h"))
+    # Texts are shuffled at any size, so plans don't differ from small tables to large ones.
+    same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    joined = rows.join(of_id.hint("merge"), same).drop("of_id", "of_source", "of_size")
+    times = joined.where("m = 1").select("row", F.col("copies").alias("n"))
+    if of_id.where("m > 1").limit(1).count():
+        share = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("i") <= F.col("copies") % F.col("m"), 1).otherwise(0)
+        times = times.unionByName(numbered(joined.where("m > 1")).select("row", share.cast("long").alias("n")).where("n > 0"))
+    return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

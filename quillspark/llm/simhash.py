@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import map_batches, sorted_runs, written
+from quillspark.llm.common import map_batches, sorted_runs, whole_row, written
 from quillspark.llm.components import components
 
 SHINGLE, BITS, RADIUS = 4, 64, 4
@@ -166,30 +166,28 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = written(near_duplicates(docs))
     stay = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp")))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("__again")).where("__again")
-    ids = stay.where("doc_id IS NOT NULL").select("doc_id").distinct().join(again, "doc_id", "left").select(F.col("doc_id").alias("__id"), F.coalesce("__again", F.lit(False)).alias("__again"))
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") > 1).alias("again")).where("again")
+    ids = stay.where("doc_id IS NOT NULL").select("doc_id").distinct().join(again, "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("again", F.lit(False)).alias("again"))
     ids = written(ids)
-    own = docs["doc_id"].cast("long")
-    joined = docs.join(ids, own == F.col("__id"))
-    kept = joined.where("NOT __again").select(*docs.columns)
-    odd = joined.where("__again").select(*docs.columns).unionByName(docs.where(own.isNull()))
-    if ids.where("__again").limit(1).count() or stay.where("doc_id IS NULL").limit(1).count():
-        rows = odd.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
-        names = ["text", "doc_id", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs).alias("row"))
+    # Texts are shuffled at any size, so plans don't differ from small tables to large ones.
+    joined = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("id"))
+    kept = joined.where("NOT again").select("row")
+    odd = joined.where("again").select("doc_id", "row").unionByName(rows.where("doc_id IS NULL"))
+    if ids.where("again").limit(1).count() or stay.where("doc_id IS NULL").limit(1).count():
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fp = np.array([fingerprint(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.uint64).view(np.int64)
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in names[1:]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(fp)], names=[*names[1:], "fp"])
-
-        schema = T.StructType().add("doc_id", T.LongType()).add("row", rows.schema["row"].dataType).add("fp", T.LongType())
-        each = rows.select(*names).mapInArrow(run, schema).select("doc_id", "fp", "row")
-        mine = stay.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-        each = each.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
+                fp = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fp)], names=["doc_id", "row", "fp"])
+
+        schema = T.StructType().add("doc_id", T.LongType()).add("row", odd.schema["row"].dataType).add("fp", T.LongType())
+        each = odd.select(F.col("row.text").alias("text"), "doc_id", "row").mapInArrow(run, schema)
+        mine = stay.select(F.col("doc_id").alias("id"), F.col("fp").alias("own"))
+        each = each.join(mine, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")))
         one = each.groupBy("doc_id", "fp").agg(F.min_by("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"}))).alias("row"))
-        kept = kept.unionByName(one.select("row.*"))
-    return kept
+        kept = kept.unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

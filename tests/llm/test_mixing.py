@@ -136,3 +136,28 @@ def test_no_python_in_the_plan(spark, docs, capsys):
     M.mix(docs).explain("formatted")
     plan = capsys.readouterr().out
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+CLASHING = "id of_id of_source of_size m copies n i h salt c before nth row part block blocks at again fp own __id __n __k __i __m __source __size __h".split()
+
+
+def test_names_of_the_caller_stay(spark):
+    """Columns under every internal name keep their values, repeated rows included."""
+    base = [(i % 7, f"w{i % 7} x y z", f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame([(*b, *[f"{c}-{b[0]}" for c in CLASHING]) for b in base], ["doc_id", "text", "source", *CLASHING])
+    rows = M.mixed_documents(docs).collect()
+    assert rows and M.mixed_documents(docs).columns == docs.columns
+    assert all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHING)
+    assert len(rows) == sum(r["copies"] for r in M.mix(docs).collect())
+
+
+def test_many_repeated_rows_are_numbered_in_stretches(spark, monkeypatch):
+    docs = spark.range(100_003).selectExpr("CASE WHEN id < 50000 THEN 1L END AS doc_id", "'a b c' AS text", "'s' AS source")
+    rows = M.mix(docs).groupBy("doc_id", "copies").count().collect()
+    assert sum(r["count"] for r in rows) == 100_003
+    assert {r["copies"] for r in rows} <= {1, 2}
+    assert abs(sum(r["copies"] * r["count"] for r in rows) - 150_004.5) < 2
+    monkeypatch.setattr(M, "STRETCH", 7)
+    again = M.mix(docs.limit(1000)).groupBy("doc_id", "copies").count().collect()
+    monkeypatch.setattr(M, "STRETCH", 10_000)
+    assert sorted(map(repr, again)) == sorted(map(repr, M.mix(docs.limit(1000)).groupBy("doc_id", "copies").count().collect()))

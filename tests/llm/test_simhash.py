@@ -95,3 +95,14 @@ def test_copies_keep_one(spark, docs):
     copies = docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)
     kept = {r["doc_id"] for r in H.drop_near_duplicates(docs.unionByName(copies)).collect()}
     assert kept == {r["component_id"] for r in H.near_duplicates(docs).collect()}
+
+
+def test_names_of_the_caller_stay(spark):
+    names = "id again row own fp root component_id least n __id __again __fp".split()
+    docs = spark.createDataFrame([(i % 5 if i % 5 else None, f"text {i % 3} of some words {i % 3}", *[f"{c}-{i % 5}-{i % 3}" for c in names]) for i in range(30)], ["doc_id", "text", *names])
+    kept = H.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    source = {tuple(r) for r in docs.collect()}
+    assert rows and all(tuple(r) in source for r in rows)
+    assert len(rows) == H.near_duplicates(docs).select("root").distinct().count()
