@@ -241,3 +241,46 @@ def document_header(text: Column, book_id: Column, title: Column, author: Column
     part = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
     inside = F.concat_ws(", ", part("BookID", book_id), part("Book", title), part("Author", author), part("Volume", volume), part("Page", page))
     return F.concat(F.lit("["), inside, F.lit("]\n"), text)
+
+
+# How a citation refers to pages of a book, or to its summary.
+_LINK, _REFERENCE, _BOOK_MARK = r"\[([^\]]+)\]\(([^)]+)\)", r"ref:\w+:(?:[\d,]+|summary)", r"(?i)\s*\(?BookID:\s*[a-zA-Z0-9-]+\)?"
+
+
+def citation_links(c: Column) -> Column:
+    """Links ``[label](ref:book:pages)`` of a text, in order: array of struct(label, book_id, pages, is_summary).
+
+    Pages are numbers parted by commas, other parts are left out; ``summary`` in their place refers to the book's summary.
+    A reference inside another link's address counts; labels lose a book id that was written into them. Links to anything
+    else are left out, and a null text has none.
+    """
+    labels, targets = (F.regexp_extract_all(c, F.lit(_LINK), F.lit(g)) for g in (1, 2))
+
+    def link(label: Column, target: Column) -> Column:
+        nested = F.regexp_extract(target, _REFERENCE, 0)
+        whole = F.when(target.startswith("ref:") | (nested == ""), target).otherwise(nested)
+        parts = F.split(whole, ":")
+        pages = F.coalesce(F.get(parts, F.lit(2)), F.lit(""))
+        numbers = F.filter(F.transform(F.split(pages, ","), lambda p: F.regexp_extract(p, r"^\s*(\d{1,9})", 1).try_cast("int")), lambda n: n.isNotNull())
+        return F.struct(
+            F.regexp_replace(label, _BOOK_MARK, "").alias("label"),
+            F.when(whole.startswith("ref:"), F.get(parts, F.lit(1))).alias("book_id"),
+            F.when(pages == "summary", F.array().cast("array<int>")).otherwise(numbers).alias("pages"),
+            (pages == "summary").alias("is_summary"),
+        )
+
+    return F.filter(F.coalesce(F.zip_with(labels, targets, link), F.array()), lambda x: x["book_id"].isNotNull())
+
+
+def token_digest(c: Column) -> Column:
+    return F.sha2(c.cast("string"), 256)
+
+
+def address_digest(c: Column, salt: str) -> Column:
+    """16 hex digits of a salted address, by which visitors are told apart without it."""
+    return F.substring(F.sha2(F.concat(F.lit(salt), c.cast("string")), 256), 1, 16)
+
+
+def short_id(c: Column) -> Column:
+    """12 hex digits of a content's digest."""
+    return F.substring(F.sha2(c, 256), 1, 12)

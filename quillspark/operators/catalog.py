@@ -23,6 +23,11 @@ def lookup(df: DataFrame, **keys) -> DataFrame:
     return df.where(reduce(Column.__and__, known)) if known else df
 
 
+def exists(df: DataFrame, **keys) -> DataFrame:
+    """One row: whether a row is equal in all given columns. No more than one row is counted."""
+    return lookup(df, **keys).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
 def scan(df: DataFrame, order_by: str = "id", skip: int = 0, limit: int | None = 100) -> DataFrame:
     """An ordered slice; an unknown order column is skipped."""
     out = df.orderBy(F.col(order_by).asc_nulls_last()) if order_by in df.columns else df
@@ -243,3 +248,8 @@ def text_digests(lines: DataFrame) -> DataFrame:
 def page_stubs(books: DataFrame) -> DataFrame:
     """(book_id, page_number) for pages 1 to total_pages."""
     return books.where("total_pages > 0").select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1), "total_pages")).alias("page_number"))
+
+
+def dictionary_page(dictionary: DataFrame, page: int, page_size: int) -> DataFrame:
+    """A page of the dictionary, the latest words (by id) first."""
+    return page_of(dictionary, [F.col("id").desc()], page, page_size)

@@ -41,12 +41,16 @@ def assembled_context(ranked: DataFrame, text: str = "text", lead: DataFrame | N
 
 
 def retrieval_metrics(observed: DataFrame, tools: DataFrame) -> DataFrame:
-    """(query_id, n_chunks, mean_score, n_steps, tools, n_searches, n_final): raw chunks count each time they are seen."""
-    chunks = observed.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.avg("score").alias("mean_score"))
+    """(query_id, n_chunks, mean_score, scores, n_steps, tools, n_searches, n_final): raw chunks count each time they are seen.
+
+    ``scores`` are theirs in the order in which they were observed.
+    """
+    order = F.array_sort(F.collect_list(F.struct("obs_idx", "chunk_idx", "score")))
+    chunks = observed.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.avg("score").alias("mean_score"), F.transform(order, lambda x: x["score"]).alias("scores"))
     final = ranked_context(observed).groupBy("query_id").agg(F.count("*").alias("n_final"))
     used = tools.groupBy("query_id").agg(F.max("step").alias("n_steps"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"), F.count_if(F.col("tool").startswith("search")).alias("n_searches"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return used.join(chunks, "query_id", "left").join(final, "query_id", "left").select("query_id", zero("n_chunks"), F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), "n_steps", "tools", "n_searches", zero("n_final"))
+    return used.join(chunks, "query_id", "left").join(final, "query_id", "left").select("query_id", zero("n_chunks"), F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), F.coalesce("scores", F.array().cast("array<double>")).alias("scores"), "n_steps", "tools", "n_searches", zero("n_final"))
 
 
 def steps_taken(steps: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from quillspark.operators import metrics as X
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import query
 from quillspark.plans.text_queries import _ISSUES, issues
+from quillspark.plans.vector_queries import _IN, _QUESTIONS, questions
 
 _FAILS = "CASE WHEN strpos(coalesce(text, ''), '***') > 0 THEN 'marked' END"
 
@@ -116,9 +117,15 @@ def history_of_all(lib):
     return R.history_lines(lib.history_v.where("role = 'assistant'"), asking=lib.history_v)
 
 
-@query("first_handlers", "books_v", """
-, q AS (SELECT conv_id * 1000 + turn AS question_id, turn FROM conversations)
-SELECT question_id, CASE WHEN turn % 4 = 0 THEN 'author' WHEN turn % 2 = 0 THEN 'volumes' ELSE 'catalog' END AS handler FROM q""")
+_HANDLED = f"""{_QUESTIONS}), t AS (SELECT question_id, min(title) AS title FROM q JOIN (SELECT DISTINCT title FROM books_v) b ON {_IN.format('b.title')} GROUP BY 1),
+a AS (SELECT t.question_id FROM t WHERE title IN (SELECT title FROM books_v WHERE author IS NOT NULL)),
+w AS (SELECT DISTINCT question_id FROM q JOIN (SELECT DISTINCT author FROM books_v WHERE author IS NOT NULL) b ON {_IN.format('b.author')})"""
+
+
+@query("first_handlers", "books_v", f""", q AS ({_HANDLED}
+SELECT question_id, CASE WHEN question_id IN (SELECT question_id FROM a) THEN 'author_by_title' WHEN question_id IN (SELECT question_id FROM w) THEN 'books_by_author' WHEN question_id IN (SELECT question_id FROM t) THEN 'volume_info' ELSE 'catalog' END AS handler FROM q""")
 def first_handlers(lib):
-    ids = lib.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "turn")
-    return J.answered_first(ids, [("author", ids.where("turn % 4 = 0")), ("volumes", ids.where("turn % 2 = 0"))])
+    """The three handlers themselves, over questions of titles and authors."""
+    asked = questions(lib)
+    found = [("author_by_title", R.author_of_title(asked, lib.books_v)), ("books_by_author", R.books_of_author(asked, lib.books_v)), ("volume_info", R.volumes_of_title(asked, lib.books_v))]
+    return J.answered_first(asked, found)

@@ -94,18 +94,18 @@ def context_assembly(lib):
     return whole.select("query_id", F.md5("context").alias("digest"), F.size("book_ids").cast("long").alias("books"))
 
 
-_TOOLS = "SELECT label AS query_id, id % 4 + 1 AS step, CASE id % 3 WHEN 0 THEN 'search_chunks' WHEN 1 THEN 'get_summary' ELSE 'search_summaries' END AS tool FROM chunks_v WHERE id % 5 = 0"
+_TOOLS = "SELECT label AS query_id, id % 4 + 1 AS step, CASE id % 3 WHEN 0 THEN 'search_chunks' WHEN 1 THEN 'get_summary' ELSE 'search_summaries' END AS tool FROM chunks_v"
 
 
 @query("retrieval_metrics", "chunks_v", f"""
-SELECT t.query_id, coalesce(c.n, 0) AS n_chunks, round(coalesce(c.s, 0), 6) AS mean_score, t.n_steps, t.tools, t.n_searches, coalesce(f.n, 0) AS n_final FROM
+SELECT t.query_id, coalesce(c.n, 0) AS n_chunks, round(coalesce(c.s, 0), 6) AS mean_score, coalesce(c.digest, md5('')) AS scores, t.n_steps, t.tools, t.n_searches, coalesce(f.n, 0) AS n_final FROM
  (SELECT query_id, max(step) AS n_steps, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools, count(*) FILTER (WHERE starts_with(tool, 'search')) AS n_searches FROM ({_TOOLS}) GROUP BY 1) t
- LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS s FROM ({_OBSERVED}) GROUP BY 1) c USING (query_id)
+ LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS s, md5(string_agg(CAST(round(score * 100) AS INT), ',' ORDER BY obs_idx, chunk_idx)) AS digest FROM ({_OBSERVED}) GROUP BY 1) c USING (query_id)
  LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_RANKED}) WHERE rank <= 15 GROUP BY 1) f USING (query_id)""")
 def retrieval_metrics(lib):
     tool = F.when(F.col("id") % 3 == 0, "search_chunks").when(F.col("id") % 3 == 1, "get_summary").otherwise("search_summaries")
-    tools = lib.chunks_v.where("id % 5 = 0").select(F.col("label").alias("query_id"), (F.col("id") % 4 + 1).alias("step"), tool.alias("tool"))
-    return R.retrieval_metrics(observed(lib), tools).withColumn("mean_score", F.round("mean_score", 6))
+    tools = lib.chunks_v.select(F.col("label").alias("query_id"), (F.col("id") % 4 + 1).alias("step"), tool.alias("tool"))
+    return R.retrieval_metrics(observed(lib), tools).withColumns({"mean_score": F.round("mean_score", 6), "scores": F.md5(F.array_join(F.transform("scores", lambda x: F.round(x * 100).cast("int")), ","))})
 
 
 @query("agent_steps", "chunks_v", """
