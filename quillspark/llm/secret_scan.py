@@ -1,15 +1,22 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Fixed patterns give the base spans. Beyond these, every long credential-like string that stands near a sensitive word is a
-candidate, and so is every value of eight characters or more assigned to a name with such a word. Its marginal compressed
-bytes are measured against a zstandard raw-content dictionary and the surrounding text; a string that neither explains is
-reported as ``novel``. The dictionary holds the identifiers of code and configuration listed here and the most frequent
-identifiers of the documents themselves, counted over all of them. Assigned values of both digits and letters that are too
-short to be measured (under 16) are reported as they are. What base spans leave of a candidate is measured in the same way.
-
-Null texts count as empty. Every text is scanned whole, in time about its length: candidates are found once, from left to
-right, and each looks back ``REACH`` code points for sensitive words. Rows are independent of one another but for the
-dictionary: ties, repeated rows and empty tables need no care, and columns other than ``doc_id`` and ``text`` are not read
+Fixed patterns give the base spans. Beyond these, strings that structure or words mark as sensitive are candidates:
+
+* values assigned to a name with a sensitive word, on its line, on the next one, or as an indented block of lines; of eight
+  characters or more, with any characters but white space, quotes and brackets;
+* credential-like strings behind a sensitive word in its sentence, however long it is; of eight characters or more, and no
+  mere words (those lack digits beside letters and frequent changes of case);
+* passwords in addresses (``scheme://user:value@host``), bodies of private keys, web tokens of three parts as a whole, and
+  strings with a known prefix, wherever they stand.
+
+A candidate's marginal compressed bytes are measured, whatever its length, against a zstandard raw-content dictionary and the
+surrounding text, its name included; a string that neither explains is reported as ``novel``. The dictionary holds the
+identifiers of code and configuration listed here and the most frequent identifiers of the documents themselves, counted over
+all of them. What base spans leave of a candidate is measured in the same way; of candidates that overlap the one that begins
+first counts, then the longest.
+
+Null texts count as empty. Every text is scanned whole, in time about its length. Rows are independent of one another but for
+the dictionary: ties, repeated rows and empty tables need no care, and columns other than ``doc_id`` and ``text`` are not read
 (``redact`` passes them on untouched).
 """
 
@@ -37,17 +44,30 @@ SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -
 SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 #: A candidate may begin behind any separator, '=' included; '=' itself stands only as padding at its end.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-#: What stands between a sensitive word and a value assigned to it: the rest of the name, quotes and the separator.
-ASSIGNED = re.compile(r"""[\w.-]*["'\])]*\s*(?::=|=>|[:=])\s*["']?""", re.A)
-_BEFORE_VALUE = re.compile(r"""[:=>]\s*["']?$""")
-#: Least length of a candidate, and of one assigned to a sensitive name.
-LEAST_NOVEL, LEAST_ASSIGNED = 16, LEAST["assign"]
-#: A candidate stands at most so many code points behind a sensitive word, on its line.
-REACH = 64
+#: A name behind its sensitive word, and its separator; then what is assigned to it, or the head of a block of lines.
+ASSIGNED = re.compile(r"""[\w.-]{0,64}+["'\])]{0,8}+\s*+(?::=|=>|[:=])[ \t]*+(?:[|>][+-]?[ \t]*+(?=\n))?+\s*+["'`]?""", re.A)
+VALUE = re.compile(r"""[^\s"'`<>()\[\]{},;&]{8,}""")
+BLOCK_HEAD = re.compile(r"[|>][+-]?[ \t]*\n\s*$")
+NEXT_LINE = re.compile(r"\n[ \t]+(?=\S)")
+#: What ends a sentence: its mark before white space, or the line.
+SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n")
+#: Strings that are secrets wherever they stand, by their form: the part that is measured is in a group.
+FORMS = (
+    re.compile(r"[a-z][a-z0-9+.-]{0,30}://[^\s/@:]{0,64}:([^\s/@]{6,256})@", re.I),
+    re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----\s*([^-]{16,}?)\s*(?=-----END|\Z)"),
+    re.compile(r"(?<![A-Za-z0-9+/_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"),
+    re.compile(r"(?<![A-Za-z0-9])((?:[spr]k_(?:live|test)_|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|SG\.|AIza)[A-Za-z0-9_.-]{12,})"),
+)
+#: Literals of which each form needs one.
+FORM_WORDS = ("://", "PRIVATE KEY-----", "eyJ", ("_live_", "_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "SG.", "AIza"))
+#: Least length of a candidate.
+LEAST_NOVEL = 8
 #: Code points of surrounding text on either side that prime the compressor.
 AROUND = 256
 #: Marginal compressed bytes for each byte of the string from which it counts as incompressible.
 NOVELTY = 0.75
+#: The same for strings of less than ``SHORT`` code points, whose letters alone can be coded in less than a byte each.
+SHORT, NOVELTY_SHORT = 16, 0.7
 #: Identifiers taken from the documents, their least and greatest length.
 LEARNED, IDENTIFIER = 2000, r"(?<![A-Za-z0-9_])[a-z]+(?:_[a-z]+)+(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])[a-z]{8,24}(?![A-Za-z0-9_])"
 #: Identifiers and words of code and configuration that are no secrets.
@@ -73,6 +93,8 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 123456789012345678901234567890 "
     "00000000000000000000000000000000 xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx your_api_key_here YOUR_API_KEY_HERE changeme example"
 )
+PRIMED = IDENTIFIERS[:400] + "\n"
+_TAIL = b"\n" * 16
 _NOT_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
@@ -80,16 +102,20 @@ _NOT_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 def _compressor(identifiers: str):
     import zstandard
 
-    words = zstandard.ZstdCompressionDict(identifiers.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words = zstandard.ZstdCompressionDict((identifiers + " " * 64).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     words.precompute_compress(level=3)
     return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def marginal_bytes(text: str, start: int, end: int, identifiers: str = IDENTIFIERS, around: int = AROUND) -> int:
-    """Compressed bytes that text[start:end] adds to what surrounds it, primed by the identifiers."""
+    """Compressed bytes that text[start:end] adds to what surrounds it, primed by the identifiers.
+
+    Some of these come first in what is compressed: they cost one match, and keep short texts from being stored as they are.
+    """
     z = _compressor(identifiers)
-    near = (text[max(0, start - around) : start] + "\n" + text[end : end + around] + "\n").encode("utf-8", "surrogatepass")
-    return len(z.compress(near + text[start:end].encode("utf-8", "surrogatepass"))) - len(z.compress(near))
+    near = (PRIMED + text[end : end + around] + "\n" + text[max(0, start - around) : start]).encode("utf-8", "surrogatepass")
+    # No match begins in the last bytes of what is compressed: these are no part of the string.
+    return len(z.compress(near + text[start:end].encode("utf-8", "surrogatepass") + _TAIL)) - len(z.compress(near + _TAIL))
 
 
 def identifiers(docs: DataFrame, most: int = LEARNED) -> str:
@@ -128,41 +154,77 @@ def uncovered(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tu
 
 
 def _wordlike(value: str) -> bool:
-    """Whether a string lacks both digits beside letters and the frequent changes of case of random letters."""
-    if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+    """Whether a string lacks both digits beside letters and the frequent changes of case of random letters.
+
+    Short strings need frequent changes of any kind: a word with a number at its end has none.
+    """
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "" for c in value]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False) if a and b)
+    if len(value) < SHORT:
+        return 4 * changes < len(value)
+    if "d" in kinds and ("u" in kinds or "l" in kinds):
         return False
-    return 5 * sum(a.islower() != b.islower() for a, b in zip(value, value[1:], strict=False) if a.isalpha() and b.isalpha()) < 2 * len(value)
+    return 5 * sum(a != b for a, b in zip(kinds, kinds[1:], strict=False) if a in ("u", "l") and b in ("u", "l")) < 2 * len(value)
+
+
+def assigned_values(text: str, ends: list[int]) -> list[tuple[int, int]]:
+    """Values of names with a sensitive word that ends at ``ends``; of a block of lines each line's."""
+    found, at = [], 0
+    for n in ends:
+        if n < at or not (m := ASSIGNED.match(text, n)):
+            continue
+        value = VALUE.match(text, m.end())
+        block = BLOCK_HEAD.search(text, m.start(), m.end()) is not None
+        while value:
+            found.append(value.span())
+            at = value.end()
+            following = NEXT_LINE.match(text, at) if block else None
+            value = VALUE.match(text, following.end()) if following else None
+    return found
+
+
+def spoken_values(text: str, ends: list[int]) -> list[tuple[int, int]]:
+    """Credential-like strings behind a sensitive word of their sentence."""
+    stops = [m.end() for m in SENTENCE_END.finditer(text, ends[0])]
+    found = []
+    for m in CANDIDATE.finditer(text, ends[0]):
+        start = m.start()
+        word = ends[bisect_right(ends, start) - 1]
+        stop = bisect_right(stops, start)
+        if (not stop or stops[stop - 1] <= word) and m.end() - start >= LEAST_NOVEL and not _wordlike(m[0]):
+            found.append(m.span())
+    return found
+
+
+def formed_values(text: str) -> list[tuple[int, int]]:
+    """Strings that their form alone makes candidates."""
+    found = []
+    for form, words in zip(FORMS, FORM_WORDS, strict=True):
+        if any(w in text for w in ((words,) if isinstance(words, str) else words)):
+            found += [m.span(1) for m in form.finditer(text)]
+    return found
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], low: str | None = None, novelty: float = NOVELTY, known: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
-    """Incompressible strings behind a sensitive word, without what base spans cover."""
+    """Incompressible candidates, without what base spans cover."""
     low = text.lower() if low is None else low
-    if not any(w in low for w in SENSITIVE_WORDS):
-        return []
-    ends = [m.end() for m in SENSITIVE.finditer(text)]
-    if not ends:
-        return []
+    candidates = formed_values(text)
+    if any(w in low for w in SENSITIVE_WORDS) and (ends := [m.end() for m in SENSITIVE.finditer(text)]):
+        candidates += assigned_values(text, ends) + spoken_values(text, ends)
     starts_of_base, reach_of_base = [s for s, _, _ in base], []  # base spans by start, and how far those up to each one reach
     for _, e, _ in base:
         reach_of_base.append(max(e, reach_of_base[-1] if reach_of_base else 0))
     found: list[tuple[int, int, str]] = []
-    for m in CANDIDATE.finditer(text, ends[0]):
-        start, end = m.span()
-        line = text.rfind("\n", max(0, start - REACH - 1), start) + 1
-        near = ends[bisect_left(ends, max(line, start - REACH)) : bisect_right(ends, start)]
-        if not near:
-            continue
-        assigned = _BEFORE_VALUE.search(text, max(0, start - REACH), start) is not None and any(ASSIGNED.fullmatch(text, n, start) for n in near)
-        least = LEAST_ASSIGNED if assigned else LEAST_NOVEL
-        if end - start < least or not assigned and _wordlike(m[0]):
+    at = 0
+    for start, end in sorted(candidates, key=lambda c: (c[0], -c[1])):
+        start = max(start, at)
+        if end - start < LEAST_NOVEL:
             continue
         first = bisect_right(reach_of_base, start)
         for s, e in uncovered(start, end, base[first : bisect_left(starts_of_base, end)]):
-            if e - s < least:
-                continue
-            short = e - s < LEAST_NOVEL and not _wordlike(text[s:e])  # too short to measure, as in the assign pattern
-            if short or marginal_bytes(text, s, e, known) >= novelty * (e - s):
+            if e - s >= LEAST_NOVEL and marginal_bytes(text, s, e, known) >= (novelty if e - s >= SHORT else NOVELTY_SHORT) * (e - s):
                 found.append((s, e, "novel"))
+                at = e
     return found
 
 
