@@ -2,7 +2,7 @@
 
 Every document has two histograms: of character classes over its whole text, and of a language's most common words (with
 one bin for all other words). Both are compared with references, one for each language, by Jensen-Shannon distance; the
-nearest language counts. A document fails if either distance is beyond its limit, unless it is too short for a histogram
+language that is nearest in both counts, the first of equally near ones. A document fails if either distance is beyond its limit, unless it is too short for a histogram
 to mean anything: below the guards only the fixed rules decide.
 
 References are fitted on a bounded sample of labelled rows (see ``SAMPLE_ROWS``); every document is judged whole. Null texts
@@ -171,9 +171,10 @@ def judge(texts: list[str | None], model: dict) -> dict:
             for w in common:
                 hist[i, bins[w]] = c[w]
             hist[i, -1] = n_words[i] - hist[i].sum()
-        near = js_distance(hist, shares)
-        char_js = np.minimum(char_js, js_distance(classes, reference))
-        word_js = np.minimum(word_js, near)
+        by_char, by_word = js_distance(classes, reference), js_distance(hist, shares)
+        # One language counts for both: that whose greater distance, each against its limit, is least.
+        nearer = np.maximum(by_char / CHAR_LIMIT, by_word / WORD_LIMIT) < np.maximum(char_js / CHAR_LIMIT, word_js / WORD_LIMIT)
+        char_js, word_js = np.where(nearer, by_char, char_js), np.where(nearer, by_word, word_js)
     if not model:
         char_js[:] = word_js[:] = 0
     guarded = (classes.sum(axis=1) < LEAST_CHARS) | (n_words < LEAST_WORDS)

@@ -57,3 +57,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert not any(r["kept"] for r in rows if r["doc_id"] in (2, 3, 5, 7))
     assert Q.assess(no_docs, model).collect() == [] and Q.fit(no_docs) == {}
     assert all(r["kept"] != r["base_failed"] for r in Q.assess(odd_docs, {}).collect())
+
+
+def plain_distance(p, q):
+    p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+    m = (p + q) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def test_one_language_counts_for_both_distances():
+    """The verdict against a plain reading of it: some language must be near in characters and in words."""
+    import random
+
+    rng = random.Random(3)
+    classes = lambda *c: np.array(c, float)
+    model = {
+        "a": (classes(0.15, 0.8, 0.02, 0.01, 0.02, 0, 0, 0), {b"the": 0, b"of": 1}, np.array([0.3, 0.2, 0.5])),
+        "b": (classes(0.15, 0.05, 0.77, 0.01, 0.02, 0, 0, 0), {b"und": 0, b"der": 1}, np.array([0.3, 0.2, 0.5])),
+    }
+    texts = []
+    for _ in range(60):
+        words = rng.choices(["the", "of", "und", "der", "house", "water"], [rng.random() ** 3 for _ in range(6)], k=80)
+        texts.append(" ".join(w + str(i) * (w in ("house", "water")) for i, w in enumerate(words)))
+    texts += [t.upper() for t in texts]
+    got = Q.judge(texts, model)
+    seen = set()
+    for i, t in enumerate(texts):
+        own, counts = Q.class_counts([t.encode()])[0], Counter(t.lower().split())
+        both = []
+        for reference, bins, shares in model.values():
+            hist = [counts[w.decode()] for w in bins]
+            both.append((plain_distance(own, reference), plain_distance([*hist, sum(counts.values()) - sum(hist)], shares)))
+        near = any(c <= Q.CHAR_LIMIT and w <= Q.WORD_LIMIT for c, w in both)
+        assert got["kept"][i] == (near and not got["base_failed"][i])
+        apart = min(c for c, _ in both) <= Q.CHAR_LIMIT and min(w for _, w in both) <= Q.WORD_LIMIT
+        seen.add((bool(near), bool(apart)))
+    assert {(True, True), (False, True), (False, False)} <= seen
