@@ -48,7 +48,8 @@ def spelling_summary(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """(book_id, page_number, n, n_open, book_n) for every page; pages without issues have 0."""
     n = issues.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open").alias("n_open"))
     rows = pages.select(F.col("id").alias("page_id"), "book_id", "page_number").join(n, "page_id", "left").select("book_id", "page_number", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
-    return rows.withColumn("book_n", F.sum("n").over(W.partitionBy("book_id")))
+    of_book = rows.groupBy("book_id").agg(F.sum("n").alias("book_n"))
+    return rows.join(of_book.select(F.col("book_id").alias("of"), "book_n"), F.col("book_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 def auto_correct_stats(issues: DataFrame, rules: DataFrame) -> DataFrame:

@@ -55,7 +55,12 @@ def summary_search(summaries: DataFrame, books: DataFrame, query: Column, catego
 
 
 def hierarchical_search(summaries: DataFrame, chunks: DataFrame, books: DataFrame, pages: DataFrame, query: Column, summary_k: int, summary_threshold: float, k: int, threshold: float) -> DataFrame:
-    """Chunks of those books whose summaries come first: the summary search is a semi join of the chunk search."""
+    """Chunks of those books whose summaries come first: the summary search is a semi join of the chunk search.
+
+    ``summary_k`` bounds what is broadcast, so it must be a number.
+    """
+    if summary_k is None:
+        raise ValueError("summary_k must be a number")
     chosen = summary_search(summaries, books, query, k=summary_k, threshold=summary_threshold).select("book_id")
     return chunk_search(chunks.join(F.broadcast(chosen), "book_id", "left_semi"), books, pages, query, k=k, threshold=threshold)
 

@@ -186,7 +186,7 @@ _REFERS = f"(list_has_any(w, [{_WORDS}]) OR len(list_filter(w, lambda x: ends_wi
 
 
 @query("route_intent", "", f"""
-WITH a AS (SELECT conv_id, turn, [{", ".join(f"'{q}'" for q in ASKED)}][CAST(conv_id % {len(ASKED)} AS INT) + 1] AS q FROM conversations),
+WITH a AS (SELECT conv_id, turn, [{", ".join(f"'{q}'" for q in ASKED)}][CAST(conv_id % {len(ASKED)} AS INT) + 1] || ' ' || coalesce(text, '') AS q FROM conversations),
 m AS (SELECT *, translate(trim(q), 'ېىي', 'ییی') AS m FROM a), w AS (SELECT *, regexp_split_to_array(m, '[ \\t\\n\\r]+') AS w FROM m)
 SELECT conv_id, turn, CASE {" ".join(f"WHEN {_SAID(R.PHRASES[n])} THEN '{n}'" for n in ("identity", "capabilities", "author_by_title", "books_by_author", "volume_info"))}
  WHEN turn > 0 AND ({_SAID(R.PHRASES["follow_up"])} OR {_REFERS}) THEN 'follow_up'
@@ -194,7 +194,7 @@ SELECT conv_id, turn, CASE {" ".join(f"WHEN {_SAID(R.PHRASES[n])} THEN '{n}'" fo
  {_SAID(R.PHRASES["catalog"])} AND NOT {_SAID(R.CONTENT_SIGNALS)} AS is_catalog FROM w""")
 def route_intent(lib):
     ask = F.array(*map(F.lit, ASKED))[(F.col("conv_id") % len(ASKED)).cast("int")]
-    rows = lib.conversations.select("conv_id", "turn", ask.alias("question"))
+    rows = lib.conversations.select("conv_id", "turn", F.concat(ask, F.lit(" "), F.coalesce("text", F.lit(""))).alias("question"))
     return rows.select("conv_id", "turn", R.intent(F.col("question"), F.col("turn") > 0, F.col("turn") % 3 == 2).alias("intent"), R.is_catalog_question(F.col("question")).alias("is_catalog"))
 
 
@@ -203,11 +203,11 @@ def summaries_of_books(lib):
     return R.summaries_of(lib.summaries_v, lib.books_v, ["src1", "src2", "src3", "src12"], ["SRC1", "two"]).select("book_id", "summary", "title")
 
 
-@query("current_page_context", "pages_v books_v", "SELECT p.id, md5('[BookID: ' || b.id || ', Book: ' || b.title || coalesce(', Author: ' || b.author, '') || coalesce(', Volume: ' || b.volume, '') || ', Page: ' || p.page_number || ']' || chr(10) || p.text) AS digest FROM pages_v p JOIN books_v b ON b.id = p.book_id WHERE p.page_number = 3")
+@query("current_page_context", "pages_v books_v", "SELECT p.id, md5('[BookID: ' || b.id || ', Book: ' || b.title || coalesce(', Author: ' || b.author, '') || coalesce(', Volume: ' || b.volume, '') || ', Page: ' || p.page_number || ']' || chr(10) || p.text) AS digest FROM pages_v p JOIN books_v b ON b.id = p.book_id")
 def current_page_context(lib):
     from quillspark.functions.text import document_header
 
-    both = lib.pages_v.where("page_number = 3").select(F.col("id").alias("page_id"), "book_id", "page_number", "text").join(lib.books_v, F.col("book_id") == lib.books_v["id"])
+    both = lib.pages_v.select(F.col("id").alias("page_id"), "book_id", "page_number", "text").join(lib.books_v, F.col("book_id") == lib.books_v["id"])
     head = document_header(F.col("text"), F.col("book_id"), F.col("title"), F.col("author"), F.col("volume"), F.col("page_number"))
     return both.select(F.col("page_id").alias("id"), F.md5(head).alias("digest"))
 

@@ -53,7 +53,7 @@ VIEWS = {
     "summaries_v": """
   SELECT concat('src', CAST(vec_id AS VARCHAR(10))) AS book_id,
          CASE WHEN vec_id % 5 = 3 THEN NULL ELSE concat('Summary of src', CAST(vec_id AS VARCHAR(10))) END AS summary, embedding
-  FROM embeddings WHERE vec_id < 15""",
+  FROM embeddings WHERE vec_id % 20 < 15""",
     "users_v": """
   SELECT c_custkey AS id, lower(concat(c_name, '@example.org')) AS email, c_name AS display_name,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'FURNITURE' THEN 'editor' ELSE 'reader' END AS role,
