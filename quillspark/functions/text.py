@@ -61,6 +61,7 @@ def match_form(c: Column) -> Column:
     return F.translate(c, "\u06d0\u0649\u064a", "\u06cc\u06cc\u06cc")
 
 
+# Marks of headers and footers, words broken at line ends, runs of leaders.
 _MARKER = re.compile(r"\s*\[(?:header|footer)\]", re.I)
 _HYPHEN_ENDS = tuple((re.compile(p), r) for p, r in ((r"(\w)[-—–_]\s*\n\s*(\w)", r"\1\2"), (r"(\w)[-—–_]\s*\n\s*", r"\1"), ("\u0640+\\s*\\n\\s*", "")))
 _BLANK = re.compile(r"\n\s*\n")
@@ -159,6 +160,7 @@ def strip_markdown(c: Column) -> Column:
 
 # Fixed texts of citations: the word for page, the word for source.
 PAGE_WORD, SOURCE_WORD = "بەت", "مەنبە"
+# The forms that citations take, nested, turned round and bare.
 _NESTED = re.compile(r"\[(?P<shown>[^\]]+)\]\(\[[^\]]*\]\((?P<to>ref:[^)]+)\)\)")
 _TURNED = re.compile(rf"ref:(?P<book>\d+)\]{PAGE_WORD}(?P<pages>[\d\s\u060c]+)")
 _TURNED_END = re.compile(r"\s*(?:ref:|\[|\Z)")

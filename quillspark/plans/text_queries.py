@@ -55,9 +55,11 @@ def match_normalize(lib):
     return lib.documents.select("doc_id", F.md5(T.match_form(F.translate("text", "eiy", "ېىي"))).alias("digest"))
 
 
-@query("normalize_chars", "", "SELECT doc_id, md5(replace(replace(translate(text, 'q', chr(1600)), chr(1600), ''), 'zz', 'zz')) AS digest FROM documents")
+@query("normalize_chars", "", "SELECT doc_id, md5(replace(replace(translate(text, 'abmn', chr(1575) || chr(1576)), 'k', chr(1574)), 'l', chr(1604) || chr(1575))) AS digest FROM documents")
 def normalize_chars(lib):
-    return lib.documents.select("doc_id", F.md5(T.normalize(F.translate("text", "q", "ـ"))).alias("digest"))
+    """Presentation forms (one of two letters), kashidas, joiners and hamza pairs in every text."""
+    odd = F.replace(F.translate("text", "abmnkl", "\ufe8d\ufe90\u0640\u200c\u064a\ufefb"), F.lit("\u064a"), F.lit("\u064a\u0654"))
+    return lib.documents.select("doc_id", F.md5(T.normalize(odd)).alias("digest"))
 
 
 @query("clean_text")
@@ -75,9 +77,12 @@ def toc_pages(lib):
     return lib.documents.select("doc_id", T.is_contents_page(F.col("text")).alias("is_toc"))
 
 
-@query("citation_fix", "", "SELECT conv_id, turn, text || ' see [مەنبە](ref:' || conv_id || ':12,13) here' AS text FROM conversations")
+@query("citation_fix", "", """
+SELECT conv_id, turn, text || chr(10) || 'see [book](ref:' || conv_id || ':45) then [Title of it، 3 بەت](ref:' || conv_id || ':3) [next](ref:1:2) or [مەنبە](ref:' || conv_id || ':12,13) here' AS text FROM conversations""")
 def citation_fix(lib):
-    return lib.conversations.select("conv_id", "turn", T.fix_citations(F.concat(F.col("text"), F.lit(" see ref:"), "conv_id", F.lit(":12,13 here"))).alias("text"))
+    """A nested link, one turned round, a whole one and a bare reference behind every text."""
+    cited = F.concat("text", F.lit("\nsee [book]([مەنبە](ref:"), "conv_id", F.lit(":45)) then ref:"), "conv_id", F.lit("]بەت 3 ، Title of it [next](ref:1:2) or ref:"), "conv_id", F.lit(":12,13 here"))
+    return lib.conversations.select("conv_id", "turn", T.fix_citations(cited).alias("text"))
 
 
 @query("keyword_extract", "", "SELECT conv_id, turn, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g')), lambda w: length(w) > 2)) AS INT) AS n FROM conversations")

@@ -51,3 +51,25 @@ def test_breakers_as_in_batch(spark, data, tmp_path):
     got = {r["key"]: (r["state"], r["n_refused"]) for r in drained(flows.breakers(stream, cooling=3600.0), "breakers", "update").collect()}
     want = {r["key"]: (r["state"], r["n_refused"]) for r in breaker_states(calls, cooling=3600).collect()}
     assert got == want
+
+
+def test_daily_usage_as_in_batch(spark, data, tmp_path):
+    from quillspark.operators.metrics import daily_quota
+
+    events = spark.read.parquet(f"{data}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    users = spark.range(10_000).select("id", F.when(F.col("id") % 3 == 0, "reader").when(F.col("id") % 3 == 1, "editor").otherwise("admin").alias("role"))
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(flows.daily_usage(stream, users, late="1000 days"), "usage", "complete")
+    usage = events.groupBy("user_id", F.to_date("ts").alias("usage_date")).agg(F.count("*").alias("cnt"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, daily_quota(usage, users).collect()))
+    assert got.count() > 100
+
+
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(minutes=m)) for m in (0, 10, 39, 80)] + [(2, t0)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    got = drained(flows.sessions(stream), "sessions", "complete")
+    assert sorted((r["user_id"], r["n"]) for r in got.collect()) == [(1, 1), (1, 3), (2, 1)]
