@@ -55,12 +55,23 @@ def vector_index_topk(lib):
     return found.select(F.col("vec_id").alias("query_id"), "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("summary_search", "summaries_v books_v", _Q + f"SELECT s.book_id, round({_SIM.format('s')}, 6) AS similarity FROM summaries_v s JOIN books_v b ON b.id = s.book_id CROSS JOIN q WHERE list_has_any([b.cat1, b.cat2], ['novel', 'poetry']) AND {_SIM.format('s')} > -0.5 ORDER BY {_SIM.format('s')} DESC, s.book_id LIMIT 8")
+_SUMMARIES = _Q + f"SELECT s.book_id, round({_SIM.format('s')}, 6) AS similarity FROM summaries_v s JOIN books_v b ON b.id = s.book_id CROSS JOIN q WHERE list_has_any([b.cat1, b.cat2], ['novel', 'poetry']) AND {_SIM.format('s')} > -0.5 ORDER BY {_SIM.format('s')} DESC, s.book_id LIMIT 8"
+
+
+@query("summary_search", "summaries_v books_v", _SUMMARIES)
 def summary_search(lib):
     found = V.summary_search(lib.summaries_v, shelf(lib), question(lib), ["novel", "poetry"], k=8, threshold=-0.5)
     return found.select("book_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("summary_search_indexed", "summaries_v books_v", _SUMMARIES)
+def summary_search_indexed(lib):
+    values = lib.embeddings.where("vec_id = 0").select("embedding").first()[0]
+    index = VectorIndex.build(lib.summaries_v, "book_id")
+    found = V.summary_search(index.above(values, -0.5), shelf(lib), V.query_vector(values), ["novel", "poetry"], k=8, threshold=-0.5)
+    return found.select("book_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("hierarchical_retrieval", "summaries_v chunks_v books_v pages_v", _Q + f", top AS (SELECT s.book_id FROM summaries_v s CROSS JOIN q WHERE {_SIM.format('s')} > -0.5 ORDER BY {_SIM.format('s')} DESC, s.book_id LIMIT 5) " + _CHUNKS.format(-0.5, "AND c.book_id IN (SELECT book_id FROM top)", 10))
 def hierarchical_retrieval(lib):
     return _found(V.hierarchical_search(lib.summaries_v, lib.chunks_v, shelf(lib), lib.pages_v, question(lib), 5, -0.5, 10, -0.5))
