@@ -5,11 +5,12 @@ cut: as many whole sequences as fit, one multiple of ``GRID``, and one rest belo
 histogram of at most ``SHORT + capacity / GRID`` lengths, which is all the driver sees. Over it a linear program chooses how
 often to use each pattern (a multiset of lengths that fits a sequence): columns are generated by an unbounded-knapsack
 dynamic program over the duals until the program is within ``GAP`` of its bound, the solution is rounded down and what
-remains is packed longest piece first, each sequence filled by a subset sum. Pieces are ranked within their length, block by
-block, and a piece's rank gives its pattern, sequence and offset by arithmetic.
+remains is packed longest piece first, each sequence filled by a subset sum. Pieces are ranked within their length, task by
+task, and a piece's rank gives its pattern, sequence and offset by arithmetic.
 
 A null text is an empty one, whose document is the end id alone. Whole texts are tokenised. Repeated rows are documents of
-their own. An empty table gives no pieces. Only ``doc_id`` and ``text`` are read.
+their own. An empty table gives no pieces. Ties between pieces of one length go by their place in the
+tasks, so another partitioning gives other, equally full sequences. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from quillspark.llm.common import WORD, written
 CAPACITY, GRID, SHORT, END = 4096, 64, 256, 2
 #: Share of sequences by which the linear program may exceed its least.
 GAP = 0.003
-#: Pieces of one length that are ranked in one group, about.
-RANKED = 20_000
+#: Lengths of tasks whose table is broadcast; with more rows it is joined by a shuffle.
+BROADCAST = 200_000
+#: Bytes of ids that a task sends on at a time.
+SENT = 2_000_000
 #: Entries of a worker's word caches.
-CACHED = 400_000
+CACHED = 250_000
 
 #: Only ASCII white space parts words here; the tokenizer sees to any other inside a word.
 _WORDS = re.compile(WORD).findall
@@ -128,26 +131,42 @@ def cuts(n: int, capacity: int = CAPACITY, grid: int = GRID, short: int = SHORT)
 
 
 def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) for each piece of each document."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, task, nth[, ids]) for each piece of each document.
+
+    ``nth`` numbers the pieces of one length that one task makes; ``ids`` are little-endian 32-bit numbers.
+    """
     end = np.array([END], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
 
     def run(batches):
-        encode = _encoder(path)
+        from pyspark import TaskContext
+
+        encode, task, seen = _encoder(path), TaskContext.get().partitionId(), {}
+
+        def rows(out: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
+            cols = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))]
+            return pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.binary())] if with_ids else [])], names=[*names, *(["ids"] if with_ids else [])])
+
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], **({"ids": []} if with_ids else {})}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, at = encode(text) + end, 0
+            out, ids, size = [], [], 0
+            for i in range(batch.num_rows):
+                doc_id = batch.column(0)[i].as_py()
+                data, at = encode(batch.column(1)[i].as_py()) + end, 0
                 for n in cuts(len(data) // 4):
                     part = data[4 * at : 4 * (at + n)]
-                    for k, v in (("doc_id", doc_id), ("start", at), ("length", n), ("ids_crc32", zlib.crc32(part)), ("doc_tokens", len(data) // 4)):
-                        out[k].append(v)
+                    seen[n] = nth = seen.get(n, -1) + 1
+                    out.append((doc_id, at, n, zlib.crc32(part), len(data) // 4, task, nth))
                     if with_ids:
-                        out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
+                        ids.append(part)
+                        size += len(part)
                     at += n
-            types = {"ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
+                if size > SENT:
+                    yield rows(out, ids)
+                    out, ids, size = [], [], 0
+            if out:
+                yield rows(out, ids)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = ", ".join(f"{c} long" for c in names) + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -284,16 +303,20 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (any columns with doc_id, start, length; read more than once) with sequence_id and offset."""
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    """``parts`` (as ``pieces`` makes them, written: they are read more than once) with sequence_id and offset.
+
+    A piece's rank within its length is its number in its task and what the tasks before it have of that length. So ranking
+    is a sum over tasks: pieces are neither sorted nor gathered by length, however many one length has.
+    """
+    counts = written(parts.groupBy("length", "task").agg(F.count("*").alias("n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     of = slots(plan(histogram, capacity))
-    blocks = max(1, -(-sum(histogram.values()) // RANKED))
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
-    before = parts.groupBy("length", "block").agg(F.count("*").alias("n"))
-    before = before.select("length", "block", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = parts.withColumn("nth", F.row_number().over(W.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("nth")).drop("block", "before", "nth")
-    schema = T.StructType([f for f in ranked.schema if f.name != "rank"]).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    upto = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("length", "task", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    ranked = parts.join(F.broadcast(before) if counts.count() <= BROADCAST else before.hint("merge"), ["length", "task"])
+    ranked = ranked.select(*[c for c in parts.columns if c not in ("task", "nth")], (F.col("before") + F.col("nth")).alias("rank"))
+    schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in ranked.schema if f.name != "rank"])
+    schema = schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
 
     def run(batches):
         for batch in batches:
@@ -305,14 +328,22 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 first, count, base, at = of[int(n)][np.searchsorted(of[int(n)][:, 0], rank[rows], "right") - 1].T
                 sequence[rows] = base + (rank[rows] - first) // count
                 offset[rows] = at + (rank[rows] - first) % count * n
-            kept = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "rank"]
+            kept = [_numbers(c) if f.name == "ids" else c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=schema.names)
 
     return ranked.mapInArrow(run, schema)
 
 
+def _numbers(ids: pa.Array) -> pa.Array:
+    """Lists of numbers from their bytes, which stay where they are."""
+    _, offsets, data = ids.buffers()
+    at = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+    values = np.frombuffer(data, "<i4") if data is not None and data.size else np.zeros(0, "<i4")
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[: int(at[-1])]))
+
+
 def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Each piece with its sequence and offset; with ``with_ids`` also its ids."""
+    """Each piece with its sequence and offset; with ``with_ids`` also its ids, an array of numbers."""
     return assign(written(pieces(docs, path, with_ids)))
 
 

@@ -104,3 +104,15 @@ def test_sequences_hold_every_id(spark, docs):
     for r in pieces:
         assert found[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
     assert {r["sequence_id"] for r in pieces} == set(found)
+
+
+def test_rows_that_repeat_and_ids_that_are_null(spark):
+    """However many pieces have one length and one id, sequences are gapless and none is too long."""
+    docs = spark.range(30_000, numPartitions=6).selectExpr("CASE WHEN id % 3 = 0 THEN 5L END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'some words here' END AS text")
+    packed = P.pack(docs, P.tokenizer_path())
+    rows = packed.collect()
+    assert len(rows) == 30_000
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (a, at, n), (b, start, _) in zip(spans, spans[1:], strict=False):
+        assert start == (at + n if a == b else 0)
+    assert max(o + n for _, o, n in spans) <= P.CAPACITY

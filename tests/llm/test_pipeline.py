@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline as P
 
 from quillspark.llm import language_id, mixing, packing, secret_scan, simhash
@@ -39,6 +41,10 @@ def test_stages_take_effect(spark, data, docs):
 
     encode = packing.Encoder(packing.tokenizer_path())
     assert sum(r["length"] for r in packed) == sum(len(encode(r["text"])) // 4 + 1 for r in mixed)
+    # Every piece has its ids.
+    of = {r["doc_id"]: np.frombuffer(encode(r["text"]), "<u4").tolist() + [packing.END] for r in mixed}
+    for r in packed:
+        assert r["ids"] == of[r["doc_id"]][r["start"] : r["start"] + r["length"]]
 
 
 def test_odd_rows(spark, odd_docs, data):
