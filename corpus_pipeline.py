@@ -2,8 +2,7 @@
 
 Every stage is one operator of ``quillspark.llm`` applied to all that its predecessor kept; each result is written as
 Parquet in the shared folder and read again as the next stage's documents. The last result has every piece of every
-document with its place: start in the document, sequence and offset. For the ids themselves, ``packing.pack`` takes
-``with_ids``, and ``packing.sequences`` puts pieces together.
+document with its ids and its place: start in the document, sequence and offset. ``packing.sequences`` puts pieces together.
 
 Every stage reads whole texts, passes on columns that it doesn't know (also under names that operators use themselves) and
 gives no rows for an empty table. What a stage does with nulls, ties and repeated rows its docstring says.
@@ -52,8 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and offsets. A null text is its end id alone; every row is a document."""
-    return packing.pack(docs, packing.tokenizer_path())
+    """Pieces of all documents with their ids, sequences and offsets. A null text is its end id alone; every row is a document."""
+    return packing.pack(docs, packing.tokenizer_path(), with_ids=True)
 
 
 STAGES = [
