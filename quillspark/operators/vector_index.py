@@ -10,6 +10,10 @@ cells that by this bound may still hold something better than what was found, an
 
 Rows without a vector are not indexed. Vectors without length have cosine 0 to everything; they have cell -1, which every
 search takes in. Rows that repeat are rows. An empty table is an index without cells, in which nothing is found.
+
+Searches of many queries compare blocks: some thousand queries with some thousand rows of a cell, or of several cells, at a
+time. A matrix product tells which pairs may be among the best, and these are computed as ``cosine`` does, sum by sum. So a
+task's memory is bounded by the blocks' sizes, and what is sent on are a block's k best of each query.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,13 +36,16 @@ from quillspark.sources.store import fresh, stored
 MOST_CELLS, SAMPLE, ROUNDS, FILE_ROWS = 4096, 64, 8, 1_000_000
 #: Cells that a search looks into where nothing was measured; queries that ``tuned`` measures, and the recall it asks for.
 PROBES, MEASURED, RECALL = 8, 200, 0.95
-#: What rounding may cost a bound.
-SLACK = 1e-6
+#: What rounding may cost a bound, and a similarity.
+SLACK, ROUNDING = 1e-6, 1e-9
+#: Rows and queries of a block, and pairs of them at a time.
+BLOCK_ROWS, BLOCK_QUERIES, PAIRS = 16_384, 4096, 4_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows."""
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    """Vectors of one length as rows; nulls in them are NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -75,7 +83,7 @@ def centres_of(rows: DataFrame, key: str, vector: str = "embedding", cells: int
     if not k:
         return np.zeros((0, 0))
     unit = F.pmod(F.xxhash64(F.lit("cells"), F.col(key)), F.lit(1 << 30))
-    drawn = stored(some.select(F.col(vector).alias("v"), unit.alias("u"), F.col(key).alias("key")).where(F.col("u") < min(1.0, (sample * k + 100) / n) * (1 << 30)).select(F.transform("v", lambda x: x.cast("double") / norm(F.col("v"))).alias("v"), "u", "key"))
+    drawn = stored(some.select(F.col(vector).alias("v"), unit.alias("u"), F.col(key).alias("key")).where(F.col("u") < min(1.0, (sample * k + 100) / n) * (1 << 30)).withColumn("length", norm(F.col("v"))).select(F.transform("v", lambda x: x.cast("double") / F.col("length")).alias("v"), "u", "key"))
     centres = np.array([r["v"] for r in drawn.orderBy("u", "key").limit(k).collect()])
     for _ in range(rounds):
         sums = assigned(drawn.select("v"), centres, "v").select("cell", F.posexplode("v").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"))
@@ -189,33 +197,126 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, key: str = "query_id", vector: str = "embedding") -> DataFrame:
         """(``key``, id, similarity, rank) of the k most similar rows of each query, ties to the smaller id.
 
-        Queries, whose keys are distinct, meet the rows of their cells by an equality join on the cell.
+        Queries, whose keys are distinct, meet the rows of their cells in blocks. An exact search takes from the probed cells
+        how similar a row must be at least, and then sends queries to all blocks of rows that may hold such a one.
+        """
+        asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.lit(-2.0).alias("least"))
+        asked = stored(asked)
+        parts = max(1, -(-asked.count() // BLOCK_QUERIES))
+        sizes = {r["cell"]: r["count"] for r in self.rows.groupBy("cell").count().collect()}
+        found = self._met(asked, _groups(sizes, 1), parts, k, probes or self.probes)
+        if exact:
+            worst = found.groupBy("key").agg(F.when(F.count("similarity") >= k, F.min("similarity")).alias("worst"))
+            known = asked.join(worst, "key", "left").select("key", "v", F.coalesce("worst", "least").alias("least"))
+            found = self._met(known, _groups(sizes, BLOCK_ROWS), parts, k, None)
+        return found.select(F.col("key").alias(key), "id", "similarity", "rank")
+
+    def _met(self, asked: DataFrame, groups: dict[int, list[int]], parts: int, k: int, probes: int | None) -> DataFrame:
+        """The k best rows of each query in ``probes`` cells, or in all that may hold one as similar as ``least``.
+
+        ``groups`` has the groups that a cell's rows are dealt to. Each of them is compared with the queries in ``parts`` blocks.
         """
-        probes = probes or self.probes
+        sent = self._sent(asked, groups, probes).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        of = self.rows.sparkSession.createDataFrame([(c, g[0], len(g)) for c, g in groups.items()], "cell int, first int, n int")
+        at = F.col("first") + F.pmod(F.xxhash64(self.key, self.vector), F.col("n")).cast("int")
+        rows = self.rows.select("cell", self.key, self.vector).join(F.broadcast(of), "cell")
+        rows = rows.select(at.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col(self.key).alias("id"), F.col(self.vector).alias("own"))
+        kind = T.StructType([asked.schema["key"], rows.schema["id"], T.StructField("similarity", T.DoubleType())])
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _block(left.combine_chunks(), right.combine_chunks(), k)
+
+        return _best(sent.groupBy("group", "part").cogroup(rows.groupBy("group", "part")).applyInArrow(run, kind), k)
+
+    def _sent(self, asked: DataFrame, groups: dict[int, list[int]], probes: int | None) -> DataFrame:
+        """(key, v, least, group): queries by the groups that they are sent to."""
         cells, centres, radii = self.cells, self.centres, self.radii
-        rest = T.StructType([T.StructField("key", queries.schema[key].dataType), T.StructField("v", queries.schema[vector].dataType), *(T.StructField(n, t) for n, t in (("cells", T.ArrayType(T.IntegerType())), ("bounds", T.ArrayType(T.DoubleType()))))])
+        member = np.zeros((len(cells), 1 + max((g for own in groups.values() for g in own), default=0)), np.float32)
+        for i, c in enumerate(cells.tolist()):
+            member[i, groups.get(c, [])] = 1
+        always = groups.get(-1, [])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, bound = nearest_cells(cells, centres, radii, _matrix(batch.column(1)))
-                upto = found.shape[1] if exact else probes
-                cols = [*batch.columns, pa.array(found[:, :upto].tolist(), pa.list_(pa.int32())), pa.array(bound[:, :upto].tolist(), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "v", "cells", "bounds"])
-
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(run, rest)
-        asked = stored(asked) if exact else asked
-        rows = self.rows.select("cell", F.col(self.key).alias("id"), F.col(self.vector).alias("own"))
-        first = self._met(asked.select("key", "v", F.explode(F.concat(F.array(F.lit(-1)), F.slice("cells", 1, probes))).alias("cell")), rows, k)
-        if exact:
-            first = stored(first)
-            worst = first.groupBy("key").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("least"))
-            left = asked.join(worst, "key", "left").select("key", "v", F.coalesce("least", F.lit(-2.0)).alias("least"), F.explode(F.slice(F.arrays_zip("cells", "bounds"), probes + 1, len(self.cells) + 1)).alias("c"))
-            more = self._met(left.where("c.bounds >= least").select("key", "v", F.col("c.cells").alias("cell")), rows, k)
-            first = _best(first.drop("rank").unionByName(more.drop("rank")), k)
-        return first.select(F.col("key").alias(key), "id", "similarity", "rank")
-
-    def _met(self, asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-        return _best(asked.join(rows, "cell").select("key", "id", cosine(F.col("own"), F.col("v")).alias("similarity")), k)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    hit = np.zeros((batch.num_rows, member.shape[1]), bool)
+                    if len(cells):
+                        near = np.clip(_units(_matrix(batch.column(1))) @ centres.T, -1, 1)
+                        if probes:
+                            meets = np.zeros(near.shape, bool)
+                            np.put_along_axis(meets, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
+                        else:
+                            meets = ~(np.cos(np.clip(np.arccos(near) - radii, 0, np.pi)) + SLACK < batch.column(2).to_numpy()[:, None])
+                        hit = meets.astype(np.float32) @ member > 0
+                    hit[:, always] = True
+                    q, g = np.nonzero(hit)
+                    for i in range(0, len(q), 10_000):
+                        some = batch.take(pa.array(q[i : i + 10_000]))
+                        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(g[i : i + 10_000], pa.int32())], names=["key", "v", "least", "group"])
+
+        return asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("group", T.IntegerType())]))
+
+
+def _groups(sizes: dict[int, int], least: int) -> dict[int, list[int]]:
+    """Groups of each cell: cells are put together up to ``least`` rows, and parted above ``BLOCK_ROWS``."""
+    groups, group, held = {}, 0, 0
+    for c, n in sorted(sizes.items()):
+        if held and held + n > least:
+            group, held = group + 1, 0
+        own = -(-n // BLOCK_ROWS)
+        groups[c] = list(range(group, group + own))
+        group, held = group + own - 1, held + n
+    return groups
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added up in the order of ``dot``: the same for the same vectors, wherever they stand."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _unlike(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows, the first ``most`` of equal ones."""
+    order = np.lexsort(x.T[::-1])
+    new = np.append(True, (x[order[1:]] != x[order[:-1]]).any(axis=1))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return np.sort(order[np.arange(len(x)) - first < most])
+
+
+def _block(asked: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """(key, id, similarity): the k best of ``rows`` (group, part, id, own) for each query (key, v, least)."""
+    names = ["key", "id", "similarity"]
+    kinds = [asked.schema.field("key").type, rows.schema.field("id").type, pa.float64()]
+    if not asked.num_rows or not rows.num_rows:
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+    flat = lambda table, c: table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_start"))
+    x = _matrix(flat(rows, "own"))
+    kept = _unlike(x, k)  # of equal vectors no more than the k smallest ids can be among the best
+    x, ids = x[kept], flat(rows, "id").take(pa.array(kept))
+    q, least = _matrix(flat(asked, "v")), flat(asked, "least").to_numpy()
+    ux, long_x, long_q = _units(x), np.sqrt(_summed(x, x)), np.sqrt(_summed(q, q))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, PAIRS // len(x))
+    for at in range(0, len(q), step):
+        near, cut = _units(q[at : at + step]) @ ux.T, least[at : at + step] - ROUNDING
+        many = np.flatnonzero((~(near < cut[:, None])).sum(axis=1) > k)
+        if len(many):
+            kth = -np.partition(np.where(np.isnan(near[many]), -np.inf, -near[many]), k - 1, axis=1)[:, k - 1]
+            cut[many] = np.maximum(cut[many], kth - ROUNDING)
+        qi, xi = np.nonzero(~(near < cut[:, None]))
+        size = long_q[at + qi] * long_x[xi]
+        dots = np.concatenate([_summed(q[at + qi[i : i + 100_000]], x[xi[i : i + 100_000]]) for i in range(0, len(qi), 100_000)] or [np.zeros(0)])
+        same = np.where(size == 0, 0.0, dots / np.where(size == 0, 1.0, size))
+        order = np.lexsort((xi, np.where(np.isnan(same), -np.inf, -same), qi))
+        qi, xi, same = qi[order], xi[order], same[order]
+        nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        out.append((at + qi[nth < k], xi[nth < k], same[nth < k]))
+    qi, xi, same = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table([flat(asked, "key").take(pa.array(qi)), ids.take(pa.array(xi)), pa.array(same, from_pandas=False)], names=names)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from quillspark.operators import vector_index
 from quillspark.operators.vector_index import VectorIndex
 
 
@@ -103,3 +104,28 @@ def test_an_index_is_kept(spark, vectors, index, tmp_path):
     built = VectorIndex.build(vectors.where("id < 300"), path=path, cells=5)
     again = VectorIndex.load(spark, path)
     assert again.rows.count() == 300 and np.array_equal(again.centres, built.centres) and math.isclose(again.radii.sum(), built.radii.sum())
+
+
+def test_many_copies_and_blocks(spark, monkeypatch):
+    """Cells and queries of several blocks, copies in numbers beyond k, ties to the smaller id."""
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vector_index, "BLOCK_QUERIES", 40)
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(30, 8)).astype(np.float32).tolist()
+    rows = [{"id": i, "embedding": few[0] if i % 3 else few[i % 30]} for i in rng.permutation(900).tolist()]
+    index = VectorIndex.build(spark.createDataFrame(rows, "id long, embedding array<float>"), cells=6)
+    asked = [{"id": i, "embedding": few[i % 30]} for i in range(90)]
+    queries = spark.createDataFrame([(r["id"], r["embedding"]) for r in asked], "query_id long, embedding array<float>")
+    assert by_query(index.search(queries, 7, exact=True).collect()) == brute(sorted(rows, key=lambda r: r["id"]), asked, 7)
+
+
+def test_twenty_thousand_vectors_are_searched_in_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select("id", F.array(*[F.randn(i) for i in range(64)]).alias("embedding")).cache()
+    began = time.time()
+    found = VectorIndex.build(rows).search(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 16, exact=True)
+    assert found.count() == 16_000
+    assert time.time() - began < 60
