@@ -94,3 +94,19 @@ def test_one_language_counts_for_both_distances():
         apart = min(c for c, _ in both) <= Q.CHAR_LIMIT and min(w for _, w in both) <= Q.WORD_LIMIT
         seen.add((bool(near), bool(apart)))
     assert {(True, True), (False, True), (False, False)} <= seen
+
+
+def test_references_are_of_all_rows(spark, monkeypatch):
+    """Beyond any sample's size, and sent on in parts: the references are those of a plain count."""
+    monkeypatch.setattr(Q, "HELD", 50)
+    texts = [f"the w{i} of w{i % 7} " + "end. " * (i % 5) for i in range(1500)]
+    model = Q.fit(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), common=5)
+    shares = Counter()
+    for t in texts:
+        words = t.split()
+        for w in words:
+            shares[w.encode()] += 1 / len(words) / len(texts)
+    reference, bins, words = model["en"]
+    want = sorted(shares.items(), key=lambda r: (-round(r[1], 9), r[0]))[:5]
+    assert list(bins) == [w for w, _ in want] and np.allclose(words[:-1], [v for _, v in want], atol=1e-9)
+    assert np.allclose(reference, np.mean([Q.class_counts([t.encode()])[0] / len(t) for t in texts], axis=0), atol=1e-9)
