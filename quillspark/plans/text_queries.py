@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking as K
@@ -313,6 +310,4 @@ _SEARCHED = " UNION ALL ".join([f"SELECT {k} AS pattern, id FROM pages_v WHERE t
 def texts_by_trigrams(lib):
     pages = lib.texts_v.select("id", "text")
     index = TrigramIndex.build(pages)
-    found = [index.like(pages, p).select(F.lit(k).alias("pattern"), "id") for k, p in enumerate(_LIKES)]
-    found += [index.matching(pages, p).select(F.lit(10 + k).alias("pattern"), "id") for k, p in enumerate(_EXPRESSIONS)]
-    return reduce(DataFrame.unionAll, found)
+    return index.matches(pages, dict(enumerate(_LIKES)), dict(enumerate(_EXPRESSIONS, 10))).select("pattern", "id")
