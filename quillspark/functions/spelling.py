@@ -7,11 +7,14 @@ import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import DROPPED, HAMZA_PAIR, normalized, spelling_pattern
+from quillspark.sources.store import stored
 
 # Characters of a word, its least length, letters that recognition takes for one another, vowels it loses.
 WORD_CHARS = "\u0621-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff\u200c\u200d"
@@ -46,8 +49,13 @@ _LETTERS = "".join(c for c in map(chr, range(0x0600, 0xFF00)) if re.match(f"[{WO
 _WORD = re.compile(f"[{_LETTERS}](?:[{WORD_CHARS}]*[{_LETTERS}])?")
 #: Characters that ``normalized`` changes.
 _CHANGED = re.compile(f"[{DROPPED}{HAMZA_PAIR}\ufb50-\ufdff\ufe70-\ufeff]")
-#: Tokens that are sent on at a time.
-_AT_ONCE = 50_000
+_NO_WORD = re.compile(f"[^{WORD_CHARS}]")
+#: Characters whose words are found at a time, tokens that are sent on at a time, and words that go to every task.
+_CHARS, _AT_ONCE, MOST_WORDS = 500_000, 50_000, 500_000
+
+_KINDS = np.zeros(0x110000, np.uint8)  # 1: of a word, 2: a letter or mark, 4: changed
+for _c in map(chr, range(0x0600, 0xFF00)):
+    _KINDS[ord(_c)] = bool(re.match(f"[{WORD_CHARS}]", _c)) + 2 * (_c in _LETTERS) + 4 * bool(_CHANGED.match(_c))
 
 
 def tokens(text: str | None) -> Iterator[tuple[str, str, int, int]]:
@@ -59,28 +67,99 @@ def tokens(text: str | None) -> Iterator[tuple[str, str, int, int]]:
             yield word, raw, m.start(), m.end()
 
 
-def token_rows(pages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(page_id, word, raw, start, end): one row for each word of each page; pages are read one by one, words sent on in bounded batches."""
-    types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+def _pieces(texts: pa.Array) -> Iterator[list[tuple[int, int, str]]]:
+    """(place of the text, where in it, piece), some ``_CHARS`` characters at a time; long texts are cut between words."""
+    some, size = [], 0
+    for place, t in enumerate(texts):
+        text, at = t.as_py() or "", 0
+        while at < len(text):
+            end = len(text)
+            if end - at > _CHARS:
+                cut = _NO_WORD.search(text, at + _CHARS)
+                end = cut.end() if cut else end
+            some.append((place, at, text[at:end]))
+            size, at = size + end - at, end
+            if size >= _CHARS:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _token_arrays(some: list[tuple[int, int, str]]) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """``tokens`` of pieces, in one go over their characters: place, word, raw, start, end."""
+    size = np.array([len(t) + 1 for _, _, t in some])
+    points = np.frombuffer("\n".join([t for _, _, t in some] + [""]).encode("utf-32-le"), np.uint32)
+    kinds = _KINDS[points]
+    inside = np.append(kinds & 1, 0).astype(np.int8)
+    run_start, run_end = np.flatnonzero(np.diff(inside, prepend=0) == 1), np.flatnonzero(np.diff(inside, prepend=0) == -1)
+    letters = np.flatnonzero(kinds & 2)
+    first, last = np.searchsorted(letters, run_start), np.searchsorted(letters, run_end) - 1
+    some_letter = first <= last
+    start, end = letters[first[some_letter]], letters[last[some_letter]] + 1
+    altered = np.append(0, np.cumsum(kinds >> 2 & 1))
+    changed = altered[end] > altered[start]
+    long = changed | (end - start >= LEAST_LENGTH)
+    start, end, changed = start[long], end[long], changed[long]
+    edges = np.zeros(len(points) + 1, np.int8)
+    edges[start] += 1
+    edges[end] -= 1
+    own = np.cumsum(edges[:-1]).astype(bool)
+    width = np.append(0, np.cumsum(1 + (points[own] > 0x7F) + (points[own] > 0x7FF) + (points[own] > 0xFFFF)))
+    offsets = width[np.append(0, np.cumsum(end - start))].astype(np.int32)
+    raw = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(points[own].tobytes().decode("utf-32-le").encode()))
+    word = raw
+    if changed.any():
+        word = pc.replace_with_mask(raw, pa.array(changed), pa.array([normalized(w.as_py()) for w in raw.filter(pa.array(changed))], pa.string()))
+    begin = np.append(0, np.cumsum(size))
+    piece = np.searchsorted(begin, start, side="right") - 1
+    shift = np.array([at for _, at, _ in some])[piece] - begin[piece]
+    place = np.array([p for p, _, _ in some])[piece]
+    if changed.any():
+        kept = pc.utf8_length(word).to_numpy(zero_copy_only=False) >= LEAST_LENGTH
+        place, word, raw, start, end, shift = place[kept], word.filter(pa.array(kept)), raw.filter(pa.array(kept)), start[kept], end[kept], shift[kept]
+    return place, word, raw, start + shift, end + shift
+
+
+def token_rows(pages: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(page_id, word, raw, start, end): one row for each word of each page, or for those that ``only`` has (word, ``MOST_WORDS`` at most).
+
+    Pages are read in pieces of bounded size, words sent on in bounded batches.
+    """
+    sought = None if only is None else pages.sparkSession.sparkContext.broadcast({r["word"] for r in only.select("word").collect()})
+    names = ["page_id", "word", "raw", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for page, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for token in tokens(t.as_py()):
-                    rows.append((page, *token))
-                    if len(rows) == _AT_ONCE:
-                        yield _columns(rows)
-                        rows = []
-            if rows:
-                yield _columns(rows)
-
-    def _columns(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "word", "raw", "start", "end"])
+            for some in _pieces(batch.column(1)):
+                place, word, raw, start, end = _token_arrays(some)
+                cols = [batch.column(0).take(pa.array(place)), word, raw, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+                found = pa.RecordBatch.from_arrays(cols, names=names)
+                if sought is not None:
+                    coded = word.dictionary_encode()
+                    hit = np.array([w in sought.value for w in coded.dictionary.to_pylist()], bool)
+                    found = found.filter(pa.array(hit[coded.indices.to_numpy()])) if len(word) else found
+                for at in range(0, found.num_rows, _AT_ONCE):
+                    yield found.slice(at, _AT_ONCE)
 
     return pages.select(F.col(key).cast("long").alias("page_id"), text).mapInArrow(run, "page_id long, word string, raw string, start int, end int")
 
 
+def word_rows(pages: DataFrame, text: str = "text") -> DataFrame:
+    """(word): the words of all pages, each once or a few times a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for some in _pieces(batch.column(0)):
+                new = set(_token_arrays(some)[1].unique().to_pylist()) - seen
+                seen = new if len(seen) > MOST_WORDS else seen | new
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["word"])
+
+    return pages.select(text).mapInArrow(run, "word string")
+
+
 def once_replaced(word: Column, pairs: tuple = CONFUSED) -> Column:
     """Words with one occurrence of one confused letter replaced: by pair as listed, then by place."""
     places = F.sequence(F.lit(1), F.length(word))
@@ -147,8 +226,9 @@ def check_pages(pages: DataFrame, dictionary: DataFrame, rules: DataFrame | list
 
     fixed = rewritten(pages, rules) if isinstance(rules, DataFrame) else pages.withColumn("text", apply_rules(F.col("text"), rules))
     fixed = fixed.withColumn("spell_check_milestone", F.lit("done"))
-    each = token_rows(fixed)
-    found = corrections(unknown_words(each, dictionary), dictionary, vowels, pairs)
+    found = stored(corrections(unknown_words(word_rows(fixed), dictionary), dictionary, vowels, pairs))
+    # Few words have corrections: then only their places become rows; else all words meet them in a join.
+    each = token_rows(fixed, only=found if found.count() <= MOST_WORDS else None)
     issues = each.join(found, "word").select("page_id", F.col("raw").alias("word"), F.col("start").alias("char_offset"), F.col("end").alias("char_end"), F.col("corrections").alias("ocr_corrections"), F.lit("open").alias("status"))
     return fixed, issues
 

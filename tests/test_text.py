@@ -153,6 +153,37 @@ def test_spell_check(spark):
     assert rows[0]["char_end"] - rows[0]["char_offset"] == len(unknown)
 
 
+def test_words_found_in_pieces(spark, monkeypatch):
+    """Words of whole batches are those of one text after the other, also where texts are cut."""
+    import random
+
+    rng = random.Random(4)
+    letters = "ابتكئي\u0654\u0640\u200c\u200dﻻﺎ،؛ a1\n\U0001f600é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(400)] + [None, "", "ككككك", "ك" * 3, "\u064a\u0654" * 3]
+    pages = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    want = sorted((i, *t) for i, text in enumerate(texts) for t in S.tokens(text))
+    assert sorted(map(tuple, S.token_rows(pages).collect())) == want and len(want) > 500
+    assert {r["word"] for r in S.word_rows(pages).collect()} == {w[1] for w in want}
+    only = spark.createDataFrame([(w[1],) for w in want[:50]], "word string")
+    assert sorted(map(tuple, S.token_rows(pages, only=only).collect())) == [w for w in want if w[1] in {x[1] for x in want[:50]}]
+    monkeypatch.setattr(S, "_CHARS", 30)
+    pieces = [(p, a, t) for some in S._pieces(__import__("pyarrow").array(texts)) for p, a, t in some]
+    assert len(pieces) > 800 and all("".join(t for q, _, t in pieces if q == p) == (text or "") for p, text in enumerate(texts))
+    got = [(p, w, r, a, b) for some in S._pieces(__import__("pyarrow").array(texts)) for p, w, r, a, b in zip(*(c.tolist() if hasattr(c, "tolist") else c.to_pylist() for c in S._token_arrays(some)), strict=True)]
+    assert sorted(got) == want
+
+
+def test_pages_send_on_only_words_with_corrections(spark, monkeypatch):
+    """No row for each of a corpus's words: tokens are asked for by the words found to have corrections."""
+    asked = []
+    own = S.token_rows
+    monkeypatch.setattr(S, "token_rows", lambda *a, only=None, **b: asked.append(only) or own(*a, only=only, **b))
+    pages = spark.createDataFrame([(1, "كتابب توغرا بىرنەرسە")], "id long, text string")
+    dictionary = spark.createDataFrame([("توغرا",), ("ڭتابب",)], "word string")
+    assert [r["word"] for r in S.check_pages(pages, dictionary, [])[1].collect()] == ["كتابب"]
+    assert [r["word"] for r in asked[0].collect()] == ["كتابب"]
+
+
 def test_edits_from_last_to_first(spark):
     pages = spark.createDataFrame([(1, "This is a test with word1 and word2."), (2, "same")], "id long, text string")
     edits = spark.createDataFrame([(1, 20, 25, "W1"), (1, 30, 35, "W2"), (1, None, None, "no")], "page_id long, start int, end int, new string")
