@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import cleaned, text_column
 
 # Fixed values of the splitter.
 SIZE, OVERLAP, SEPARATORS = 500, 100, ("\n\n", "\n", ". ", " ", "")
+#: Characters of chunks that are sent on at a time.
+SENT = 1_000_000
 
 
 def chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separators: tuple = SEPARATORS) -> list[str]:
@@ -57,9 +61,33 @@ def _joined(parts: list[str], by: str, size: int, overlap: int) -> Iterator[str]
 
 
 def chunk_table(pages: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, separators: tuple = SEPARATORS) -> DataFrame:
-    """(book_id, page_number, chunk_index, text): chunks of cleaned pages; pages of contents have none."""
-    split = text_column(lambda t: chunks(t, size, overlap, separators), "array<string>")
-    return pages.where(~F.col("is_toc")).select("book_id", "page_number", F.posexplode(split(F.col(text))).alias("chunk_index", "text"))
+    """(book_id, page_number, chunk_index, text): chunks of cleaned pages; pages of contents have none.
+
+    Pages are split one by one and chunks sent on some ``SENT`` characters at a time, so no batch of pages is held as chunks.
+    """
+    some = pages.where(~F.col("is_toc")).select("book_id", "page_number", F.col(text).alias("text"))
+    kind = T.StructType([some.schema["book_id"], some.schema["page_number"], T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            at = pa.array(rows, pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index, pa.int32()), pa.array(made, pa.string())], names=kind.names)
+
+        for batch in batches:
+            rows, index, made, held = [], [], [], 0
+            for row, t in enumerate(batch.column(2)):
+                if not (own := t.as_py()):
+                    continue
+                for i, chunk in enumerate(_split(own, size, overlap, separators)):
+                    rows.append(row), index.append(i), made.append(chunk)
+                    held += len(chunk)
+                    if held >= SENT:
+                        yield sent()
+                        rows, index, made, held = [], [], [], 0
+            if rows:
+                yield sent()
+
+    return some.mapInArrow(run, kind)
 
 
 def page_chunks(text: Column, is_toc: Column) -> Column:

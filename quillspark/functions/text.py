@@ -9,9 +9,11 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values of the script normalisation.
 PRESENTATION_FORMS = ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
@@ -24,6 +26,8 @@ LEADERS = ".·•∙⋅․﹒｡"
 
 _FORMS = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in PRESENTATION_FORMS) + "]"
 _FORM = re.compile(_FORMS)
+#: Texts that are Python strings at a time.
+_TEXTS = 128
 _DROP = str.maketrans("", "", DROPPED)
 
 
@@ -36,13 +40,15 @@ def normalized(text: str | None) -> str:
 
 
 def text_column(fn, kind: str = "string"):
-    """A function of one text as a function of a column, over Arrow batches."""
+    """A function of one text as a function of a column, over Arrow batches, of which ``_TEXTS`` texts are Python's at a time."""
 
     def column(c: Column) -> Column:
-        def batch(texts: pd.Series) -> pd.Series:
-            return texts.map(fn)
+        to = to_arrow_type(T._parse_datatype_string(kind))
 
-        return F.pandas_udf(batch, kind)(c)
+        def batch(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([pa.array([fn(t.as_py()) for t in texts.slice(at, _TEXTS)], to) for at in range(0, len(texts), _TEXTS)] or [pa.array([], to)])
+
+        return F.arrow_udf(batch, kind)(c)
 
     return column
 

@@ -247,3 +247,22 @@ def test_corrections_against_all_variants(spark):
     want = {w: hits for w in unknown if (hits := [v for v in variants(w) if v in known])}
     one = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
     assert {r["word"]: r["corrections"] for r in S.corrections(one(unknown), one(known), vowels, pairs).collect()} == want
+
+
+def test_chunks_are_sent_on_in_bounded_batches(spark, monkeypatch):
+    """Rows are those of splitting each page; the plan holds no arrays of a batch's chunks, and texts are taken a few at a time."""
+    from quillspark.functions import chunking as K
+    from quillspark.functions import text as X
+
+    texts = ["word and more. " * n for n in (0, 1, 40, 700, 90)] + [None, "x" * 3000, "\n\n".join(["para " * 30] * 20)]
+    rows = [("b", i, t, False) for i, t in enumerate(texts)] + [("b", 99, "word " * 300, True)]
+    pages = spark.createDataFrame(rows, "book_id string, page_number int, text string, is_toc boolean")
+    monkeypatch.setattr(K, "SENT", 900)
+    table = K.chunk_table(pages)
+    assert "posexplode" not in table._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(("b", i, k, c) for i, t in enumerate(texts) for k, c in enumerate(K.chunks(t)))
+    assert sorted(map(tuple, table.collect())) == want
+    monkeypatch.setattr(X, "_TEXTS", 2)
+    column = X.text_column(lambda t: None if t is None else [t[:3], "y"], "array<string>")
+    got = {r["page_number"]: r["c"] for r in pages.select("page_number", column(pages["text"]).alias("c")).collect()}
+    assert got == {r[1]: None if r[2] is None else [r[2][:3], "y"] for r in rows}
