@@ -159,14 +159,19 @@ def corrected_pages(pages: DataFrame, issues: DataFrame, rules: DataFrame) -> tu
     embedding.
     """
     known = active_rules(rules)
-    pages_of = issues.where("status = 'processing'").select("page_id", F.lit(True).alias("__processing")).distinct()
-    state = issues.join(pages_of, "page_id", "left").join(known, "word", "left")
-    taken = F.when(F.coalesce("__processing", F.lit(False)), F.col("status") == "processing").otherwise(F.col("status") == "open")
-    hit = F.coalesce(taken & F.col("new").isNotNull() & F.col("char_offset").isNotNull() & F.col("char_end").isNotNull(), F.lit(False))
-    edits = state.where(hit).select("page_id", F.col("char_offset").alias("start"), F.col("char_end").alias("end"), "new")
-    new = apply_edits(pages, edits)
-    state = state.withColumn("__hit", hit).join(_not_made(new), [F.col("page_id") == F.col("__page"), F.col("char_offset") == F.col("__start"), F.col("char_end") == F.col("__end"), F.col("new") == F.col("__new")], "left")
-    after = state.withColumn("status", F.when(F.col("__hit") & F.col("__page").isNull(), "corrected").otherwise(F.col("status"))).select(*issues.columns)
+    busy = issues.where("status = 'processing'").select(F.col("page_id").alias("__busy")).distinct()
+    placed = "char_offset IS NOT NULL AND char_end IS NOT NULL AND status IN ('processing', 'open')"
+    taken = F.when(F.col("__busy").isNotNull(), F.col("status") == "processing").otherwise(F.col("status") == "open")
+    # Rules first, so that only issues that may become edits are dealt out by page.
+    edits = issues.where(placed).join(known, "word").join(busy, F.col("page_id") == F.col("__busy"), "left").where(taken)
+    new = apply_edits(pages, edits.select("page_id", F.col("char_offset").alias("start"), F.col("char_end").alias("end"), "new"))
+    # What issues need to know of their pages is a row a page, so all of them are dealt out by page alone, and once.
+    left = new.where(F.size("overlaps") > 0).select(F.col("id").alias("__page"), F.col("overlaps").alias("__left"))
+    state = issues.join(known, "word", "left").join(busy, F.col("page_id") == F.col("__busy"), "left").join(left, F.col("page_id") == F.col("__page"), "left")
+    hit = F.coalesce(F.expr(placed) & taken & F.col("new").isNotNull(), F.lit(False))
+    edit = F.struct(F.col("char_offset").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), F.col("new").alias("new"))
+    made = hit & F.when(hit & F.col("__left").isNotNull(), ~F.array_contains("__left", edit)).otherwise(True)
+    after = state.withColumn("status", F.when(made, "corrected").otherwise(F.col("status"))).select(*issues.columns)
     return _stale_index(new), after
 
 

@@ -99,9 +99,7 @@ j AS (SELECT i.id, i.page_id, i.word, CASE WHEN i.id = s.first THEN 'processing'
 SELECT j.id, CASE WHEN r.corrected_word IS NOT NULL AND j.status = CASE WHEN busy THEN 'processing' ELSE 'open' END THEN 'corrected' ELSE j.status END AS status
 FROM j LEFT JOIN rules_v r ON r.misspelled_word = j.word AND r.is_active""")
 def corrected_issues(lib):
-    every = issues(lib)
-    first = every.where("word = 'with'").groupBy("page_id").agg(F.min("id").alias("first"))
-    every = every.join(first, "page_id", "left").select("id", "page_id", "word", F.lit(0).alias("char_offset"), F.lit(0).alias("char_end"), F.when(F.col("id") == F.col("first"), "processing").otherwise(F.col("status")).alias("status"))
+    every = issues(lib, processing="with").withColumns({"char_offset": F.lit(0), "char_end": F.lit(0)})
     return J.corrected_pages(lib.pages_v, every, lib.rules_v)[1].select("id", "status")
 
 

@@ -216,10 +216,13 @@ def pages_corrected(lib):
     return J.corrected_pages(arabic(lib), found, rules)[0].select("id", F.md5("text").alias("digest"), F.col("n_edits").alias("n"))
 
 
-def issues(lib):
-    """An issue for every word of a page: (id, page_id, word, status), ids in order of arrival."""
-    rows = lib.texts_v.select(F.col("id").alias("page_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("pos", "w"))
-    return rows.select((F.col("page_id") * 100000 + F.col("pos")).alias("id"), "page_id", F.col("w").alias("word"), F.when(F.col("pos") % 2 == 0, "open").otherwise("corrected").alias("status"))
+def issues(lib, processing: str | None = None):
+    """An issue for every word of a page: (id, page_id, word, status), ids in order of arrival; a page's first of one word may be in processing."""
+    rows = lib.texts_v.select(F.col("id").alias("page_id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0).alias("words"))
+    first = F.array_position("words", F.lit(processing)) - 1 if processing else F.lit(-1)
+    rows = rows.select("page_id", first.alias("first"), F.posexplode("words").alias("pos", "w"))
+    status = F.when(F.col("pos") == F.col("first"), "processing").when(F.col("pos") % 2 == 0, "open").otherwise("corrected")
+    return rows.select((F.col("page_id") * 100000 + F.col("pos")).alias("id"), "page_id", F.col("w").alias("word"), status.alias("status"))
 
 
 _ISSUES = """i AS (SELECT page_id * 100000 + pos AS id, page_id, w AS word, CASE WHEN pos % 2 = 0 THEN 'open' ELSE 'corrected' END AS status

@@ -183,3 +183,14 @@ def test_contents_pages(spark):
     rows = [("plain words", False), (leaders, True), ("prose line\n" * 30 + leaders, False), (None, False), ("|a|b| 1|\n" * 6, True)]
     df = spark.createDataFrame([(t, w) for t, w in rows], "t string, want boolean")
     assert df.where(X.is_contents_page(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_issues_are_dealt_out_by_page_once(spark):
+    """No join of all issues by their places: what they need to know of a page is one row."""
+    p = pages(spark, ["teh cat adn teh dog"])
+    rules = spark.createDataFrame([("teh", "the", True), ("eh cat", "x", True)], "misspelled_word string, corrected_word string, is_active boolean")
+    issues = spark.createDataFrame([(1, 1, "teh", 0, 3, "open"), (2, 1, "eh cat", 1, 7, "open"), (3, 1, "teh", 12, 15, "open")], ISSUES)
+    after = J.corrected_pages(p, issues, rules)[1]
+    assert {r["id"]: r["status"] for r in after.collect()} == {1: "corrected", 2: "open", 3: "corrected"}
+    joins = [x for x in after._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if "char_offset" in x]
