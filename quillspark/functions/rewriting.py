@@ -172,8 +172,9 @@ def edited(pages: DataFrame, edits: DataFrame, key: str = "id", text: str = "tex
     """
     span = "array<struct<start:int,end:int,new:string>>"
     of = edits.where("start IS NOT NULL AND end IS NOT NULL").select(F.col("page_id").alias("of_page"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("new", F.lit("")).alias("new")).alias("edit"))
-    of = of.distinct().groupBy("of_page").agg(F.sort_array(F.collect_list("edit")).alias("edits"))
-    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"))
+    of = of.groupBy("of_page").agg(F.sort_array(F.collect_set("edit")).alias("edits"))
+    # The text goes once, beside the other columns.
+    rows = pages.select(F.struct(*[c for c in pages.columns if c != text]).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"))
     both = rows.join(of, F.col("key") == F.col("of_page"), "left").select("row", "text", "edits")
     made = T.StructType([both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_edits", T.IntegerType()), T.StructField("overlaps", T._parse_datatype_string(span))])
 

@@ -119,3 +119,12 @@ def test_issues_that_overlap_stay_open(spark):
     new, after = J.corrected_pages(pages, issues, rules)
     assert new.first()["text"] == "the dog"
     assert {r["id"]: r["status"] for r in after.collect()} == {1: "corrected", 2: "open", 3: "corrected"}
+
+
+def test_texts_go_to_their_edits_once(spark):
+    pages = spark.createDataFrame([(1, "one two", "x")], "id long, text string, other string")
+    edits = spark.createDataFrame([(1, 0, 3, "1"), (1, 0, 3, "1")], "page_id long, start int, end int, new string")
+    found = R.edited(pages, edits)
+    assert [tuple(r) for r in found.collect()] == [(1, "1 two", "x", 1, [])]
+    sent = found._jdf.queryExecution().analyzed().toString().split("struct(", 1)[1].split(") AS row", 1)[0]
+    assert sent.startswith("id, id") and "text, text" not in sent
